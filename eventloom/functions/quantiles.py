@@ -1,4 +1,4 @@
-"""Exact quantiles of an integer column."""
+"""Exact quantiles of a whole-number column."""
 
 from __future__ import annotations
 
@@ -19,15 +19,16 @@ def histogram(events: DataFrame, column: str) -> DataFrame:
     )
 
 
-def int_quantiles(events: DataFrame, column: str, wanted: Mapping[str, float]) -> DataFrame:
+def quantiles(events: DataFrame, column: str, wanted: Mapping[str, float]) -> DataFrame:
     """One row with one linearly interpolated quantile per name in ``wanted``.
 
-    Values are looked up by their high bits first, then by their low bits in
-    the few blocks that hold a wanted rank. No window sees more than 65,536
-    rows, however many events or distinct values there are.
+    Meant for 32-bit whole numbers, with or without a fractional cap among
+    them. Values are looked up by their high bits first, then by their low bits
+    in the few blocks that hold a wanted rank. No window sees more than about
+    65,536 rows, however many events or distinct values there are.
     """
-    counts = histogram(events.select(F.col(column).cast("int").alias(column)), column)
-    block = F.shiftright("value", LOW_BITS)
+    counts = histogram(events, column)
+    block = F.shiftright(F.floor("value"), LOW_BITS)
 
     blocks = counts.groupBy(block.alias("block")).agg(F.sum("rows").alias("rows"))
     blocks = blocks.select(
