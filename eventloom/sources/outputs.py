@@ -18,6 +18,7 @@ from eventloom.wording import ADVICE_HEADING, BATCH_INSIGHTS_TITLE, INSIGHTS_HEA
 
 BATCH_RULE = 55
 REPORT_RULE = 60
+MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"  # the default cuts timestamps at milliseconds
 
 # File name -> dimension.
 SEGMENT_FILES = {
@@ -28,7 +29,7 @@ SEGMENT_FILES = {
 
 
 def export_csv(table: DataFrame, path: str) -> None:
-    table.write.mode("overwrite").option("header", True).csv(path)
+    table.write.mode("overwrite").options(header=True, escape='"', timestampNTZFormat=MICROSECONDS).csv(path)
 
 
 def export_json(table: DataFrame, path: str) -> None:
