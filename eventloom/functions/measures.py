@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.numbers import ratio
-from eventloom.schema import PURCHASE
+from eventloom.schema import FUNNEL_STAGES, PURCHASE
 
 
 def money(column: str = "revenue") -> Column:
@@ -32,8 +32,18 @@ def is_payment() -> Column:
     return is_purchase() & (F.col("purchase_amount") > 0)
 
 
+def day_mark() -> Column:
+    """One bit per day of the month, so that ``bit_or`` collects active days."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.dayofmonth("event_date"))
+
+
 def user_rollup(events: DataFrame, *keys: str) -> DataFrame:
-    """One row per ``keys`` and user."""
+    """One row per ``keys`` and user.
+
+    ``days`` has meaning where the keys contain the month: it holds the days of
+    that month with an event, so active days need no row of their own.
+    """
+    stages = [F.max(F.col("event_name") == stage).alias(f"stage_{i}") for i, stage in enumerate(FUNNEL_STAGES)]
     return events.groupBy(*keys, "user_id").agg(
         F.count(F.lit(1)).alias("events"),
         F.sum(money()).alias("revenue"),
@@ -49,6 +59,8 @@ def user_rollup(events: DataFrame, *keys: str) -> DataFrame:
         F.max("session_duration").alias("max_duration"),
         F.min("event_date").alias("first_date"),
         F.max("event_date").alias("last_date"),
+        F.bit_or(day_mark()).alias("days"),
+        *stages,
     )
 
 

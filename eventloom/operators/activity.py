@@ -29,13 +29,23 @@ def mau(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     return active_users(select(events, filters), month_key(F.col("event_date")), "year_month", "mau")
 
 
+def daily_average() -> Column:
+    """Over user-months: mean distinct users per active day.
+
+    The user-days are the bits of all users, the calendar days the bits of any.
+    """
+    user_days = F.sum(F.when(F.col("user_id").isNotNull(), F.bit_count("days")))
+    return ratio(F.coalesce(user_days, F.lit(0)), F.bit_count(F.bit_or("days")))
+
+
 def stickiness_dau_mau(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """Mean daily over monthly active users. The filter holds for both."""
-    chosen = select(events, filters)
-    daily = dau(chosen).withColumn("year_month", month_key(F.col("date")))
-    mean = daily.groupBy("year_month").agg(F.avg("dau").alias("mean_dau"))
+    monthly = select(events, filters).withColumn("year_month", month_key(F.col("event_date")))
     return (
-        mean.join(mau(chosen), "year_month")
+        user_rollup(monthly, "year_month")
+        .groupBy("year_month")
+        .agg(daily_average().alias("mean_dau"), F.count("user_id").alias("mau"))
+        .where(F.col("year_month").isNotNull())
         .select(
             "year_month",
             F.round("mean_dau", 1).alias("avg_dau"),

@@ -111,13 +111,11 @@ def country_device_matrix(events: DataFrame, filters: EventFilters | None = None
         F.sum(F.when(chosen, money())).alias("chosen_revenue"),
         F.count_if(chosen).alias("chosen_events"),
     )
-    leaders = (
-        cells.groupBy("country")
-        .agg(F.sum("chosen_revenue").alias("chosen_revenue"), F.sum("chosen_events").alias("chosen_events"))
-        .where(F.col("chosen_events") > 0)
-        .orderBy(F.desc("chosen_revenue"), "country")
-        .limit(n)
-        .select("country")
+    # A country carries its cells along, one per device type, so that events are read once.
+    countries = cells.groupBy("country").agg(
+        F.sum("chosen_revenue").alias("chosen_revenue"),
+        F.sum("chosen_events").alias("chosen_events"),
+        F.collect_list(F.struct("device_type", F.col("revenue").cast("double").alias("revenue"))).alias("cells"),
     )
-    return cells.join(leaders, "country").select("country", "device_type", F.col("revenue").cast("double").alias("revenue"))
-
+    leaders = countries.where(F.col("chosen_events") > 0).orderBy(F.desc("chosen_revenue"), "country").limit(n)
+    return leaders.where(F.col("country").isNotNull()).select("country", F.inline("cells"))

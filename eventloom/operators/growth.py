@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from eventloom.filters import EventFilters, select
 from eventloom.functions.keys import monday_week_key, month_key
-from eventloom.functions.measures import money, summarise
+from eventloom.functions.measures import money, summarise, user_rollup
 from eventloom.functions.numbers import half_even, ratio
+from eventloom.operators.activity import daily_average
 
 
 def growth_pct(value: str, over) -> Column:
@@ -63,9 +64,11 @@ def top_campaign_growth(events: DataFrame, filters: EventFilters | None = None,
 
 def monthly_growth_table(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """Revenue and mean daily users per month, with the growth of both."""
-    daily = summarise(select(events, filters).where(F.col("event_date").isNotNull()), "event_date")
-    monthly = daily.groupBy(month_key(F.col("event_date")).alias("month")).agg(
-        F.sum(F.col("revenue").cast("decimal(28,2)")).cast("double").alias("revenue"), F.avg("users").alias("avg_dau")
+    dated = select(events, filters).withColumn("month", month_key(F.col("event_date")))
+    monthly = (
+        user_rollup(dated.where(F.col("month").isNotNull()), "month")
+        .groupBy("month")
+        .agg(F.sum("revenue").cast("double").alias("revenue"), daily_average().alias("avg_dau"))
     )
     order = Window.orderBy("month")  # one row per month
     return monthly.select(

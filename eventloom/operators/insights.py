@@ -15,8 +15,13 @@ from eventloom.functions.keys import weekday_name
 from eventloom.functions.measures import one_row, summarise
 from eventloom.functions.numbers import change_pct, fixed, grouped, ratio, ratio_or, signed
 from eventloom.operators.breakdowns import revenue_by_country
-from eventloom.operators.funnel import stage_users
-from eventloom.operators.kpis import advanced_kpis, batch_kpis, dashboard_kpis, median_duration, returning_users
+from eventloom.operators.kpis import (
+    batch_kpis_with_stages,
+    dashboard_kpis,
+    kpis_with_stages,
+    median_duration,
+    returning_users,
+)
 from eventloom.operators.revenue import kpi_snapshot
 from eventloom.operators.segments import leader, segment_totals, total_of
 from eventloom.schema import FUNNEL_STAGES, NO_CAMPAIGN, UNKNOWN
@@ -52,12 +57,6 @@ def _sentences(facts: DataFrame, sentences: Sequence[Column], empty: str | None
     return facts.select(F.posexplode(said).alias("at", "text")).select((F.col("at") + 1).alias("position"), "text")
 
 
-def funnel_facts(events: DataFrame) -> DataFrame:
-    """One row with an array: users per funnel stage, in order."""
-    stages = stage_users(events).agg(F.sort_array(F.collect_list(F.struct("position", "users"))).alias("stages"))
-    return stages.select(F.transform("stages", lambda stage: stage["users"]).alias("users"))
-
-
 def _drop_off(users: Column) -> Column:
     """Percent of first-stage users missing at the last stage; null without any."""
     return 100 * (1 - ratio(users[len(FUNNEL_STAGES) - 1], users[0]))
@@ -89,9 +88,7 @@ def segment_facts(events: DataFrame) -> DataFrame:
 
 def batch_insights(events: DataFrame) -> DataFrame:
     """The 24 lines of the batch report."""
-    facts = batch_kpis(events).select(
-        "*", one_row(segment_facts(events)).alias("top"), funnel_facts(events).scalar().alias("stages")
-    )
+    facts = batch_kpis_with_stages(events).select("*", one_row(segment_facts(events)).alias("top"))
     c = F.col
     stickiness = ratio(100.0 * c("avg_dau"), c("avg_mau"))
     drop = F.coalesce(_drop_off(c("stages")), F.lit(0.0))
@@ -131,10 +128,9 @@ def batch_insights(events: DataFrame) -> DataFrame:
 def live_insights(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """Up to twelve lines about the filtered events."""
     chosen = select(events, filters)
-    facts = dashboard_kpis(chosen).select(
+    facts = kpis_with_stages(chosen).select(
         "*",
         one_row(segment_facts(chosen)).alias("top"),
-        funnel_facts(chosen).scalar().alias("stages"),
         median_duration(chosen).scalar().alias("median"),
         returning_users(chosen).scalar().alias("returning"),
     )
@@ -198,13 +194,12 @@ def recommendations(events: DataFrame, filters: EventFilters | None = None) -> D
     chosen = select(events, filters)
     earlier = filters.previous_period() if filters else None
     before = dashboard_kpis(events, earlier).where(F.col("total_events") > 0) if earlier else None
-    now = dashboard_kpis(chosen)
-    missing = F.lit(None).cast(now.select(F.struct("*").alias("row")).schema["row"].dataType)
+    now = kpis_with_stages(chosen)
+    missing = F.lit(None).cast("struct<revenue: double, conversion_rate: double>")
     facts = now.select(
         "*",
         (one_row(before) if before is not None else missing).alias("before"),
         one_row(segment_facts(chosen)).alias("top"),
-        funnel_facts(chosen).scalar().alias("stages"),
         _device_conversion(chosen).scalar().alias("device_rate"),
         returning_users(chosen).scalar().alias("returning"),
     )
@@ -252,12 +247,11 @@ def executive_summary(events: DataFrame, filters: EventFilters | None = None) ->
         if earlier
         else F.lit(None).cast("double")
     )
-    facts = advanced_kpis(chosen).select(
+    facts = kpis_with_stages(chosen).select(
         "*",
-        dashboard_kpis(chosen).select("revenue").scalar().alias("revenue"),
         before.alias("revenue_before"),
+        returning_users(chosen).scalar().alias("returning"),
         one_row(segment_facts(chosen)).alias("top"),
-        funnel_facts(chosen).scalar().alias("stages"),
     )
     c = F.col
 
@@ -267,13 +261,13 @@ def executive_summary(events: DataFrame, filters: EventFilters | None = None) ->
     growth = change_pct(c("revenue"), c("revenue_before"))
     values = [
         F.concat(signed(growth, 1), F.lit("%")),
-        c("top_country"),
+        earner("country"),
         earner("campaign"),
-        c("top_device"),
+        earner("device"),
         c("top.traffic.segment"),
         earner("subscription"),
         F.concat(fixed(F.coalesce(_drop_off(c("stages")), F.lit(0.0)), 1), F.lit("%")),
-        F.concat(fixed(c("returning_pct"), 1), F.lit("%")),
+        F.concat(fixed(ratio_or(100.0 * c("returning"), c("total_users")), 1), F.lit("%")),
         F.concat(fixed(c("avg_session_duration"), 0), F.lit("s")),
     ]
     chips = F.array(

@@ -19,7 +19,7 @@ from eventloom.functions.quantiles import quantiles
 from eventloom.operators.retention import users_by_first_value
 from eventloom.operators.revenue import kpi_snapshot
 from eventloom.operators.segments import leader, segment_totals
-from eventloom.schema import RETURNING
+from eventloom.schema import FUNNEL_STAGES, RETURNING
 from eventloom.wording import CARD_LABELS
 
 # KPIs compared between periods.
@@ -29,30 +29,22 @@ COMPARED = (
 )
 
 
+_SUMS = ("events", "revenue", "purchases", "payments", "paid", "duration", "timed_events")
+_FLAGS = ("has_payment", *[f"stage_{i}" for i in range(len(FUNNEL_STAGES))])
+
+
 def activity_totals(events: DataFrame) -> DataFrame:
-    """One row of additive totals, user counts and calendar counts.
+    """One row of totals, user counts per flag and funnel stage, and calendar counts.
 
-    Events are reduced to user-days, user-months and users in turn. The first
-    step is the only one that shuffles event-sized data; the counts of active
-    days and months per user, whose sums are the numerators of mean DAU and
-    MAU, come with it.
+    Events are reduced to user-months and then to users. The days a user was
+    active in a month are kept as bits of one number, so mean daily and monthly
+    users and all user counts come from the same, single shuffle of events.
     """
-    days = user_rollup(events, "event_date")
-    months = days.groupBy("user_id", month_key(F.col("event_date")).alias("month")).agg(
-        F.count("event_date").alias("days"),
-        F.sum("events").alias("events"),
-        F.sum("revenue").alias("revenue"),
-        F.max("has_payment").alias("has_payment"),
-        F.sum("purchases").alias("purchases"),
-        F.sum("payments").alias("payments"),
-        F.sum("paid").alias("paid"),
-        F.sum("duration").alias("duration"),
-        F.sum("timed_events").alias("timed_events"),
-    )
+    months = user_rollup(events.withColumn("month", month_key(F.col("event_date"))), "month")
     users = months.groupBy("user_id").agg(
-        F.sum("days").alias("days"),
+        F.sum(F.bit_count("days")).alias("days"),
         F.count("month").alias("months"),
-        F.max("has_payment").alias("has_payment"),
+        *[F.max(name).alias(name) for name in _FLAGS],
         *[F.sum(name).alias(name) for name in _SUMS],
     )
     calendar = events.select("event_date").distinct().agg(
@@ -62,15 +54,14 @@ def activity_totals(events: DataFrame) -> DataFrame:
     known = F.col("user_id").isNotNull()
     totals = users.agg(
         F.count("user_id").alias("users"),
-        F.count_if(known & F.col("has_payment")).alias("payers"),
-        F.coalesce(F.sum(F.when(known, F.col("days"))), F.lit(0)).alias("user_days"),
-        F.coalesce(F.sum(F.when(known, F.col("months"))), F.lit(0)).alias("user_months"),
+        F.sum(F.when(known, F.col("days"))).alias("user_days"),
+        F.sum(F.when(known, F.col("months"))).alias("user_months"),
+        *[F.count_if(known & F.col(name)).alias(name) for name in _FLAGS],
         *[F.sum(name).alias(name) for name in _SUMS],
     )
-    sessions = events.agg(F.count_distinct("session_id")).scalar()
     return totals.select(
         "users",
-        "payers",
+        F.col("has_payment").alias("payers"),
         F.coalesce("events", F.lit(0)).alias("events"),
         F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue"),
         F.coalesce("purchases", F.lit(0)).alias("purchases"),
@@ -78,16 +69,14 @@ def activity_totals(events: DataFrame) -> DataFrame:
         F.col("paid").cast("double").alias("paid"),
         F.col("duration").cast("double").alias("duration"),
         "timed_events",
-        "user_days",
-        "user_months",
+        F.coalesce("user_days", F.lit(0)).alias("user_days"),
+        F.coalesce("user_months", F.lit(0)).alias("user_months"),
+        F.array(*[F.col(name) for name in _FLAGS if name.startswith("stage_")]).alias("stages"),
         one_row(calendar).alias("calendar"),
-        sessions.alias("sessions"),
+        events.agg(F.count_distinct("session_id")).scalar().alias("sessions"),
     )
 
 
-_SUMS = ("events", "revenue", "purchases", "payments", "paid", "duration", "timed_events")
-
-
 def _rates() -> dict:
     per_user = F.col("users")
     return {
@@ -110,6 +99,10 @@ def returning_users(events: DataFrame) -> DataFrame:
 
 def batch_kpis(events: DataFrame) -> DataFrame:
     """One row with the scalar KPIs of the batch report, zero for no events."""
+    return batch_kpis_with_stages(events).drop("stages")
+
+
+def batch_kpis_with_stages(events: DataFrame) -> DataFrame:
     rates = _rates()
     returning = returning_users(events).scalar()
     return activity_totals(events).select(
@@ -128,6 +121,7 @@ def batch_kpis(events: DataFrame) -> DataFrame:
         rates["conversion"].alias("conversion_rate_pct"),
         rates["purchase_rate"].alias("purchase_rate_pct"),
         ratio_or(100.0 * returning, F.col("users")).alias("returning_user_pct"),
+        "stages",
     )
 
 
@@ -137,8 +131,13 @@ def median_duration(events: DataFrame) -> DataFrame:
 
 def dashboard_kpis(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """One row with the top-line KPIs, all zero for no events."""
+    return kpis_with_stages(select(events, filters)).drop("stages")
+
+
+def kpis_with_stages(events: DataFrame) -> DataFrame:
+    """The top-line KPIs and the users per funnel stage as an array."""
     rates = _rates()
-    return activity_totals(select(events, filters)).select(
+    return activity_totals(events).select(
         F.col("users").alias("total_users"),
         rates["dau"].alias("dau"),
         rates["mau"].alias("mau"),
@@ -151,17 +150,22 @@ def dashboard_kpis(events: DataFrame, filters: EventFilters | None = None) -> Da
         F.col("payments").alias("total_purchases"),
         F.col("events").alias("total_events"),
         rates["avg_duration"].alias("avg_session_duration"),
+        "stages",
     )
 
 
 def advanced_kpis(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """One row: stickiness, efficiency and the leading country and device."""
     chosen = select(events, filters)
+    return advanced_from(dashboard_kpis(chosen), chosen)
+
+
+def advanced_from(kpis: DataFrame, chosen: DataFrame) -> DataFrame:
     leaders = segment_totals(chosen, ["country", "device_type"]).agg(
         leader("country", "revenue").alias("country"), leader("device_type", "revenue").alias("device")
     )
     returning = returning_users(chosen).scalar()
-    base = dashboard_kpis(chosen).select("*", one_row(leaders).alias("top"), returning.alias("returning"))
+    base = kpis.select("*", one_row(leaders).alias("top"), returning.alias("returning"))
     return base.select(
         ratio_or(100.0 * F.col("dau"), F.col("mau")).alias("stickiness"),
         "avg_session_duration",
