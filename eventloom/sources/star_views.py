@@ -1,93 +1,104 @@
 """Event tables derived from a star schema of customers, orders and clicks.
 
-Both views return the 19 event columns. The joins carry no hints: the optimizer
-broadcasts the small dimensions after looking at their size, and customers only
-where they are small too; AQE splits a customer that holds many events.
+Both views return the 19 event columns. Customers get their place names first,
+so that a fact row is matched once and not three times. The joins carry no
+hints: the optimizer broadcasts a side only after looking at its size, and AQE
+splits a customer that holds many events.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.schema import CATEGORY_DEFAULTS, EVENT_COLUMNS
 
 
+# Known schemas spare a job per table that would read them from the files.
+TABLES = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+    " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_nationkey INT, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _with_places(facts: DataFrame, key: str, spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        facts.join(_table(spark, folder, "customer"), F.col(key) == F.col("c_custkey"))
+    customers = (
+        _table(spark, folder, "customer")
         .join(_table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(_table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("c_custkey", "c_mktsegment", "n_name", "r_name")
     )
-
-
-def _text(prefix: str, value: Column) -> Column:
-    return F.concat(F.lit(prefix), value.cast("string"))
-
-
-def _below(value: Column, steps: dict[int, str], last: str) -> Column:
-    """The label of the first bound that exceeds ``value``."""
-    result = F.lit(last)
-    for bound, label in reversed(steps.items()):
-        result = F.when(value < bound, label).otherwise(result)
-    return result
-
-
-def _lookup(value: Column, table: dict, last) -> Column:
-    result = F.lit(last)
-    for key, label in reversed(table.items()):
-        result = F.when(value == key, label).otherwise(result)
-    return result
-
-
-def _shared(order: Column) -> dict[str, Column]:
-    """Columns both views derive from a running number in the same way."""
-    return {
-        "user_type": F.when(F.col("c_custkey") % 20 < 7, "New").otherwise("Returning"),
-        "subscription": _below(order % 10, {7: "Free", 9: "Monthly"}, "Annual"),
-        "retention_day": _lookup(order % 7, {0: 1, 1: 3, 2: 7, 3: 14, 4: 30, 5: 60}, 90),
-        "country": F.col("n_name"),
-        "traffic_source": F.col("r_name"),
-    }
+    return facts.join(customers, F.col(key) == F.col("c_custkey"))
+
+
+# Columns both views derive in the same way; {n} is the running number of the fact.
+SHARED = {
+    "country": "n_name",
+    "traffic_source": "r_name",
+    "user_type": "CASE WHEN c_custkey % 20 < 7 THEN 'New' ELSE 'Returning' END",
+    "session_duration": "CAST(10 + ({n} * 37) % 600 AS INT)",
+    "subscription": "CASE WHEN {n} % 10 < 7 THEN 'Free' WHEN {n} % 10 < 9 THEN 'Monthly' ELSE 'Annual' END",
+    "retention_day": "element_at(array(1, 3, 7, 14, 30, 60, 90), CAST({n} % 7 AS INT) + 1)",
+}
+
+CLICK_COLUMNS = {
+    **SHARED,
+    "user_id": "concat('USR_', user_id)",
+    "session_id": "concat_ws('_', 'SES', user_id, CAST(ts AS DATE), k % 3 + 1)",
+    "event_date": "CAST(ts AS DATE)",
+    "event_timestamp": "ts",
+    "city": "CASE WHEN {n} % 50 <> 0 THEN concat(n_name, '_C', c_custkey % 4) END",
+    "device_type": "CASE WHEN k < 70 THEN 'Mobile' WHEN k < 80 THEN 'Tablet' ELSE 'Desktop' END",
+    "os": "CASE WHEN k < 45 THEN 'Android' WHEN k < 70 THEN 'iOS' WHEN k < 80 THEN 'iPadOS'"
+    " WHEN k < 94 THEN 'Windows' ELSE 'macOS' END",
+    "app_version": "CASE WHEN {n} % 67 <> 0 THEN concat('v2.', {n} % 5) END",
+    "event_name": "CASE event_type WHEN 'view' THEN 'App Open' WHEN 'click' THEN 'Search'"
+    " WHEN 'signup' THEN 'Add to Cart' WHEN 'purchase' THEN 'Purchase' ELSE 'Logout' END",
+    "session_duration": f"CASE WHEN {{n}} % 610 = 7 THEN 86400 ELSE {SHARED['session_duration']} END",
+    "revenue": "CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS DECIMAL(10,2))",
+    "level_completed": "CASE WHEN event_type = 'click' THEN k % 50 ELSE 0 END",
+    "purchase_amount": "CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS DECIMAL(10,2))",
+    "campaign": "CASE WHEN {n} % 5 <> 0 THEN c_mktsegment END",
+}
+
+ORDER_COLUMNS = {
+    **SHARED,
+    "user_id": "concat('USR_', o_custkey)",
+    "session_id": "concat('SES_', {n})",
+    "event_date": "CAST(o_orderdate AS DATE)",
+    "event_timestamp": "o_orderdate",
+    "city": "concat(n_name, '_C', c_custkey % 4)",
+    "device_type": "CASE WHEN {n} % 10 < 7 THEN 'Mobile' WHEN {n} % 10 < 8 THEN 'Tablet' ELSE 'Desktop' END",
+    "os": "CASE WHEN {n} % 10 < 5 THEN 'Android' WHEN {n} % 10 < 8 THEN 'iOS' ELSE 'Windows' END",
+    "app_version": "concat('v2.', {n} % 5)",
+    "event_name": "CASE o_orderstatus WHEN 'F' THEN 'Purchase' WHEN 'O' THEN 'Add to Cart' ELSE 'Search' END",
+    "revenue": "CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS DECIMAL(10,2))",
+    "level_completed": "0",
+    "purchase_amount": "CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS DECIMAL(10,2))",
+    "campaign": "o_orderpriority",
+}
+
+
+def _project(facts: DataFrame, columns: dict[str, str], number: str) -> DataFrame:
+    return facts.selectExpr(*[f"{columns[name].format(n=number)} AS {name}" for name in EVENT_COLUMNS])
 
 
 def click_events_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Events of 30 days with nulls, exact duplicates and outliers."""
-    number = F.col("event_id")
-    k = F.regexp_extract("props", "([0-9]+)", 1).try_cast("int")
-    amount = F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0).cast("decimal(10,2)")
-    clicks = _with_places(_table(spark, folder, "events"), "user_id", spark, folder).withColumn("k", k)
-    events = clicks.select(
-        _text("USR_", F.col("user_id")).alias("user_id"),
-        F.concat_ws(
-            "_", F.lit("SES"), F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string"),
-            (F.col("k") % 3 + 1).cast("string"),
-        ).alias("session_id"),
-        F.col("ts").cast("date").alias("event_date"),
-        F.col("ts").alias("event_timestamp"),
-        F.when(number % 50 != 0, F.concat(F.col("n_name"), _text("_C", F.col("c_custkey") % 4))).alias("city"),
-        _below(F.col("k"), {70: "Mobile", 80: "Tablet"}, "Desktop").alias("device_type"),
-        _below(F.col("k"), {45: "Android", 70: "iOS", 80: "iPadOS", 94: "Windows"}, "macOS").alias("os"),
-        F.when(number % 67 != 0, _text("v2.", number % 5)).alias("app_version"),
-        _lookup(
-            F.col("event_type"),
-            {"view": "App Open", "click": "Search", "signup": "Add to Cart", "purchase": "Purchase"},
-            "Logout",
-        ).alias("event_name"),
-        F.when(number % 610 == 7, 86400).otherwise(10 + (number * 37) % 600).cast("int").alias("session_duration"),
-        amount.alias("revenue"),
-        F.when(F.col("event_type") == "click", F.col("k") % 50).otherwise(0).cast("int").alias("level_completed"),
-        amount.alias("purchase_amount"),
-        F.when(number % 5 != 0, F.col("c_mktsegment")).alias("campaign"),
-        # every 200th event arrives twice
-        F.explode(F.when(number % 200 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
-        *[column.alias(name) for name, column in _shared(number).items()],
+    clicks = _with_places(_table(spark, folder, "events"), "user_id", spark, folder).selectExpr(
+        "*",
+        "try_cast(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
+        "explode(sequence(1, CASE WHEN event_id % 200 = 0 THEN 2 ELSE 1 END)) AS copy",  # every 200th arrives twice
     )
-    return events.select(*EVENT_COLUMNS)
+    return _project(clicks, CLICK_COLUMNS, "event_id")
 
 
 def click_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,24 +108,5 @@ def click_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_events(spark: SparkSession, folder: str) -> DataFrame:
     """One event per order, over several years."""
-    number = F.col("o_orderkey")
-    amount = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0.0).cast("decimal(10,2)")
     orders = _with_places(_table(spark, folder, "orders"), "o_custkey", spark, folder)
-    events = orders.select(
-        _text("USR_", F.col("o_custkey")).alias("user_id"),
-        _text("SES_", number).alias("session_id"),
-        F.col("o_orderdate").cast("date").alias("event_date"),
-        F.col("o_orderdate").alias("event_timestamp"),
-        F.concat(F.col("n_name"), _text("_C", F.col("c_custkey") % 4)).alias("city"),
-        _below(number % 10, {7: "Mobile", 8: "Tablet"}, "Desktop").alias("device_type"),
-        _below(number % 10, {5: "Android", 8: "iOS"}, "Windows").alias("os"),
-        _text("v2.", number % 5).alias("app_version"),
-        _lookup(F.col("o_orderstatus"), {"F": "Purchase", "O": "Add to Cart"}, "Search").alias("event_name"),
-        (10 + (number * 37) % 600).cast("int").alias("session_duration"),
-        amount.alias("revenue"),
-        F.lit(0).alias("level_completed"),
-        amount.alias("purchase_amount"),
-        F.col("o_orderpriority").alias("campaign"),
-        *[column.alias(name) for name, column in _shared(number).items()],
-    )
-    return events.select(*EVENT_COLUMNS)
+    return _project(orders, ORDER_COLUMNS, "o_orderkey")
