@@ -699,6 +699,11 @@ add("chart_revenue_by_device", CLICKS, f"SELECT device_type, {REV} AS revenue FR
 add("chart_revenue_by_campaign", CLICKS, f"SELECT campaign, {REV} AS revenue FROM ev GROUP BY 1")
 add("chart_events_by_device", CLICKS, "SELECT device_type, COUNT(*) AS events FROM ev GROUP BY 1")
 add("chart_events_by_traffic_source", CLICKS, "SELECT traffic_source, COUNT(*) AS events FROM ev GROUP BY 1")
+add(
+    "chart_funnel", CLICKS,
+    f"""SELECT CAST(position AS INT) AS position, stage, COALESCE(u, 0) AS users FROM {STAGES}
+    LEFT JOIN (SELECT event_name, {USERS} AS u FROM ev GROUP BY 1) ON event_name = stage""",
+)
 for _c in ("subscription", "user_type", "retention_day"):
     add(f"chart_{_c}_users", CLICKS, f"SELECT {_c}, COUNT(*) AS users FROM {first_value(_c)} GROUP BY 1")
 

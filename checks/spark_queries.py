@@ -28,8 +28,9 @@ from eventloom.operators import (
     warehouse,
 )
 from eventloom.operators.catalog import NAMED_QUERIES
+from eventloom.operators.funnel import stage_users
 from eventloom.plans import batch_report, dashboard
-from eventloom.schema import EVENT_COLUMNS, RETENTION_BUCKETS, SEGMENT_DIMENSIONS
+from eventloom.schema import EVENT_COLUMNS, FUNNEL_STAGES, RETENTION_BUCKETS, SEGMENT_DIMENSIONS
 from eventloom.session import fresh_path
 from eventloom.sources import outputs, tables
 from eventloom.sources.csv_events import load_batch_events, load_dashboard_events, load_report, read_raw_events
@@ -340,6 +341,7 @@ _on("chart_revenue_by_device", click_events, chart_data.revenue_by, "device_type
 _on("chart_revenue_by_campaign", click_events, chart_data.revenue_by, "campaign", ascending=True)
 _on("chart_events_by_device", click_events, chart_data.events_by, "device_type")
 _on("chart_events_by_traffic_source", click_events, chart_data.events_by, "traffic_source")
+_on("chart_funnel", click_events, stage_users, FUNNEL_STAGES)
 _on("chart_subscription_users", click_events, chart_data.subscription_users)
 _on("chart_user_type_users", click_events, chart_data.user_type_users)
 _on("chart_retention_day_users", click_events, chart_data.retention_day_users)

@@ -46,6 +46,7 @@ def user_rollup(events: DataFrame, *keys: str) -> DataFrame:
     stages = [F.max(F.col("event_name") == stage).alias(f"stage_{i}") for i, stage in enumerate(FUNNEL_STAGES)]
     return events.groupBy(*keys, "user_id").agg(
         F.count(F.lit(1)).alias("events"),
+        F.count("event_name").alias("named_events"),
         F.sum(money()).alias("revenue"),
         F.max(F.col("revenue") > 0).alias("has_revenue"),
         F.max(is_purchase()).alias("has_purchase"),
@@ -82,6 +83,7 @@ def summarise(events: DataFrame, *keys: str, sessions: bool = False) -> DataFram
             users_with("has_purchase").alias("converters"),
             users_with("has_payment").alias("payers"),
             F.coalesce(F.sum("events"), F.lit(0)).alias("events"),
+            F.sum("named_events").alias("named_events"),
             F.sum("revenue").cast("double").alias("revenue"),
             F.coalesce(F.sum("purchases"), F.lit(0)).alias("purchases"),
             F.coalesce(F.sum("payments"), F.lit(0)).alias("payments"),

@@ -8,17 +8,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.filters import EventFilters, select
-from eventloom.functions.measures import summarise
 from eventloom.functions.numbers import half_even, ratio
 from eventloom.schema import FUNNEL_STAGES
 
 
 def stage_users(events: DataFrame, stages: Sequence[str] = FUNNEL_STAGES) -> DataFrame:
-    """Rows ``(position, stage, users)``; a stage without events has 0 users."""
-    listed = events.sparkSession.createDataFrame(list(enumerate(stages)), "position int, stage string")
-    seen = summarise(events.where(F.col("event_name").isin(*stages)), "event_name")
-    counted = listed.join(seen.select(F.col("event_name").alias("stage"), "users"), "stage", "left")
-    return counted.select("position", "stage", F.coalesce("users", F.lit(0)).alias("users"))
+    """Rows ``(position, stage, users)``; a stage without events has 0 users.
+
+    Events become one row of flags per user before they are shuffled.
+    """
+    staged = events.where(F.col("event_name").isin(*stages) & F.col("user_id").isNotNull())
+    reached = staged.groupBy("user_id").agg(
+        *[F.max(F.col("event_name") == stage).alias(f"stage_{i}") for i, stage in enumerate(stages)]
+    )
+    counts = reached.agg(*[F.count_if(f"stage_{i}").alias(f"stage_{i}") for i in range(len(stages))])
+    listed = F.array(
+        *[F.struct(F.lit(stage).alias("stage"), F.col(f"stage_{i}").alias("users")) for i, stage in enumerate(stages)]
+    )
+    return counts.select(F.posexplode(listed).alias("position", "at")).select("position", "at.stage", "at.users")
 
 
 def funnel(

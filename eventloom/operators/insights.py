@@ -303,5 +303,6 @@ def report_insights(events: DataFrame, segments: DataFrame, filters: EventFilter
 
 
 def report_advice(events: DataFrame) -> DataFrame:
-    rows = [(i + 1, text) for i, text in enumerate(REPORT_ADVICE)]
-    return events.sparkSession.createDataFrame(rows, "position int, text string")
+    lines = F.array(*[F.lit(text) for text in REPORT_ADVICE])
+    listed = events.sparkSession.range(1).select(F.posexplode(lines).alias("at", "text"))
+    return listed.select((F.col("at") + 1).alias("position"), "text")

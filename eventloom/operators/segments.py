@@ -14,19 +14,47 @@ from eventloom.schema import SEGMENT_DIMENSIONS
 
 def segment_rows(events: DataFrame, dimensions: Sequence[str], *columns: str) -> DataFrame:
     """Each event once per dimension, as ``(dimension, segment)``; nulls left out."""
-    named = events.select(*columns, *[F.col(name).cast("string").alias(f"by_{name}") for name in dimensions])
-    rows = named.unpivot(list(columns), [f"by_{name}" for name in dimensions], "dimension", "segment")
-    return rows.where(F.col("segment").isNotNull()).withColumn("dimension", F.expr("substring(dimension, 4)"))
+    named = events.select(*columns, *[F.col(name).cast("string").alias(name) for name in dimensions])
+    rows = named.unpivot(list(columns), list(dimensions), "dimension", "segment")
+    return rows.where(F.col("segment").isNotNull())
+
+
+def segment_users(events: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """Distinct users per value of each dimension.
+
+    A user is shuffled once, with the set of values per dimension, instead of
+    once per dimension and event. A set holds at most the values a dimension has.
+    """
+    users = (
+        events.where(F.col("user_id").isNotNull())
+        .groupBy("user_id")
+        .agg(*[F.collect_set(F.col(name).cast("string")).alias(name) for name in dimensions])
+    )
+
+    def pairs(name: str) -> Column:
+        return F.transform(name, lambda value: F.struct(F.lit(name).alias("dimension"), value.alias("segment")))
+
+    listed = users.select(F.explode(F.concat(*[pairs(name) for name in dimensions])).alias("at"))
+    return listed.groupBy("at.dimension", "at.segment").agg(F.count(F.lit(1)).alias("users"))
 
 
 def segmentation(events: DataFrame, dimensions: Sequence[str] = SEGMENT_DIMENSIONS) -> DataFrame:
     """Users, events, revenue and mean session duration per value of each dimension."""
-    rows = segment_rows(
-        events, dimensions, "user_id", "event_name", "event_date", "revenue", "purchase_amount", "session_duration"
+    named = events.withColumn("named", F.col("event_name").isNotNull())
+    totals = (
+        segment_rows(named, dimensions, "named", "revenue", "session_duration")
+        .groupBy("dimension", "segment")
+        .agg(
+            F.count_if("named").alias("events"),
+            F.sum(money()).cast("double").alias("revenue"),
+            F.avg("session_duration").alias("avg_session_duration"),
+        )
     )
     return (
-        summarise(rows, "dimension", "segment")
-        .select("dimension", "segment", "users", "events", "revenue", "avg_session_duration")
+        totals.join(segment_users(events, dimensions), ["dimension", "segment"], "left")
+        .select(
+            "dimension", "segment", F.coalesce("users", F.lit(0)).alias("users"), "events", "revenue", "avg_session_duration"
+        )
         .orderBy("dimension", F.desc("revenue"), "segment")
     )
 
@@ -35,7 +63,7 @@ def segment_summary(events: DataFrame, dimension: str) -> DataFrame:
     """The same measures for one dimension, in its own column."""
     return (
         summarise(events.where(F.col(dimension).isNotNull()), dimension)
-        .select(dimension, "users", "events", "revenue", "avg_session_duration")
+        .select(dimension, "users", F.col("named_events").alias("events"), "revenue", "avg_session_duration")
         .orderBy(F.desc("revenue"), dimension)
     )
 
