@@ -15,7 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.numbers import ratio
 from eventloom.schema import FUNNEL_STAGES, PURCHASE
 
 
@@ -28,13 +27,55 @@ def is_purchase() -> Column:
     return F.col("event_name") == PURCHASE
 
 
-def is_payment() -> Column:
-    return is_purchase() & (F.col("purchase_amount") > 0)
-
-
-def day_mark() -> Column:
-    """One bit per day of the month, so that ``bit_or`` collects active days."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.dayofmonth("event_date"))
+# Written as SQL: one call per measure into the JVM instead of one per operator.
+PER_USER = {
+    "events": "count(1)",
+    "named_events": "count(event_name)",
+    "revenue": "sum(cast(revenue AS decimal(18,2)))",
+    "has_revenue": "max(revenue > 0)",
+    "has_purchase": f"max(event_name = '{PURCHASE}')",
+    "has_payment": f"max(event_name = '{PURCHASE}' AND purchase_amount > 0)",
+    "purchases": f"count_if(event_name = '{PURCHASE}')",
+    "payments": f"count_if(event_name = '{PURCHASE}' AND purchase_amount > 0)",
+    "paid": f"sum(cast(purchase_amount AS decimal(18,2))) FILTER (WHERE event_name = '{PURCHASE}' AND purchase_amount > 0)",
+    "duration": "sum(session_duration)",
+    "timed_events": "count(session_duration)",
+    "min_duration": "min(session_duration)",
+    "max_duration": "max(session_duration)",
+    "first_date": "min(event_date)",
+    "last_date": "max(event_date)",
+    # one bit per day of the month
+    "days": "bit_or(shiftleft(1L, day(event_date)))",
+    **{f"stage_{i}": f"max(event_name = '{stage}')" for i, stage in enumerate(FUNNEL_STAGES)},
+}
+
+PER_GROUP = {
+    "users": "count(user_id)",
+    "paying_users": "count_if(user_id IS NOT NULL AND has_revenue)",
+    "converters": "count_if(user_id IS NOT NULL AND has_purchase)",
+    "payers": "count_if(user_id IS NOT NULL AND has_payment)",
+    "events": "coalesce(sum(events), 0)",
+    "named_events": "coalesce(sum(named_events), 0)",
+    "revenue": "cast(sum(revenue) AS double)",
+    "purchases": "coalesce(sum(purchases), 0)",
+    "payments": "coalesce(sum(payments), 0)",
+    "paid": "cast(sum(paid) AS double)",
+    "duration": "sum(duration)",
+    "timed_events": "sum(timed_events)",
+    "min_duration": "min(min_duration)",
+    "max_duration": "max(max_duration)",
+}
+
+RATES = {
+    "arpu": "round(try_divide(revenue, users), 2)",
+    "arppu": "round(try_divide(revenue, paying_users), 2)",
+    "conversion_rate_pct": "round(try_divide(100.0D * converters, users), 2)",
+    "avg_session_duration": "try_divide(cast(duration AS double), timed_events)",
+}
+
+
+def sql_columns(expressions: dict[str, str]) -> list[Column]:
+    return [F.expr(f"{text} AS `{name}`") for name, text in expressions.items()]
 
 
 def user_rollup(events: DataFrame, *keys: str) -> DataFrame:
@@ -43,30 +84,7 @@ def user_rollup(events: DataFrame, *keys: str) -> DataFrame:
     ``days`` has meaning where the keys contain the month: it holds the days of
     that month with an event, so active days need no row of their own.
     """
-    stages = [F.max(F.col("event_name") == stage).alias(f"stage_{i}") for i, stage in enumerate(FUNNEL_STAGES)]
-    return events.groupBy(*keys, "user_id").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count("event_name").alias("named_events"),
-        F.sum(money()).alias("revenue"),
-        F.max(F.col("revenue") > 0).alias("has_revenue"),
-        F.max(is_purchase()).alias("has_purchase"),
-        F.max(is_payment()).alias("has_payment"),
-        F.count_if(is_purchase()).alias("purchases"),
-        F.count_if(is_payment()).alias("payments"),
-        F.sum(F.when(is_payment(), money("purchase_amount"))).alias("paid"),
-        F.sum("session_duration").alias("duration"),
-        F.count("session_duration").alias("timed_events"),
-        F.min("session_duration").alias("min_duration"),
-        F.max("session_duration").alias("max_duration"),
-        F.min("event_date").alias("first_date"),
-        F.max("event_date").alias("last_date"),
-        F.bit_or(day_mark()).alias("days"),
-        *stages,
-    )
-
-
-def users_with(flag: str) -> Column:
-    return F.count(F.when(F.col(flag), F.col("user_id")))
+    return events.groupBy(*keys, "user_id").agg(*sql_columns(PER_USER))
 
 
 def summarise(events: DataFrame, *keys: str, sessions: bool = False) -> DataFrame:
@@ -74,37 +92,11 @@ def summarise(events: DataFrame, *keys: str, sessions: bool = False) -> DataFram
 
     Without keys the result is one row, also for no events.
     """
-    totals = (
-        user_rollup(events, *keys)
-        .groupBy(*keys)
-        .agg(
-            F.count("user_id").alias("users"),
-            users_with("has_revenue").alias("paying_users"),
-            users_with("has_purchase").alias("converters"),
-            users_with("has_payment").alias("payers"),
-            F.coalesce(F.sum("events"), F.lit(0)).alias("events"),
-            F.sum("named_events").alias("named_events"),
-            F.sum("revenue").cast("double").alias("revenue"),
-            F.coalesce(F.sum("purchases"), F.lit(0)).alias("purchases"),
-            F.coalesce(F.sum("payments"), F.lit(0)).alias("payments"),
-            F.sum("paid").cast("double").alias("paid"),
-            F.sum("duration").alias("duration"),
-            F.sum("timed_events").alias("timed_events"),
-            F.min("min_duration").alias("min_duration"),
-            F.max("max_duration").alias("max_duration"),
-        )
-    )
+    totals = user_rollup(events, *keys).groupBy(*keys).agg(*sql_columns(PER_GROUP))
     if sessions:
         counted = events.groupBy(*keys).agg(F.count_distinct("session_id").alias("sessions"))
         totals = join_on(totals, counted, keys) if keys else totals.select("*", counted.scalar().alias("sessions"))
-    return totals.withColumns(
-        {
-            "arpu": F.round(ratio(F.col("revenue"), F.col("users")), 2),
-            "arppu": F.round(ratio(F.col("revenue"), F.col("paying_users")), 2),
-            "conversion_rate_pct": F.round(ratio(100.0 * F.col("converters"), F.col("users")), 2),
-            "avg_session_duration": ratio(F.col("duration"), F.col("timed_events")),
-        }
-    )
+    return totals.select("*", *sql_columns(RATES))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Rule-based sentences over facts that Spark computes.
 
 Each list starts from one row of facts and ends as rows ``(position, text)``.
+The sentences are SQL over that row, one expression per list.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from eventloom.filters import EventFilters, select
 from eventloom.functions.keys import weekday_name
 from eventloom.functions.measures import one_row, summarise
-from eventloom.functions.numbers import change_pct, fixed, grouped, ratio, ratio_or, signed
+from eventloom.functions.numbers import ratio
 from eventloom.operators.breakdowns import revenue_by_country
 from eventloom.operators.kpis import (
     batch_kpis_with_stages,
@@ -39,46 +40,56 @@ LOW_STICKINESS = 20
 CONVERSION_CHANGE = 1
 MOST_ADVICE = 12
 
+# Facts shared by several lists, over the columns of the KPI row and ``top``.
+DROP_OFF = f"100 * (1 - try_divide(cast(stages[{len(FUNNEL_STAGES) - 1}] AS double), stages[0]))"
+COUNTRY_SHARE = "try_divide(-100.0D * top.country.low, top.country_revenue)"
+STICKINESS = "coalesce(try_divide(100.0D * dau, mau), 0D)"
+RETURNING_PCT = "coalesce(try_divide(100.0D * returning, total_users), 0D)"
 
-def _say(text: str, *values: Column, when: Column | None = None) -> Column:
+
+def _grouped(x: str, digits: int) -> str:
+    return f"format_number({x}, {digits})"
+
+
+def _fixed(x: str, digits: int) -> str:
+    return f"translate(format_number({x}, {digits}), ',', '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _say(text: str, *values: str, when: str | None = None) -> str:
     """The sentence, or null where a value or the condition is missing."""
-    complete = F.lit(True) if when is None else when
-    for value in values:
-        complete = complete & value.isNotNull()
-    return F.when(complete, F.format_string(text, *values))
+    needed = [f"{value} IS NOT NULL" for value in values] + ([f"({when})"] if when else [])
+    sentence = f"format_string({', '.join([_quoted(text), *values])})"
+    return f"CASE WHEN {' AND '.join(needed)} THEN {sentence} END" if needed else sentence
 
 
-def _sentences(facts: DataFrame, sentences: Sequence[Column], empty: str | None = None, most: int | None = None) -> DataFrame:
-    said = F.array_compact(F.array(*sentences))
+def _sentences(facts: DataFrame, sentences: Sequence[str], empty: str | None = None, most: int | None = None) -> DataFrame:
+    said = f"array_compact(array({', '.join(sentences)}))"
     if most:
-        said = F.slice(said, 1, most)
+        said = f"slice({said}, 1, {most})"
     if empty:
-        said = F.when(F.col("total_events") == 0, F.array(F.lit(empty))).otherwise(said)
-    return facts.select(F.posexplode(said).alias("at", "text")).select((F.col("at") + 1).alias("position"), "text")
-
-
-def _drop_off(users: Column) -> Column:
-    """Percent of first-stage users missing at the last stage; null without any."""
-    return 100 * (1 - ratio(users[len(FUNNEL_STAGES) - 1], users[0]))
+        said = f"CASE WHEN total_events = 0 THEN array({_quoted(empty)}) ELSE {said} END"
+    return facts.selectExpr(f"posexplode({said}) AS (at, text)").selectExpr("at + 1 AS position", "text")
 
 
 def segment_facts(events: DataFrame) -> DataFrame:
     """One row: leaders and totals of every dimension the sentences mention."""
     dimensions = ["country", "device_type", "campaign", "traffic_source", "event_name", "subscription", "os", "city", "weekday"]
     totals = segment_totals(events.withColumn("weekday", weekday_name(F.col("event_date"))), dimensions)
-    paid_campaign = F.col("segment") != NO_CAMPAIGN
+    paid = f"segment <> '{NO_CAMPAIGN}'"
     return totals.agg(
         leader("country", "revenue").alias("country"),
         total_of("country", "revenue").alias("country_revenue"),
         leader("device_type", "revenue").alias("device"),
-        F.coalesce(leader("campaign", "revenue", paid_campaign), leader("campaign", "revenue")).alias("campaign"),
-        leader("campaign", "revenue", paid_campaign).alias("paid_campaign"),
-        total_of("campaign", "revenue", paid_campaign).alias("paid_campaign_revenue"),
-        F.max(
-            F.when((F.col("dimension") == "campaign") & paid_campaign, F.struct((-F.col("revenue")).alias("low"), "segment"))
-        ).alias("weakest_campaign"),
+        F.coalesce(leader("campaign", "revenue", paid), leader("campaign", "revenue")).alias("campaign"),
+        leader("campaign", "revenue", paid).alias("paid_campaign"),
+        total_of("campaign", "revenue", paid).alias("paid_campaign_revenue"),
+        F.expr(f"max(struct(-revenue AS low, segment)) FILTER (WHERE dimension = 'campaign' AND {paid}) AS weakest_campaign"),
         leader("subscription", "revenue").alias("subscription"),
-        leader("city", "revenue", F.col("segment") != UNKNOWN).alias("city"),
+        leader("city", "revenue", f"segment <> '{UNKNOWN}'").alias("city"),
         leader("traffic_source", "events").alias("traffic"),
         leader("event_name", "events").alias("event"),
         leader("os", "events").alias("os"),
@@ -86,42 +97,46 @@ def segment_facts(events: DataFrame) -> DataFrame:
     )
 
 
+def _name(spot: str) -> str:
+    return f"top.{spot}.segment"
+
+
+def _amount(spot: str, digits: int) -> str:
+    return _grouped(f"-top.{spot}.low", digits)
+
+
 def batch_insights(events: DataFrame) -> DataFrame:
     """The 24 lines of the batch report."""
     facts = batch_kpis_with_stages(events).select("*", one_row(segment_facts(events)).alias("top"))
-    c = F.col
-    stickiness = ratio(100.0 * c("avg_dau"), c("avg_mau"))
-    drop = F.coalesce(_drop_off(c("stages")), F.lit(0.0))
-    share = ratio(-100.0 * c("top.country.low"), c("top.country_revenue"))
-    city = F.coalesce(c("top.city.segment"), F.lit("N/A"))
-    values: list[tuple[Column, ...]] = [
-        (c("top.country.segment"), grouped(-c("top.country.low"), 2), fixed(share, 1)),
-        (c("top.campaign.segment"), grouped(-c("top.campaign.low"), 2)),
-        (c("top.device.segment"), grouped(-c("top.device.low"), 2)),
-        (c("top.traffic.segment"), grouped(-c("top.traffic.low"), 0)),
-        (fixed(c("avg_purchase_value"), 2), fixed(c("arppu"), 2)),
-        (fixed(c("returning_user_pct"), 1),),
-        (c("top.weekday.segment"),),
-        (c("top.event.segment"), grouped(-c("top.event.low"), 0)),
-        (c("top.subscription.segment"), grouped(-c("top.subscription.low"), 2)),
-        (fixed(c("conversion_rate_pct"), 2),),
-        (fixed(c("avg_session_duration"), 1), fixed(c("median_session_duration"), 1)),
-        (c("top.traffic.segment"),),
-        (c("top.campaign.segment"),),
+    stickiness = "try_divide(100.0D * avg_dau, avg_mau)"
+    values: list[tuple[str, ...]] = [
+        (_name("country"), _amount("country", 2), _fixed(COUNTRY_SHARE, 1)),
+        (_name("campaign"), _amount("campaign", 2)),
+        (_name("device"), _amount("device", 2)),
+        (_name("traffic"), _amount("traffic", 0)),
+        (_fixed("avg_purchase_value", 2), _fixed("arppu", 2)),
+        (_fixed("returning_user_pct", 1),),
+        (_name("weekday"),),
+        (_name("event"), _amount("event", 0)),
+        (_name("subscription"), _amount("subscription", 2)),
+        (_fixed("conversion_rate_pct", 2),),
+        (_fixed("avg_session_duration", 1), _fixed("median_session_duration", 1)),
+        (_name("traffic"),),
+        (_name("campaign"),),
         (),
         (),
-        (fixed(c("purchase_rate_pct"), 2),),
-        (c("top.os.segment"), grouped(-c("top.os.low"), 0)),
-        (fixed(c("arpu"), 2), grouped(c("total_users"), 0)),
-        (city,),
-        (fixed(drop, 1),),
-        (grouped(c("total_revenue"), 2), grouped(c("paying_users"), 0), grouped(c("total_users"), 0)),
-        (fixed(c("avg_mau"), 0), fixed(c("avg_dau"), 0), fixed(stickiness, 1)),
+        (_fixed("purchase_rate_pct", 2),),
+        (_name("os"), _amount("os", 0)),
+        (_fixed("arpu", 2), _grouped("total_users", 0)),
+        (f"coalesce({_name('city')}, 'N/A')",),
+        (_fixed(f"coalesce({DROP_OFF}, 0D)", 1),),
+        (_grouped("total_revenue", 2), _grouped("paying_users", 0), _grouped("total_users", 0)),
+        (_fixed("avg_mau", 0), _fixed("avg_dau", 0), _fixed(stickiness, 1)),
         (),
         (),
     ]
     lines = [_say(text, *given) for text, given in zip(BATCH_INSIGHTS, values, strict=True)]
-    lines[21] = F.coalesce(lines[21], F.lit(NO_STICKINESS))
+    lines[21] = f"coalesce({lines[21]}, {_quoted(NO_STICKINESS)})"
     return _sentences(facts, lines)
 
 
@@ -134,34 +149,26 @@ def live_insights(events: DataFrame, filters: EventFilters | None = None) -> Dat
         median_duration(chosen).scalar().alias("median"),
         returning_users(chosen).scalar().alias("returning"),
     )
-    c = F.col
 
-    def earning(name: str) -> Column:
-        return c(f"top.{name}.low") < 0
+    def earning(spot: str) -> str:
+        return f"top.{spot}.low < 0"
 
-    share = ratio(-100.0 * c("top.country.low"), c("top.country_revenue"))
-    returning_pct = ratio(100.0 * c("returning"), c("total_users"))
+    say = LIVE_INSIGHTS
     lines = [
-        _say(
-            LIVE_INSIGHTS["country"], c("top.country.segment"), grouped(-c("top.country.low"), 2), fixed(share, 1),
-            when=earning("country"),
-        ),
-        _say(LIVE_INSIGHTS["device"], c("top.device.segment"), grouped(-c("top.device.low"), 2), when=earning("device")),
-        _say(LIVE_INSIGHTS["campaign"], c("top.campaign.segment"), grouped(-c("top.campaign.low"), 2), when=earning("campaign")),
-        _say(LIVE_INSIGHTS["traffic"], c("top.traffic.segment"), grouped(-c("top.traffic.low"), 0)),
-        _say(LIVE_INSIGHTS["event"], c("top.event.segment"), grouped(-c("top.event.low"), 0)),
-        _say(
-            LIVE_INSIGHTS["subscription"], c("top.subscription.segment"), grouped(-c("top.subscription.low"), 2),
-            when=earning("subscription"),
-        ),
-        _say(LIVE_INSIGHTS["users"], grouped(c("total_users"), 0), grouped(c("revenue"), 2), fixed(c("arpu"), 2)),
-        _say(LIVE_INSIGHTS["conversion"], fixed(c("conversion_rate"), 2), fixed(c("avg_purchase_value"), 2)),
-        _say(LIVE_INSIGHTS["activity"], fixed(c("dau"), 0), fixed(c("mau"), 0)),
-        _say(LIVE_INSIGHTS["funnel"], fixed(_drop_off(c("stages")), 1), F.lit(FUNNEL_STAGES[0]), F.lit(FUNNEL_STAGES[-1])),
-        _say(LIVE_INSIGHTS["returning"], fixed(returning_pct, 1), when=c("returning") > 0),
-        _say(LIVE_INSIGHTS["duration"], fixed(c("avg_session_duration"), 1), fixed(c("median"), 1)),
+        _say(say["country"], _name("country"), _amount("country", 2), _fixed(COUNTRY_SHARE, 1), when=earning("country")),
+        _say(say["device"], _name("device"), _amount("device", 2), when=earning("device")),
+        _say(say["campaign"], _name("campaign"), _amount("campaign", 2), when=earning("campaign")),
+        _say(say["traffic"], _name("traffic"), _amount("traffic", 0)),
+        _say(say["event"], _name("event"), _amount("event", 0)),
+        _say(say["subscription"], _name("subscription"), _amount("subscription", 2), when=earning("subscription")),
+        _say(say["users"], _grouped("total_users", 0), _grouped("revenue", 2), _fixed("arpu", 2)),
+        _say(say["conversion"], _fixed("conversion_rate", 2), _fixed("avg_purchase_value", 2)),
+        _say(say["activity"], _fixed("dau", 0), _fixed("mau", 0)),
+        _say(say["funnel"], _fixed(DROP_OFF, 1), _quoted(FUNNEL_STAGES[0]), _quoted(FUNNEL_STAGES[-1])),
+        _say(say["returning"], _fixed(RETURNING_PCT, 1), when="returning > 0"),
+        _say(say["duration"], _fixed("avg_session_duration", 1), _fixed("median", 1)),
     ]
-    return _sentences(facts, lines, empty=LIVE_INSIGHTS["empty"])
+    return _sentences(facts, lines, empty=say["empty"])
 
 
 def _device_conversion(events: DataFrame) -> DataFrame:
@@ -172,112 +179,93 @@ def _device_conversion(events: DataFrame) -> DataFrame:
     return bought.agg(F.min(F.struct((-rate).alias("low"), F.col("device_type").alias("segment"))))
 
 
-def _steepest_drop(users: Column) -> Column:
-    """``(low, from, to)`` of the largest loss between neighbouring stages; null if none."""
+def _steepest_drop() -> Column:
+    """``(low, step, from, to)`` of the largest loss between neighbouring stages; null if none."""
     steps = []
     for i in range(1, len(FUNNEL_STAGES)):
-        drop = 100 * (1 - ratio(users[i], users[i - 1]))
-        steps.append(
-            F.when(
-                drop > 0,
-                F.struct(
-                    (-drop).alias("low"), F.lit(i).alias("step"),
-                    F.lit(FUNNEL_STAGES[i - 1]).alias("from"), F.lit(FUNNEL_STAGES[i]).alias("to"),
-                ),
-            )
-        )
-    return F.array_min(F.array(*steps))
+        drop = f"100 * (1 - try_divide(cast(stages[{i}] AS double), stages[{i - 1}]))"
+        names = f"{_quoted(FUNNEL_STAGES[i - 1])} AS before, {_quoted(FUNNEL_STAGES[i])} AS after"
+        steps.append(f"CASE WHEN {drop} > 0 THEN struct(-({drop}) AS low, {i} AS step, {names}) END")
+    return F.expr(f"array_min(array({', '.join(steps)}))")
+
+
+def _earlier_kpis(events: DataFrame, filters: EventFilters | None) -> Column:
+    """KPIs of the previous period as a struct; null without a range or without events."""
+    earlier = filters.previous_period() if filters else None
+    if earlier is None:
+        return F.lit(None).cast("struct<revenue: double, conversion_rate: double>")
+    known = dashboard_kpis(events, earlier).where(F.col("total_events") > 0)
+    return one_row(known.select("revenue", "conversion_rate"))
 
 
 def recommendations(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """Up to twelve next steps; growth rules need a previous period with events."""
     chosen = select(events, filters)
-    earlier = filters.previous_period() if filters else None
-    before = dashboard_kpis(events, earlier).where(F.col("total_events") > 0) if earlier else None
-    now = kpis_with_stages(chosen)
-    missing = F.lit(None).cast("struct<revenue: double, conversion_rate: double>")
-    facts = now.select(
+    facts = kpis_with_stages(chosen).select(
         "*",
-        (one_row(before) if before is not None else missing).alias("before"),
+        _earlier_kpis(events, filters).alias("earlier"),
         one_row(segment_facts(chosen)).alias("top"),
         _device_conversion(chosen).scalar().alias("device_rate"),
         returning_users(chosen).scalar().alias("returning"),
+        _steepest_drop().alias("drop"),
     )
-    c = F.col
-    revenue_change = change_pct(c("revenue"), c("before.revenue"))
-    conversion_change = change_pct(c("conversion_rate"), c("before.conversion_rate"))
-    returning_pct = ratio_or(100.0 * c("returning"), c("total_users"))
-    stickiness = ratio_or(100.0 * c("dau"), c("mau"))
-    step = _steepest_drop(c("stages"))
-    paid = c("top.paid_campaign_revenue") > 0
+    revenue = "(100.0D * try_divide(revenue - earlier.revenue, earlier.revenue))"
+    conversion = "(100.0D * try_divide(conversion_rate - earlier.conversion_rate, earlier.conversion_rate))"
+    best_share = "try_divide(-100.0D * top.paid_campaign.low, top.paid_campaign_revenue)"
+    paid = "top.paid_campaign_revenue > 0"
+    several = f"{paid} AND {_name('weakest_campaign')} <> {_name('paid_campaign')}"
+    say = ADVICE
     lines = [
-        _say(ADVICE["revenue_up"], fixed(revenue_change, 1), when=revenue_change > 0),
-        _say(ADVICE["revenue_down"], fixed(F.abs(revenue_change), 1), when=revenue_change <= 0),
-        _say(ADVICE["conversion_down"], fixed(F.abs(conversion_change), 1), when=conversion_change < -CONVERSION_CHANGE),
-        _say(ADVICE["conversion_up"], fixed(conversion_change, 1), when=conversion_change > CONVERSION_CHANGE),
-        _say(
-            ADVICE["campaign_best"], c("top.paid_campaign.segment"),
-            fixed(ratio(-100.0 * c("top.paid_campaign.low"), c("top.paid_campaign_revenue")), 1), when=paid,
-        ),
-        _say(
-            ADVICE["campaign_worst"], c("top.weakest_campaign.segment"),
-            when=paid & (c("top.weakest_campaign.segment") != c("top.paid_campaign.segment")),
-        ),
-        _say(
-            ADVICE["country"], c("top.country.segment"),
-            fixed(ratio(-100.0 * c("top.country.low"), c("top.country_revenue")), 1), when=c("top.country_revenue") > 0,
-        ),
-        _say(ADVICE["device"], c("device_rate.segment"), fixed(-c("device_rate.low"), 1)),
-        _say(ADVICE["returning"], fixed(returning_pct, 1), when=(returning_pct != 0) & c("before").isNotNull()),
-        _say(ADVICE["funnel"], fixed(-step["low"], 1), step["from"], step["to"]),
-        _say(ADVICE["subscription"], c("top.subscription.segment"), when=c("top.subscription.low") < 0),
-        _say(ADVICE["stickiness_low"], fixed(stickiness, 1), when=stickiness < LOW_STICKINESS),
-        _say(ADVICE["stickiness_ok"], fixed(stickiness, 1), when=stickiness >= LOW_STICKINESS),
-        _say(ADVICE["traffic"], c("top.traffic.segment")),
+        _say(say["revenue_up"], _fixed(revenue, 1), when=f"{revenue} > 0"),
+        _say(say["revenue_down"], _fixed(f"abs({revenue})", 1), when=f"{revenue} <= 0"),
+        _say(say["conversion_down"], _fixed(f"abs({conversion})", 1), when=f"{conversion} < -{CONVERSION_CHANGE}"),
+        _say(say["conversion_up"], _fixed(conversion, 1), when=f"{conversion} > {CONVERSION_CHANGE}"),
+        _say(say["campaign_best"], _name("paid_campaign"), _fixed(best_share, 1), when=paid),
+        _say(say["campaign_worst"], _name("weakest_campaign"), when=several),
+        _say(say["country"], _name("country"), _fixed(COUNTRY_SHARE, 1), when="top.country_revenue > 0"),
+        _say(say["device"], "device_rate.segment", _fixed("-device_rate.low", 1)),
+        _say(say["returning"], _fixed(RETURNING_PCT, 1), when="returning > 0 AND earlier IS NOT NULL"),
+        _say(say["funnel"], _fixed("-drop.low", 1), "drop.before", "drop.after"),
+        _say(say["subscription"], _name("subscription"), when="top.subscription.low < 0"),
+        _say(say["stickiness_low"], _fixed(STICKINESS, 1), when=f"{STICKINESS} < {LOW_STICKINESS}"),
+        _say(say["stickiness_ok"], _fixed(STICKINESS, 1), when=f"{STICKINESS} >= {LOW_STICKINESS}"),
+        _say(say["traffic"], _name("traffic")),
     ]
-    return _sentences(facts, lines, empty=ADVICE["empty"], most=MOST_ADVICE)
+    return _sentences(facts, lines, empty=say["empty"], most=MOST_ADVICE)
 
 
 def executive_summary(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """Nine rows ``(position, label, value)``."""
     chosen = select(events, filters)
-    earlier = filters.previous_period() if filters else None
-    before = (
-        dashboard_kpis(events, earlier).where(F.col("total_events") > 0).select("revenue").scalar()
-        if earlier
-        else F.lit(None).cast("double")
-    )
     facts = kpis_with_stages(chosen).select(
         "*",
-        before.alias("revenue_before"),
+        _earlier_kpis(events, filters).alias("earlier"),
         returning_users(chosen).scalar().alias("returning"),
         one_row(segment_facts(chosen)).alias("top"),
     )
-    c = F.col
 
-    def earner(name: str) -> Column:
-        return F.when(c(f"top.{name}.low") < 0, c(f"top.{name}.segment"))
+    def earner(spot: str) -> str:
+        return f"CASE WHEN top.{spot}.low < 0 THEN {_name(spot)} END"
 
-    growth = change_pct(c("revenue"), c("revenue_before"))
+    growth = _fixed("100.0D * try_divide(revenue - earlier.revenue, earlier.revenue)", 1)
     values = [
-        F.concat(signed(growth, 1), F.lit("%")),
+        f"concat(CASE WHEN {growth} LIKE '-%' THEN '' ELSE '+' END, {growth}, '%')",
         earner("country"),
         earner("campaign"),
         earner("device"),
-        c("top.traffic.segment"),
+        _name("traffic"),
         earner("subscription"),
-        F.concat(fixed(F.coalesce(_drop_off(c("stages")), F.lit(0.0)), 1), F.lit("%")),
-        F.concat(fixed(ratio_or(100.0 * c("returning"), c("total_users")), 1), F.lit("%")),
-        F.concat(fixed(c("avg_session_duration"), 0), F.lit("s")),
+        f"concat({_fixed(f'coalesce({DROP_OFF}, 0D)', 1)}, '%')",
+        f"concat({_fixed(RETURNING_PCT, 1)}, '%')",
+        f"concat({_fixed('avg_session_duration', 0)}, 's')",
     ]
-    chips = F.array(
-        *[
-            F.struct(F.lit(label).alias("label"), F.coalesce(value, F.lit("N/A")).alias("value"))
-            for label, value in zip(SUMMARY_LABELS, values, strict=True)
-        ]
+    chips = ", ".join(
+        f"struct({_quoted(label)} AS label, coalesce({value}, 'N/A') AS value)"
+        for label, value in zip(SUMMARY_LABELS, values, strict=True)
+    )
+    return facts.selectExpr(f"posexplode(array({chips})) AS (at, chip)").selectExpr(
+        "at + 1 AS position", "chip.label AS label", "chip.value AS value"
     )
-    listed = facts.select(F.posexplode(chips).alias("at", "chip"))
-    return listed.select((F.col("at") + 1).alias("position"), "chip.label", "chip.value")
 
 
 def report_insights(events: DataFrame, segments: DataFrame, filters: EventFilters | None = None) -> DataFrame:
@@ -287,17 +275,11 @@ def report_insights(events: DataFrame, segments: DataFrame, filters: EventFilter
     facts = kpi_snapshot(events, filters).select(
         "*", one_row(best).alias("best"), champions.scalar().alias("champions")
     )
-    c = F.col
     lines = [
-        _say(
-            REPORT_TEXT["revenue"], grouped(F.coalesce("total_revenue", F.lit(0.0)), 2), grouped(c("total_users"), 0)
-        ),
-        _say(
-            REPORT_TEXT["arpu"], grouped(F.coalesce("arpu", F.lit(0.0)), 2),
-            fixed(F.coalesce("conversion_rate_pct", F.lit(0.0)), 2),
-        ),
-        _say(REPORT_TEXT["country"], c("best.country"), grouped(c("best.revenue"), 2)),
-        _say(REPORT_TEXT["champions"], fixed(c("champions"), 1)),
+        _say(REPORT_TEXT["revenue"], _grouped("coalesce(total_revenue, 0D)", 2), _grouped("total_users", 0)),
+        _say(REPORT_TEXT["arpu"], _grouped("coalesce(arpu, 0D)", 2), _fixed("coalesce(conversion_rate_pct, 0D)", 2)),
+        _say(REPORT_TEXT["country"], "best.country", _grouped("best.revenue", 2)),
+        _say(REPORT_TEXT["champions"], _fixed("champions", 1)),
     ]
     return _sentences(facts, lines)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.filters import EventFilters, select
 from eventloom.functions.keys import month_key
-from eventloom.functions.measures import one_row, user_rollup
+from eventloom.functions.measures import one_row, sql_columns, user_rollup
 from eventloom.functions.numbers import (
     change_pct,
     currency_label,
@@ -29,66 +29,63 @@ COMPARED = (
 )
 
 
-_SUMS = ("events", "revenue", "purchases", "payments", "paid", "duration", "timed_events")
-_FLAGS = ("has_payment", *[f"stage_{i}" for i in range(len(FUNNEL_STAGES))])
+SUMS = ("events", "revenue", "purchases", "payments", "paid", "duration", "timed_events")
+STAGE_FLAGS = [f"stage_{i}" for i in range(len(FUNNEL_STAGES))]
+FLAGS = ["has_payment", *STAGE_FLAGS]
+
+# user-months -> users -> one row -> rates
+USER_TOTALS = {
+    "days": "sum(bit_count(days))",
+    "months": "count(month)",
+    **{name: f"max({name})" for name in FLAGS},
+    **{name: f"sum({name})" for name in SUMS},
+}
+TOTALS = {
+    "users": "count(user_id)",
+    "user_days": "coalesce(sum(days) FILTER (WHERE user_id IS NOT NULL), 0)",
+    "user_months": "coalesce(sum(months) FILTER (WHERE user_id IS NOT NULL), 0)",
+    **{name: f"count_if(user_id IS NOT NULL AND {name})" for name in FLAGS},
+    **{name: f"coalesce(sum({name}), 0)" for name in SUMS},
+}
+RATES = {
+    "users": "users",
+    "payers": "has_payment",
+    "events": "events",
+    "sessions": "sessions",
+    "revenue": "cast(revenue AS double)",
+    "payments": "payments",
+    "dau": "coalesce(try_divide(cast(user_days AS double), calendar.days), 0D)",
+    "mau": "coalesce(try_divide(cast(user_months AS double), calendar.months), 0D)",
+    "arpu": "coalesce(try_divide(cast(revenue AS double), users), 0D)",
+    "arppu": "coalesce(try_divide(cast(revenue AS double), has_payment), 0D)",
+    "conversion": "coalesce(try_divide(100.0D * has_payment, users), 0D)",
+    "purchase_rate": "coalesce(try_divide(100.0D * purchases, events), 0D)",
+    "avg_purchase": "coalesce(try_divide(cast(paid AS double), payments), 0D)",
+    "avg_duration": "coalesce(try_divide(cast(duration AS double), timed_events), 0D)",
+    "stages": f"array({', '.join(STAGE_FLAGS)})",
+}
 
 
 def activity_totals(events: DataFrame) -> DataFrame:
-    """One row of totals, user counts per flag and funnel stage, and calendar counts.
+    """One row of totals, rates and users per funnel stage, zero for no events.
 
     Events are reduced to user-months and then to users. The days a user was
     active in a month are kept as bits of one number, so mean daily and monthly
     users and all user counts come from the same, single shuffle of events.
     """
     months = user_rollup(events.withColumn("month", month_key(F.col("event_date"))), "month")
-    users = months.groupBy("user_id").agg(
-        F.sum(F.bit_count("days")).alias("days"),
-        F.count("month").alias("months"),
-        *[F.max(name).alias(name) for name in _FLAGS],
-        *[F.sum(name).alias(name) for name in _SUMS],
+    users = months.groupBy("user_id").agg(*sql_columns(USER_TOTALS))
+    calendar = (
+        events.select("event_date")
+        .distinct()
+        .selectExpr("struct(count(event_date) AS days, count(DISTINCT date_format(event_date, 'yyyy-MM')) AS months)")
     )
-    calendar = events.select("event_date").distinct().agg(
-        F.count("event_date").alias("days"),
-        F.count_distinct(month_key(F.col("event_date"))).alias("months"),
-    )
-    known = F.col("user_id").isNotNull()
-    totals = users.agg(
-        F.count("user_id").alias("users"),
-        F.sum(F.when(known, F.col("days"))).alias("user_days"),
-        F.sum(F.when(known, F.col("months"))).alias("user_months"),
-        *[F.count_if(known & F.col(name)).alias(name) for name in _FLAGS],
-        *[F.sum(name).alias(name) for name in _SUMS],
-    )
-    return totals.select(
-        "users",
-        F.col("has_payment").alias("payers"),
-        F.coalesce("events", F.lit(0)).alias("events"),
-        F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue"),
-        F.coalesce("purchases", F.lit(0)).alias("purchases"),
-        F.coalesce("payments", F.lit(0)).alias("payments"),
-        F.col("paid").cast("double").alias("paid"),
-        F.col("duration").cast("double").alias("duration"),
-        "timed_events",
-        F.coalesce("user_days", F.lit(0)).alias("user_days"),
-        F.coalesce("user_months", F.lit(0)).alias("user_months"),
-        F.array(*[F.col(name) for name in _FLAGS if name.startswith("stage_")]).alias("stages"),
-        one_row(calendar).alias("calendar"),
+    totals = users.agg(*sql_columns(TOTALS)).select(
+        "*",
+        calendar.scalar().alias("calendar"),
         events.agg(F.count_distinct("session_id")).scalar().alias("sessions"),
     )
-
-
-def _rates() -> dict:
-    per_user = F.col("users")
-    return {
-        "dau": ratio_or(F.col("user_days"), F.col("calendar.days")),
-        "mau": ratio_or(F.col("user_months"), F.col("calendar.months")),
-        "arpu": ratio_or(F.col("revenue"), per_user),
-        "arppu": ratio_or(F.col("revenue"), F.col("payers")),
-        "conversion": ratio_or(100.0 * F.col("payers"), per_user),
-        "purchase_rate": ratio_or(100.0 * F.col("purchases"), F.col("events")),
-        "avg_purchase": ratio_or(F.col("paid"), F.col("payments")),
-        "avg_duration": ratio_or(F.col("duration"), F.col("timed_events")),
-    }
+    return totals.select(*sql_columns(RATES))
 
 
 def returning_users(events: DataFrame) -> DataFrame:
@@ -103,24 +100,25 @@ def batch_kpis(events: DataFrame) -> DataFrame:
 
 
 def batch_kpis_with_stages(events: DataFrame) -> DataFrame:
-    rates = _rates()
-    returning = returning_users(events).scalar()
-    return activity_totals(events).select(
-        F.col("users").alias("total_users"),
-        F.col("events").alias("total_events"),
-        F.col("sessions").alias("total_sessions"),
-        rates["dau"].alias("avg_dau"),
-        rates["mau"].alias("avg_mau"),
-        F.col("revenue").alias("total_revenue"),
-        rates["arpu"].alias("arpu"),
-        rates["arppu"].alias("arppu"),
-        rates["avg_purchase"].alias("avg_purchase_value"),
-        F.col("payers").alias("paying_users"),
-        rates["avg_duration"].alias("avg_session_duration"),
-        median_duration(events).scalar().alias("median_session_duration"),
-        rates["conversion"].alias("conversion_rate_pct"),
-        rates["purchase_rate"].alias("purchase_rate_pct"),
-        ratio_or(100.0 * returning, F.col("users")).alias("returning_user_pct"),
+    totals = activity_totals(events).select(
+        "*", median_duration(events).scalar().alias("median"), returning_users(events).scalar().alias("returning")
+    )
+    return totals.selectExpr(
+        "users AS total_users",
+        "events AS total_events",
+        "sessions AS total_sessions",
+        "dau AS avg_dau",
+        "mau AS avg_mau",
+        "revenue AS total_revenue",
+        "arpu",
+        "arppu",
+        "avg_purchase AS avg_purchase_value",
+        "payers AS paying_users",
+        "avg_duration AS avg_session_duration",
+        "median AS median_session_duration",
+        "conversion AS conversion_rate_pct",
+        "purchase_rate AS purchase_rate_pct",
+        "coalesce(try_divide(100.0D * returning, users), 0D) AS returning_user_pct",
         "stages",
     )
 
@@ -136,20 +134,19 @@ def dashboard_kpis(events: DataFrame, filters: EventFilters | None = None) -> Da
 
 def kpis_with_stages(events: DataFrame) -> DataFrame:
     """The top-line KPIs and the users per funnel stage as an array."""
-    rates = _rates()
-    return activity_totals(events).select(
-        F.col("users").alias("total_users"),
-        rates["dau"].alias("dau"),
-        rates["mau"].alias("mau"),
+    return activity_totals(events).selectExpr(
+        "users AS total_users",
+        "dau",
+        "mau",
         "revenue",
-        rates["arpu"].alias("arpu"),
-        rates["conversion"].alias("conversion_rate"),
-        rates["avg_purchase"].alias("avg_purchase_value"),
-        F.col("payers").alias("paying_users"),
-        F.col("sessions").alias("total_sessions"),
-        F.col("payments").alias("total_purchases"),
-        F.col("events").alias("total_events"),
-        rates["avg_duration"].alias("avg_session_duration"),
+        "arpu",
+        "conversion AS conversion_rate",
+        "avg_purchase AS avg_purchase_value",
+        "payers AS paying_users",
+        "sessions AS total_sessions",
+        "payments AS total_purchases",
+        "events AS total_events",
+        "avg_duration AS avg_session_duration",
         "stages",
     )
 

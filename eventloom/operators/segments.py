@@ -96,20 +96,14 @@ def segment_totals(events: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     )
 
 
-def leader(dimension: str, measure: str, keep: Column | None = None) -> Column:
+def leader(dimension: str, measure: str, keep: str = "true") -> Column:
     """Over segment totals: ``(low, segment)`` of the largest measure.
 
     ``low`` is the measure with its sign turned, so that of equal measures the
     first name wins.
     """
-    wanted = F.col("dimension") == dimension
-    if keep is not None:
-        wanted = wanted & keep
-    return F.min(F.when(wanted, F.struct((-F.col(measure)).alias("low"), F.col("segment"))))
+    return F.expr(f"min(struct(-{measure} AS low, segment)) FILTER (WHERE dimension = '{dimension}' AND {keep})")
 
 
-def total_of(dimension: str, measure: str, keep: Column | None = None) -> Column:
-    wanted = F.col("dimension") == dimension
-    if keep is not None:
-        wanted = wanted & keep
-    return F.sum(F.when(wanted, F.col(measure)))
+def total_of(dimension: str, measure: str, keep: str = "true") -> Column:
+    return F.expr(f"sum({measure}) FILTER (WHERE dimension = '{dimension}' AND {keep})")
