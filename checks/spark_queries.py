@@ -334,7 +334,6 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # Chart data.
-_on("chart_dau_trend", click_events, chart_data.dau_smoothed)
 QUERIES["chart_dau_trend"] = lambda spark, folder: _steady(chart_data.dau_smoothed(click_events(spark, folder)))
 _on("chart_revenue_by_country", click_events, chart_data.revenue_by, "country")
 _on("chart_revenue_by_device", click_events, chart_data.revenue_by, "device_type", earning_only=True)
