@@ -3,3 +3,36 @@
 from __future__ import annotations
 
 SQL: dict[str, str] = {}
+
+_ASSIGN = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    "[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)"
+)
+
+
+def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    return f"""
+    SELECT doc_id, {rank} AS rank, '{kind}' AS kind, a AS start_at, a + length(m) AS end_at
+    FROM (
+      SELECT doc_id, ms[i] AS m, gs[i] AS g,
+             list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a
+      FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS pieces, regexp_extract_all(t, '{pattern}', 0) AS ms,
+                   regexp_extract_all(t, '{pattern}', {group}) AS gs
+            FROM d WHERE regexp_matches(t, '{pattern}')) p, unnest(range(1, len(ms) + 1)) AS u(i)
+    ) WHERE length(g) >= {least}"""
+
+
+SQL["op2_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_spans("assign", 1, _ASSIGN, 2, 12)}
+    UNION ALL {_spans("access", 2, "AKIA[A-Z0-9]+", 0, 18)}
+    UNION ALL {_spans("hex", 3, "[0-9a-f]+", 0, 16)}),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || CAST(CAST(start_at AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(end_at AS BIGINT) AS VARCHAR), ',' ORDER BY start_at, rank) AS spans
+  FROM found GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import simhash
+from eventloom.llm import bpe, secrets, simhash
+from eventloom.session import fresh_path
 
 QUERIES = {}
 
@@ -27,3 +29,28 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    ledger = secrets.BlobLedger(spark, fresh_path(spark, "secret-ledger"))
+    found = secrets.scan_documents(ledger, _table(spark, folder, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda f: f["rule"] == kind)).cast("long").alias(f"n_{kind}")
+
+    listed = F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["rule"], f["start"], f["end"])), ",")
+    return found.select(
+        F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans")
+    )
+
+
+@query
+def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
