@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, secrets, simhash
+from eventloom.llm import bpe, packing, secrets, simhash
 from eventloom.session import fresh_path
 
 QUERIES = {}
@@ -54,3 +54,20 @@ def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op4_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_digests(packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def piece_digests(pieces: DataFrame) -> DataFrame:
+    return pieces.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        F.col("tokens").alias("doc_tokens"),
+        F.col("sequence").alias("sequence_id"),
+        "offset",
+    )
