@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, packing, secrets, simhash
+from eventloom.llm import bpe, multi_index, packing, secrets, simhash, topk
 from eventloom.session import fresh_path
 
 QUERIES = {}
@@ -71,3 +71,16 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
         F.col("sequence").alias("sequence_id"),
         "offset",
     )
+
+
+@query
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    found = topk.exact_top_k(rows.where("vec_id % 50 = 0"), rows)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = multi_index.near_duplicates(_table(spark, folder, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
