@@ -43,6 +43,11 @@ def text_rows(docs: DataFrame, id_column: str, text_column: str, *others: Column
     )
 
 
+def held_out(ident: Column, parts: int, part: int) -> Column:
+    """Whether crc32 of the id as text leaves ``part`` on division by ``parts``; a null id is not held out."""
+    return F.coalesce(F.crc32(ident.cast("string")) % parts == part, F.lit(False))
+
+
 def words_of(text: str) -> list[bytes]:
     """Words between ASCII white space, with A-Z lower-cased and nothing else changed."""
     return text.encode().lower().split()

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, multi_index, packing, secrets, simhash, topk
+from eventloom.llm import bpe, lm, multi_index, packing, secrets, simhash, topk, toxicity
+from eventloom.llm.batches import held_out
 from eventloom.session import fresh_path
 
 QUERIES = {}
@@ -84,3 +85,21 @@ def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = multi_index.near_duplicates(_table(spark, folder, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    model = toxicity.learn(docs, labels.where(~held_out(F.col("doc_id"), 4, 2)))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        held_out(F.col("id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
