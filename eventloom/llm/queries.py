@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, lm, multi_index, packing, secrets, simhash, topk, toxicity
+from eventloom.llm import bpe, lines, lm, multi_index, packing, secrets, simhash, topk, toxicity
 from eventloom.llm.batches import held_out
 from eventloom.session import fresh_path
 
@@ -103,3 +103,14 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_fuzzy_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("dropped").cast("long").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+        F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"),
+    )
