@@ -65,3 +65,37 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
+
+SQL["op7_preference_formatting"] = """
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+replies AS (
+  SELECT conv_id, turn AS last_turn, coalesce(text, '') AS reply,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, coalesce(text, '') DESC) AS k
+  FROM c WHERE role = 'assistant'
+), last AS (SELECT * FROM replies WHERE k = 1),
+sides AS (
+  SELECT conv_id, 'chosen' AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c
+  UNION
+  SELECT c.conv_id, 'rejected', c.turn, coalesce(c.role, ''),
+         CASE WHEN c.turn = own.last_turn AND c.role = 'assistant' THEN coalesce(other.reply, '') ELSE coalesce(c.text, '') END
+  FROM c LEFT JOIN last own ON c.conv_id = own.conv_id LEFT JOIN last other ON xor(c.conv_id, 1) = other.conv_id
+), placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS INTEGER) AS position FROM sides
+), firsts AS (
+  SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, min(coalesce(a.position, b.position)) AS first
+  FROM (SELECT * FROM placed WHERE side = 'chosen') a
+  FULL JOIN (SELECT * FROM placed WHERE side = 'rejected') b ON a.conv_id = b.conv_id AND a.position = b.position
+  WHERE a.conv_id IS NULL OR b.conv_id IS NULL OR a.role <> b.role OR a.text <> b.text
+  GROUP BY 1
+), parts AS (
+  SELECT p.*, first, CASE WHEN first IS NULL OR position < first THEN 'prompt' ELSE side END AS part
+  FROM placed p LEFT JOIN firsts USING (conv_id)
+), rendered AS (
+  SELECT *, '<|im_start|>' || role || chr(10) AS header, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS segment
+  FROM parts WHERE part <> 'prompt' OR side = 'chosen'
+)
+SELECT conv_id, part, position, role, sha256(segment) AS segment_sha256,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN CAST(length(header) AS INTEGER) END AS trained_from,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN CAST(length(segment) AS INTEGER) END AS trained_to
+FROM rendered
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, lines, lm, multi_index, packing, secrets, simhash, topk, toxicity
+from eventloom.llm import bpe, chat, lines, lm, multi_index, packing, secrets, simhash, topk, toxicity
 from eventloom.llm.batches import held_out
 from eventloom.session import fresh_path
 
@@ -114,3 +114,11 @@ def op6_fuzzy_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
         F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"),
     )
+
+
+@query
+def op7_preference_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    found = chat.preference_segments(chat.swapped_replies(_table(spark, folder, "conversations")))
+    return found.select(
+        F.col("pair_id").alias("conv_id"), "part", "position", "role", F.sha2("segment", 256).alias("segment_sha256"), "trained_from", "trained_to"
+    )
