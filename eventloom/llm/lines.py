@@ -167,18 +167,18 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return again.groupBy("id", "copy").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", dropped_column: str = "dropped") -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without repeated lines, and ``dropped``, the numbers of those lines.
 
     A line is what stands between line feeds. Lines of fewer than LEAST_WORDS words
     always stay. The first occurrence, by id and then place, of each group of
     equal or similar lines stays. Null texts stay null, empty ones empty; a row
     without an id stays as it is and its lines match none. Repeated rows are
-    one place: each keeps the same lines. Other columns pass through, whatever
-    their names; an empty table gives no rows.
+    one place: each keeps the same lines. Other columns pass through, but for one
+    with the name of ``dropped_column``; an empty table gives no rows.
     """
     gone = dropped_lines(docs, id_column, text_column)
-    names = [c for c in docs.columns if c != "dropped"]
+    names = [c for c in docs.columns if c != dropped_column]
     text = F.col(f"`{text_column}`").cast("string")
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{id_column}`").cast("long").alias("__id"), F.xxhash64(text).alias("__copy"))
     gone = gone.select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), F.col("dropped").alias("__dropped"))
@@ -186,4 +186,4 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
     new_text = F.when(F.col("__dropped").isNull(), text).otherwise(kept)
     columns = [new_text.alias(c) if c == text_column else F.col(f"`{c}`") for c in names]
-    return joined.select(*columns, F.coalesce("__dropped", F.array().cast("array<int>")).alias("dropped"))
+    return joined.select(*columns, F.coalesce("__dropped", F.array().cast("array<int>")).alias(dropped_column))

@@ -135,6 +135,22 @@ def _addressed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(ident.alias("id"), row.alias("row"), text.alias("text"), F.sha2(text, 256).alias("blob"))
 
 
+def scan_blobs(
+    ledger: BlobLedger, docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``(blob, found)`` for each content of ``docs`` with secrets, after scanning what the ledger has not seen.
+
+    ``found`` is an array of ``(start, rank, rule, end)``, sorted.
+    """
+    versions = _addressed(docs, id_column, text_column)
+    ledger.scan(versions.select("row", "blob", "text"), rules)
+    names = F.array(*[F.lit(r.name) for r in rules])
+    current = [f"{r.name}:{r.version}" for r in rules]
+    entry = F.struct("start", F.array_position(names, F.col("rule")).alias("rank"), "rule", "end")
+    found = ledger.findings().where(F.concat_ws(":", "rule", "version").isin(current)).groupBy("blob")
+    return found.agg(F.sort_array(F.collect_list(entry)).alias("found"))
+
+
 def scan_documents(
     ledger: BlobLedger, docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -146,15 +162,32 @@ def scan_documents(
     again. Repeated rows stay repeated, other columns are ignored, and an empty
     table gives no rows.
     """
-    versions = _addressed(docs, id_column, text_column)
-    ledger.scan(versions.select("row", "blob", "text"), rules)
-    names = F.array(*[F.lit(r.name) for r in rules])
-    current = [f"{r.name}:{r.version}" for r in rules]
-    found = (
-        ledger.findings()
-        .where(F.concat_ws(":", "rule", "version").isin(current))
-        .groupBy("blob")
-        .agg(F.sort_array(F.collect_list(F.struct("start", F.array_position(names, F.col("rule")).alias("rank"), "rule", "end"))).alias("found"))
-    )
+    found = scan_blobs(ledger, docs, rules, id_column, text_column)
     nothing = F.array().cast("array<struct<start:int,rank:long,rule:string,end:int>>")
-    return versions.select("id", "blob").join(found, "blob", "left").select("id", F.coalesce("found", nothing).alias("found"))
+    rows = _addressed(docs, id_column, text_column).select("id", "blob").join(found, "blob", "left")
+    return rows.select("id", F.coalesce("found", nothing).alias("found"))
+
+
+def redact(
+    ledger: BlobLedger, docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """All rows and columns of ``docs``; in ``text`` each found secret is replaced by its kind in brackets.
+
+    Of spans that overlap, those that begin inside an earlier one end with it and
+    leave no mark of their own. Rows whose text holds no secret, or is null, stay as they are.
+    """
+    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
+    found = scan_blobs(ledger, docs, rules, id_column, text_column).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
+    rows = docs.withColumn("__blob", F.sha2(text, 256)).join(found, "__blob", "left")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(done: Column, span: Column) -> Column:
+        gap = F.substring(text, done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0)))
+        mark = F.when(span["start"] >= done["at"], F.concat(F.lit("["), span["rule"], F.lit("]"))).otherwise(F.lit(""))
+        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.concat(done["out"], gap, mark).alias("out"))
+
+    def finish(done: Column) -> Column:
+        return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+
+    new = F.when(F.col("__found").isNull(), F.col(f"`{text_column}`")).otherwise(F.aggregate("__found", start, step, finish))
+    return rows.select(*[new.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ Rows meet by key; fingerprints that share a key are compared bit by bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +50,16 @@ def fingerprint(text: str, words: int) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(starts), 65_536):
         pairs = zip(starts[at : at + 65_536], ends[at : at + 65_536], strict=True)
-        hashes = np.array([digest(line[s:e], HASH_SEED) for s, e in pairs], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts), bitorder="little").tobytes(), "little")
+        counts += _bit_counts(np.array([digest(line[s:e], HASH_SEED) for s, e in pairs], np.uint64))
+    return _majority(counts, len(starts))
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, total: int) -> int:
+    return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, words: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -91,8 +97,14 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _linked_pairs(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what a group of rows with one key connects, for all groups at once."""
+def _linked_pairs(
+    keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, max_bits: int, nearest: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what a group of rows with one key connects, for all groups at once.
+
+    With ``nearest``, a large group gives instead, for each row, the links to that many
+    rows with the fewest differing bits, smaller ids first.
+    """
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     for d in range(1, min(16, int(sizes.max()))):
@@ -100,7 +112,8 @@ def _linked_pairs(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, max_bit
         linked = same[np.bitwise_count(prints[same + d] ^ prints[same]) <= max_bits]
         yield ids[linked], ids[linked + d]
     for start, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-        yield _clusters(prints[start : start + size], ids[start : start + size], max_bits)
+        group = prints[start : start + size], ids[start : start + size]
+        yield _nearest(*group, max_bits, nearest) if nearest else _clusters(*group, max_bits)
 
 
 def _clusters(prints: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +137,21 @@ def _clusters(prints: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.nd
     return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
 
 
-def _meet(rows: DataFrame, max_bits: int, limit: int) -> DataFrame:
+def _nearest(prints: np.ndarray, ids: np.ndarray, max_bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(ids, kind="stable")
+    prints, ids = prints[order], ids[order]
+    left, right = [], []
+    for at in range(0, len(ids), 256):
+        apart = np.bitwise_count(prints[at : at + 256, None] ^ prints[None, :]).astype(np.int16)
+        apart[ids[at : at + 256, None] == ids[None, :]] = 99
+        near = np.argsort(apart, axis=1, kind="stable")[:, :most]
+        row, column = np.nonzero(np.take_along_axis(apart, near, 1) <= max_bits)
+        left.append(ids[at + row])
+        right.append(ids[near[row, column]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _meet(rows: DataFrame, max_bits: int, limit: int, nearest: int = 0) -> DataFrame:
     """``(kind, key, a, b)``: links (kind 0), and the rows of keys over ``limit`` as they are (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +164,7 @@ def _meet(rows: DataFrame, max_bits: int, limit: int) -> DataFrame:
             if large:
                 yield out(1, keys, ids, prints)
                 continue
-            found = list(_linked_pairs(keys, prints.view(np.uint64), ids, max_bits))
+            found = list(_linked_pairs(keys, prints.view(np.uint64), ids, max_bits, nearest))
             if found and sum(len(a) for a, _ in found):
                 a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
                 pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
@@ -156,6 +183,10 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_LIMIT)
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the keys are made for 0 to {MAX_BITS} bits")
+    return _pairs_by_key(prints, fuzzy_keys, max_bits, limit, 0)
+
+
+def _pairs_by_key(prints: DataFrame, keys: Callable, max_bits: int, limit: int, nearest: int) -> DataFrame:
     spark = prints.sparkSession
     short_batches(spark)
     block = max(1, limit // 2)
@@ -163,14 +194,14 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_LIMIT)
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = batch.column("id").to_numpy(), batch.column("print").to_numpy()
-            row, key = fuzzy_keys(found.view(np.uint64))
+            row, key = keys(found.view(np.uint64))
             for at in range(0, len(row), 8192):
                 r = row[at : at + 8192]
                 columns = [pa.array(key[at : at + 8192]), pa.array(found[r]), pa.array(ids[r])]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "print", "id"])
 
     rows = prints.select("id", "print").mapInArrow(keyed, "key long, print long, id long")
-    met = durable(_meet(rows, max_bits, limit))
+    met = durable(_meet(rows, max_bits, limit, nearest))
     pairs = met.where("kind = 0").select("a", "b")
     heavy = met.where("kind = 1").select("key", F.col("a").alias("id"), F.col("b").alias("print"))
     while not heavy.isEmpty():
@@ -180,7 +211,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_LIMIT)
         cells = both.select(
             F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "print", "id"
         )
-        met = durable(_meet(cells, max_bits, limit * 2))
+        met = durable(_meet(cells, max_bits, limit * 2, nearest))
         pairs = pairs.unionByName(met.where("kind = 0").select("a", "b"))
         heavy = met.where("kind = 1").select("key", F.col("a").alias("id"), F.col("b").alias("print"))
         limit *= 2
@@ -209,3 +240,91 @@ def near_duplicates(
     return rows.join(named, "fingerprint", "left").select(
         "id", "fingerprint", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")
     )
+
+
+# Near copies by similarity: two segments with up to two errors each make a candidate, shingles decide.
+CANDIDATE_BITS = 10
+NEAREST = 4  # candidates of a row within one key that more than 16 rows share
+BROADCAST_ROWS = 200_000  # ids of candidates; longer lists are joined by shuffle
+
+
+def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)``: fingerprints with up to two errors in each of two segments share a key."""
+    words = [(prints >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in SEGMENTS]
+    near = [golay.nearby(w, bits) for w, (_, bits) in zip(words, SEGMENTS, strict=True)]
+    counts = [np.bincount(row, minlength=len(prints)) for row, _ in near]
+    rows, keys = [], []
+    for family, (a, b) in enumerate(((0, 1), (1, 2), (0, 2))):
+        (row, index), (_, other) = near[a], near[b]
+        times = counts[b][row]
+        first = np.repeat((np.cumsum(counts[b]) - counts[b])[row], times)
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        rows.append(np.repeat(row, times))
+        keys.append(family << 24 | np.repeat(index, times).astype(np.int64) << 12 | other[first + step])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _shingles(text: str, words: int) -> np.ndarray:
+    tokens = words_of(text)
+    parts = {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else ()
+    return np.unique(np.array([xxhash.xxh64_intdigest(p) for p in parts], np.uint64))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
+    """Pairs whose sets of word shingles have at least that Jaccard similarity."""
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = text_rows(docs, id_column, text_column).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = texts.mapInArrow(read, "id long, set binary").dropDuplicates(["id"])
+    sides = [sets.select(F.col("id").alias(i), F.col("set").alias(s)) for i, s in (("a", "x"), ("b", "y"))]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(id, component)`` for every row: the smallest id reachable through texts that are similar.
+
+    Texts are similar if the Jaccard similarity of their sets of word shingles is
+    at least ``similarity``. Candidates come from fingerprints of the distinct
+    words, which a few edits hardly move; the same Golay keys are used, and any
+    two with at most two errors in each of two segments meet. That is no proof
+    for every similar pair: README has the measured recall. Equal word
+    sequences are joined before. Where a key has many rows, each is compared
+    with its nearest. Nulls, empty texts, repeated rows, other columns and empty
+    tables are as in ``near_duplicates``; of rows with one id, one text is compared.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents, prints = [], []
+            for text in batch.column("text").to_pylist():
+                tokens = words_of(text)
+                distinct = np.array([xxhash.xxh64_intdigest(w, HASH_SEED) for w in set(tokens)], np.uint64)
+                prints.append(_majority(_bit_counts(distinct), len(distinct)) if tokens else 0)
+                contents.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (contents, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "content", "print"])
+
+    rows = durable(text_rows(docs, id_column, text_column).mapInArrow(run, "id long, content long, print long"))
+    known = durable(rows.where("id is not null").groupBy("content", "print").agg(F.min("id").alias("id")))
+    pairs = durable(_pairs_by_key(known, wide_keys, CANDIDATE_BITS, GROUP_LIMIT, NEAREST))
+    groups = connected_components(_verified(pairs, docs, words, similarity, id_column, text_column))
+    named = known.join(groups, known.id == groups.node, "left").select("content", "print", F.coalesce("component", "id").alias("component"))
+    return rows.join(named, ["content", "print"], "left").select(
+        "id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")
+    )
