@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.spark_queries import FILTERED, ON_ORDERS
-from eventloom.schema import COHORT_DAYS, EVENT_COLUMNS, RETENTION_BUCKETS, SEGMENT_DIMENSIONS
+from eventloom.schema import EVENT_COLUMNS
 from eventloom.wording import (
     ADVICE,
     BATCH_INSIGHTS,
@@ -16,6 +16,12 @@ from eventloom.wording import (
     WARNING_TEXT,
 )
 
+# Written out here, so that a wrong list in the package shows.
+SEGMENT_DIMENSIONS = (
+    "country", "city", "device_type", "os", "traffic_source", "campaign", "subscription", "user_type", "retention_day",
+)
+COHORT_DAYS = (1, 3, 7, 14, 30)
+
 CLICKS = """
 e0 AS (
   SELECT ev.*, CAST(regexp_extract(ev.props, '([0-9]+)', 1) AS INT) AS k,
@@ -40,9 +46,9 @@ e0 AS (
     CASE event_type WHEN 'view' THEN 'App Open' WHEN 'click' THEN 'Search' WHEN 'signup' THEN 'Add to Cart'
                     WHEN 'purchase' THEN 'Purchase' ELSE 'Logout' END AS event_name,
     CAST(CASE WHEN event_id % 610 = 7 THEN 86400 ELSE 10 + (event_id * 37) % 600 END AS INT) AS session_duration,
-    CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS DECIMAL(10,2)) AS revenue,
+    CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS DECIMAL(18,2)) AS revenue,
     CAST(CASE WHEN event_type = 'click' THEN k % 50 ELSE 0 END AS INT) AS level_completed,
-    CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS DECIMAL(10,2)) AS purchase_amount,
+    CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS DECIMAL(18,2)) AS purchase_amount,
     CASE WHEN event_id % 10 < 7 THEN 'Free' WHEN event_id % 10 < 9 THEN 'Monthly' ELSE 'Annual' END AS subscription,
     CASE WHEN event_id % 5 = 0 THEN NULL ELSE c_mktsegment END AS campaign,
     CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 7 WHEN 3 THEN 14 WHEN 4 THEN 30 WHEN 5 THEN 60 ELSE 90 END AS retention_day,
@@ -73,9 +79,9 @@ ev AS (
     CASE WHEN c.c_custkey % 20 < 7 THEN 'New' ELSE 'Returning' END AS user_type,
     CASE od.o_orderstatus WHEN 'F' THEN 'Purchase' WHEN 'O' THEN 'Add to Cart' ELSE 'Search' END AS event_name,
     CAST(10 + (od.o_orderkey * 37) % 600 AS INT) AS session_duration,
-    CAST(CASE WHEN od.o_orderstatus = 'F' THEN od.o_totalprice ELSE 0 END AS DECIMAL(10,2)) AS revenue,
+    CAST(CASE WHEN od.o_orderstatus = 'F' THEN od.o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS revenue,
     0 AS level_completed,
-    CAST(CASE WHEN od.o_orderstatus = 'F' THEN od.o_totalprice ELSE 0 END AS DECIMAL(10,2)) AS purchase_amount,
+    CAST(CASE WHEN od.o_orderstatus = 'F' THEN od.o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS purchase_amount,
     CASE WHEN od.o_orderkey % 10 < 7 THEN 'Free' WHEN od.o_orderkey % 10 < 9 THEN 'Monthly' ELSE 'Annual' END AS subscription,
     od.o_orderpriority AS campaign,
     CASE od.o_orderkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 7 WHEN 3 THEN 14 WHEN 4 THEN 30 WHEN 5 THEN 60 ELSE 90 END AS retention_day
@@ -344,6 +350,13 @@ add("clean_for_dashboard", CLICKS, f"SELECT {_names} FROM ev")
 add("csv_dashboard_load", CLICKS, f"SELECT {_names} FROM ev")
 add("clean_for_import", CLICKS, f"SELECT {_names} FROM ev")
 add("import_events", CLICKS, f"SELECT {_names} FROM ev")
+add(
+    "import_events_line_breaks", CLICKS,
+    """SELECT * REPLACE (coalesce('a "b"' || chr(10) || city || ',' || chr(10) || 'c', 'Unknown') AS city, coalesce(campaign, 'None') AS campaign,
+        coalesce(app_version, 'Unknown') AS app_version) FROM (SELECT %s FROM e_raw)""" % _names,
+)
+add("events_table", CLICKS, f"SELECT {_names} FROM ev")
+add("first_present", CLICKS, "SELECT coalesce(campaign, city, 'none') AS first, COUNT(*) AS events FROM e_raw GROUP BY 1")
 add("csv_bulk_load", CLICKS, f"SELECT {_names} FROM e_raw")
 add(
     "duration_cap", CLICKS, "SELECT cap FROM cap",
@@ -354,7 +367,11 @@ add(
     """SELECT (SELECT COUNT(*) FROM e_raw) AS rows_in, CAST(0 AS BIGINT) AS dropped_incomplete,
         (SELECT COUNT(*) FROM e_raw) - (SELECT COUNT(*) FROM dd) AS duplicates_removed,
         (SELECT COUNT(*) FROM dd, cap WHERE session_duration > cap) AS durations_capped,
-        (SELECT COUNT(*) FROM dd) AS rows_out""",
+        (SELECT COUNT(*) FROM dd) AS rows_out, """
+    + ", ".join(
+        f"CAST(0 AS BIGINT) AS unread_{name}"
+        for name in ("event_date", "event_timestamp", "session_duration", "revenue", "level_completed", "purchase_amount", "retention_day")
+    ),
     extra=CAPPED,
 )
 
@@ -450,7 +467,8 @@ def rows(table: dict[str, str], source: str) -> str:
 
 add("batch_kpis", CLICKS, f"SELECT {columns(BATCH_COLUMNS)} FROM k", extra=f"{CAPPED}, {kpi_facts('k', 'cl')}")
 add("batch_kpis_orders", ORDERS, f"SELECT {columns(BATCH_COLUMNS)} FROM k", extra=kpi_facts("k"))
-add("dashboard_kpis", CLICKS, f"SELECT {columns(DASHBOARD_COLUMNS)} FROM k", CLICK_FILTER, extra=kpi_facts("k"))
+add("dashboard_kpis", CLICKS, f"SELECT {columns(DASHBOARD_COLUMNS)} FROM k", extra=kpi_facts("k"))
+add("dashboard_kpis_filtered", CLICKS, f"SELECT {columns(DASHBOARD_COLUMNS)} FROM k", CLICK_FILTER, extra=kpi_facts("k"))
 add("dashboard_kpis_orders", ORDERS, f"SELECT {columns(DASHBOARD_COLUMNS)} FROM k", extra=kpi_facts("k"))
 add("summary_metrics_file", ORDERS, rows(BATCH_COLUMNS, "k"), extra=kpi_facts("k"))
 add("batch_report_job", CLICKS, rows(BATCH_COLUMNS, "k"), extra=f"{CAPPED}, {kpi_facts('k', 'cl')}")
@@ -552,7 +570,7 @@ add(
 )
 add(
     "top_campaign_growth", ORDERS,
-    """SELECT g.* FROM g JOIN (SELECT campaign FROM ev GROUP BY 1 ORDER BY SUM(revenue) DESC, campaign LIMIT 3) t
+    """SELECT g.* FROM g JOIN (SELECT campaign FROM ev GROUP BY 1 ORDER BY SUM(revenue) DESC, campaign LIMIT 5) t
     ON g.campaign = t.campaign""",
     extra=f"g AS ({NAMED['campaign_growth']})",
 )
@@ -606,7 +624,8 @@ SEGMENTS = f"""SELECT rfm_segment, COUNT(DISTINCT user_id) AS users, {even('AVG(
     CASE rfm_segment {_advice} END AS recommendation FROM rfm GROUP BY 1"""
 add("rfm_table", ORDERS, "SELECT * FROM rfm", extra=rfm(LATEST))
 add("rfm_table_clicks", CLICKS, "SELECT * FROM rfm", extra=rfm(LATEST))
-add("rfm_table_snapshot", ORDERS, "SELECT * FROM rfm", ORDER_FILTER, extra=rfm("DATE '2000-06-30'"))
+add("rfm_table_snapshot", ORDERS, "SELECT * FROM rfm", extra=rfm("DATE '2000-06-30'"))
+add("rfm_table_filtered", ORDERS, "SELECT * FROM rfm", ORDER_FILTER, extra=rfm(LATEST))
 add("rfm_segment_summary", ORDERS, SEGMENTS, extra=rfm(LATEST))
 
 
@@ -662,12 +681,16 @@ add(
 add("warning_cards_clicks", CLICKS, CARDS, extra=f"found AS ({' UNION ALL '.join(_found)})")
 
 # Distributions and chart data ----------------------------------------------
-_buckets = ", ".join(f'COUNT(DISTINCT CASE WHEN retention_day = {d} THEN user_id END) AS "{d}"' for d in RETENTION_BUCKETS)
-add(
-    "retention_heatmap", CLICKS,
-    f"""SELECT strftime(date_trunc('week', event_date), '%Y-%m-%d') || '/' || strftime(date_trunc('week', event_date) + INTERVAL 6 DAY, '%Y-%m-%d') AS cohort_week,
-        {_buckets} FROM ev GROUP BY 1""",
-)
+def heatmap(day: str) -> str:
+    week = """strftime(date_trunc('week', event_date), '%Y-%m-%d') || '/' || strftime(date_trunc('week', event_date) + INTERVAL 6 DAY, '%Y-%m-%d')"""
+    return f"""SELECT * FROM (WITH d AS (SELECT {week} AS cohort_week, {day} AS retention_day, user_id FROM ev WHERE event_date IS NOT NULL AND {day} IS NOT NULL)
+    SELECT w.cohort_week, r.retention_day, COUNT(DISTINCT d.user_id) AS users
+    FROM (SELECT DISTINCT cohort_week FROM d) w, (SELECT DISTINCT retention_day FROM d) r
+    LEFT JOIN d ON d.cohort_week = w.cohort_week AND d.retention_day = r.retention_day GROUP BY 1, 2)"""
+
+
+add("retention_heatmap", CLICKS, heatmap("retention_day"))
+add("retention_heatmap_day_zero", CLICKS, heatmap("CASE WHEN retention_day = 1 THEN 0 WHEN retention_day <> 90 THEN retention_day END"))
 ALL_CAPPED = f"""cap AS (SELECT LEAST(p99, 3600.0) AS cap FROM {order_statistic('ev', 0.99, 'p99')}),
 cl AS (SELECT LEAST(GREATEST(CAST(session_duration AS DOUBLE), 0.0), cap) AS v FROM ev, cap)"""
 add(
@@ -814,7 +837,8 @@ def live_lines(where: str) -> str:
     )
 
 
-add("live_insights", CLICKS, live_lines(CLICK_FILTER), CLICK_FILTER, extra=facts())
+add("live_insights", CLICKS, live_lines(ALL), extra=facts())
+add("live_insights_filtered", CLICKS, live_lines(CLICK_FILTER), CLICK_FILTER, extra=facts())
 add("live_insights_orders", ORDERS, live_lines(ALL), extra=facts())
 
 

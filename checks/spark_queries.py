@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ from eventloom.operators import (
 from eventloom.operators.catalog import NAMED_QUERIES
 from eventloom.operators.funnel import stage_users
 from eventloom.plans import batch_report, dashboard
-from eventloom.schema import EVENT_COLUMNS, FUNNEL_STAGES, RETENTION_BUCKETS, SEGMENT_DIMENSIONS
+from eventloom.schema import EVENT_COLUMNS, FUNNEL_STAGES, SEGMENT_DIMENSIONS
 from eventloom.session import fresh_path
 from eventloom.sources import outputs, tables
 from eventloom.sources.csv_events import load_batch_events, load_dashboard_events, load_report, read_raw_events
@@ -149,6 +150,30 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return tables.import_events(spark, _as_csv(spark, folder, "csv-import"), fresh_path(spark, "events"))
 
 
+@query("import_events_line_breaks")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """Cities with line breaks and quotes, written as CSV and imported."""
+    path = fresh_path(spark, "csv-breaks")
+    events = _broken_cities(click_events_raw(spark, folder)).select(*EVENT_COLUMNS)
+    events.write.options(header=True, escape='"', quoteAll=True, timestampNTZFormat=outputs.MICROSECONDS).csv(path)
+    return tables.import_events(spark, path, fresh_path(spark, "events"), line_breaks=True)
+
+
+def _broken_cities(events: DataFrame) -> DataFrame:
+    return events.withColumn("city", F.concat(F.lit('a "b"\n'), "city", F.lit(",\nc")))
+
+
+@query("events_table")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """The view inserted into a table made by its DDL."""
+    name = f"eventloom_{uuid.uuid4().hex}"
+    tables.create_events_table(spark, name)
+    events = click_events(spark, folder)
+    columns = spark.table(f"{name}.user_events").columns
+    events.select(*columns).write.insertInto(f"{name}.user_events")
+    return spark.table(f"{name}.user_events").select(*EVENT_COLUMNS)
+
+
 @query("ensure_events")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "events")
@@ -195,6 +220,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("first_present")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """The first category of each event that is there, on the view with gaps."""
+    first = numbers.first_present(F.col("campaign"), F.col("city"), default=F.lit("none"))
+    return click_events_raw(spark, folder).groupBy(first.alias("first")).agg(F.count(F.lit(1)).alias("events"))
+
+
 # KPIs.
 @query("batch_kpis")
 def _(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,6 +244,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("dashboard_kpis")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return _steady(kpis.dashboard_kpis(click_events(spark, folder)))
+
+
+@query("dashboard_kpis_filtered")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return _steady(kpis.dashboard_kpis(click_events(spark, folder), CLICK_FILTER))
 
@@ -265,7 +302,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return _steady(growth.monthly_growth_table(order_events(spark, folder)))
 
 
-_on("top_campaign_growth", order_events, growth.top_campaign_growth, n=3)
+_on("top_campaign_growth", order_events, growth.top_campaign_growth)
 
 
 # Cohorts, segments of users, anomalies, distributions.
@@ -286,7 +323,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 _on("rfm_table", order_events, rfm.rfm_table)
 _on("rfm_table_clicks", click_events, rfm.rfm_table)
-_on("rfm_table_snapshot", order_events, rfm.rfm_table, ORDER_FILTER, date(2000, 6, 30))
+_on("rfm_table_snapshot", order_events, rfm.rfm_table, None, date(2000, 6, 30))
+_on("rfm_table_filtered", order_events, rfm.rfm_table, ORDER_FILTER)
 
 
 @query("rfm_segment_summary")
@@ -319,7 +357,17 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _on("warning_cards_clicks", click_events, anomaly.warning_cards)
-_on("retention_heatmap", click_events, retention.retention_heatmap, None, RETENTION_BUCKETS)
+_on("retention_heatmap", click_events, retention.retention_heatmap)
+
+
+@query("retention_heatmap_day_zero")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """With a day 0, and rows without a day."""
+    day = F.col("retention_day")
+    events = click_events(spark, folder).withColumn("retention_day", F.when(day == 1, 0).when(day != 90, day))
+    return retention.retention_heatmap(events)
+
+
 
 
 @query("duration_histogram")
@@ -352,7 +400,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return insights.batch_insights(cleaning.clean_for_batch(click_events_raw(spark, folder)))
 
 
-_on("live_insights", click_events, insights.live_insights, CLICK_FILTER)
+_on("live_insights", click_events, insights.live_insights)
+_on("live_insights_filtered", click_events, insights.live_insights, CLICK_FILTER)
 _on("live_insights_orders", order_events, insights.live_insights)
 _on("recommendations", click_events, insights.recommendations, CLICK_RANGE)
 _on("recommendations_orders", order_events, insights.recommendations)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.quantiles import quantiles
 from eventloom.schema import (
+    BLANKS,
     CATEGORY_DEFAULTS,
+    EVENT_COLUMNS,
     EVENT_SCHEMA,
     KEY_COLUMNS,
     MAX_SESSION_SECONDS,
@@ -22,8 +24,11 @@ from eventloom.schema import (
 )
 
 
+MOST_INT = 2**31 - 1
+
+
 def cast_columns(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Cast to the schema's types; what cannot be read becomes null."""
+    """Cast to the schema's types; what cannot be read becomes null, a count too large the largest."""
     return raw.withColumns({name: _safe_cast(raw, name) for name in columns or raw.columns})
 
 
@@ -32,6 +37,8 @@ def _safe_cast(raw: DataFrame, name: str) -> Column:
     value = F.col(name)
     if wanted.typeName() == "integer" and raw.schema[name].dataType.typeName() == "string":
         value = value.try_cast("double")  # "12.0" is a number too
+        inside = F.greatest(F.least(value, F.lit(MOST_INT)), F.lit(-MOST_INT - 1))  # both skip nulls
+        value = F.when(value.isNotNull() & ~F.isnan(value), inside)
     return value.try_cast(wanted.simpleString())
 
 
@@ -64,7 +71,7 @@ def cap_durations(events: DataFrame) -> DataFrame:
 
 
 def floor_amounts(events: DataFrame, columns: Sequence[str] = ("revenue", "purchase_amount")) -> DataFrame:
-    zero = F.lit(0).cast("decimal(10,2)")
+    zero = F.lit(0).cast("decimal(18,2)")
     return events.withColumns({name: F.greatest(F.col(name), zero) for name in columns})
 
 
@@ -72,8 +79,7 @@ def strip_strings(events: DataFrame) -> DataFrame:
     """Strip whitespace at both ends; a null becomes the text ``nan``."""
 
     def strip(name: str) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(name, r"(?U)^\s+", ""), r"(?U)\s+$", "")
-        return F.coalesce(bare, F.lit("nan"))
+        return F.coalesce(F.btrim(name, F.lit(BLANKS)), F.lit("nan"))
 
     return events.withColumns({name: strip(name) for name in STRING_COLUMNS})
 
@@ -105,8 +111,12 @@ def clean_for_import(raw: DataFrame) -> DataFrame:
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:
-    """One row: rows in and out, dropped, duplicates removed and durations capped."""
+    """One row: rows in and out, dropped, duplicates removed, durations capped and, by column, values that could not be read."""
     typed = fill_categories(cast_columns(raw))
+    read = [name for name in EVENT_COLUMNS if name not in STRING_COLUMNS]
+    unread = raw.agg(
+        *[F.count_if(F.col(name).isNotNull() & _safe_cast(raw, name).isNull()).alias(f"unread_{name}") for name in read]
+    )
     complete = F.lit(True)
     for name in KEY_COLUMNS:
         complete = complete & F.col(name).isNotNull()
@@ -117,11 +127,14 @@ def cleaning_report(raw: DataFrame) -> DataFrame:
     after = kept.agg(
         F.count(F.lit(1)).alias("rows_out"), F.count_if(F.col("session_duration") > cap).alias("durations_capped")
     )
-    counts = after.select("*", before.select(F.struct("*")).scalar().alias("before"))
+    counts = after.select(
+        "*", before.select(F.struct("*")).scalar().alias("before"), unread.select(F.struct("*")).scalar().alias("unread")
+    )
     return counts.select(
         "before.rows_in",
         (F.col("before.rows_in") - F.col("before.rows_complete")).alias("dropped_incomplete"),
         (F.col("before.rows_complete") - F.col("rows_out")).alias("duplicates_removed"),
         "durations_capped",
         "rows_out",
+        *[f"unread.unread_{name}" for name in read],
     )

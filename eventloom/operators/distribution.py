@@ -54,6 +54,8 @@ def duration_histogram(events: DataFrame, bins: int = BINS) -> DataFrame:
 def duration_density(events: DataFrame, points: int = GRID_POINTS) -> DataFrame:
     """Gaussian kernel density on an even grid; zero for a constant or tiny sample.
 
+    Without events the grid runs from 0 to 1.
+
     Equal durations are counted first, so the work grows with the number of
     distinct durations and not with the events.
     """
@@ -66,7 +68,7 @@ def duration_density(events: DataFrame, points: int = GRID_POINTS) -> DataFrame:
     )
     deviation = F.sqrt(ratio(F.col("squares"), F.col("n") - 1))
     frame = stats.select("n", "low", "high", spread.scalar().alias("squares")).select(
-        "n", "low", "high",
+        "n", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"),
         (BANDWIDTH_FACTOR * deviation * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("width"),
     )
     step = (F.col("frame.high") - F.col("frame.low")) / (points - 1)
@@ -75,13 +77,14 @@ def duration_density(events: DataFrame, points: int = GRID_POINTS) -> DataFrame:
         "value", "rows", one_row(frame).alias("frame"),
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
     ).select("*", (F.col("frame.low") + F.col("point") * step).alias("x"))
+    grid = frame.select(
+        F.struct("*").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
+    ).select("point", (F.col("frame.low") + F.col("point") * step).alias("x"))
     kernel = F.exp(-0.5 * F.pow(ratio(F.col("x") - F.col("value"), F.col("frame.width")), F.lit(2.0)))
     scale = F.first("frame.n") * F.first("frame.width") * math.sqrt(2 * math.pi)
+    found = spread_out.groupBy("point").agg(ratio(F.sum(F.col("rows") * kernel), scale).alias("density"))
     return (
-        spread_out.groupBy("point")
-        .agg(
-            F.max("x").alias("x"),
-            F.coalesce(ratio(F.sum(F.col("rows") * kernel), scale), F.lit(0.0)).alias("density"),
-        )
+        grid.join(found, "point", "left")
+        .select("point", "x", F.coalesce("density", F.lit(0.0)).alias("density"))
         .orderBy("point")
     )

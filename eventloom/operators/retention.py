@@ -109,18 +109,22 @@ def cohort_activity_by_month(events: DataFrame) -> DataFrame:
     )
 
 
-def retention_heatmap(
-    events: DataFrame, filters: EventFilters | None = None, days: Sequence[int] | None = None
-) -> DataFrame:
-    """Distinct users per week (rows) and retention day (columns), 0 where none.
+def retention_heatmap(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
+    """Distinct users per week and retention day: a row for each week and day that occur, 0 where they do not together.
 
-    Without ``days`` the columns are the values found, which takes a job to find
-    them; naming them keeps the result lazy.
+    Days are rows and not columns, so no job has to find them first and none is left out.
     """
     known = select(events, filters).where(F.col("retention_day").isNotNull() & F.col("event_date").isNotNull())
     cells = summarise(known.withColumn("cohort_week", week_span(F.col("event_date"))), "cohort_week", "retention_day")
-    wide = cells.groupBy("cohort_week").pivot("retention_day", list(days) if days else None).agg(F.sum("users"))
-    return wide.na.fill(0).orderBy("cohort_week")
+    cells = cells.select("cohort_week", "retention_day", "users")
+    days = cells.agg(F.collect_set("retention_day")).scalar()  # as many as there are distinct days
+    weeks = cells.select("cohort_week").distinct()
+    every = weeks.select("cohort_week", F.explode(days).alias("retention_day"))
+    return (
+        every.join(cells, ["cohort_week", "retention_day"], "left")
+        .na.fill(0, ["users"])
+        .orderBy("cohort_week", "retention_day")
+    )
 
 
 def users_by_first_value(events: DataFrame, column: str) -> DataFrame:

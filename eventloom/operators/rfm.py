@@ -15,7 +15,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.filters import EventFilters, select
+from eventloom.filters import EventFilters
 from eventloom.functions.numbers import half_even, ratio
 from eventloom.operators.retention import user_level_aggregate
 from eventloom.session import durable
@@ -93,12 +93,9 @@ def rfm_table(
     events: DataFrame, filters: EventFilters | None = None, snapshot_date: date | None = None
 ) -> DataFrame:
     """Scores and segment per user; recency counts from the last date seen, or a given one."""
-    users = user_level_aggregate(events, filters)
-    last_seen = select(events, filters).agg(F.max("event_date"))
-    anchor = F.lit(snapshot_date) if snapshot_date else last_seen.scalar()
-    users = durable(
-        users.select("user_id", F.datediff(anchor, "last_event_date").alias("recency_days"), "frequency", "monetary")
-    )
+    seen = durable(user_level_aggregate(events, filters))  # the only pass over the events
+    anchor = F.lit(snapshot_date) if snapshot_date else seen.agg(F.max("last_event_date")).scalar()
+    users = seen.select("user_id", F.datediff(anchor, "last_event_date").alias("recency_days"), "frequency", "monetary")
     cells = fifth_boundaries(users).groupBy().agg(
         *[
             F.max(F.when((F.col("measure") == m) & (F.col("fifth") == k), F.struct("value", "user_id"))).alias(f"{m}_{k}")

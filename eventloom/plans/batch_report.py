@@ -13,8 +13,9 @@ from eventloom.sources.tables import read_events, write_events
 
 def clean_to_table(spark: SparkSession, csv_path: str, path: str) -> DataFrame:
     """Clean once and write the result, so that no later step cleans again."""
-    write_events(load_batch_events(spark, csv_path), path)
-    return read_events(spark, path)
+    events = load_batch_events(spark, csv_path)
+    write_events(events, path)
+    return read_events(spark, path, events.schema)
 
 
 def run(spark: SparkSession, csv_path: str, folder: str) -> None:

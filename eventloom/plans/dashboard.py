@@ -6,7 +6,8 @@ A caller runs only the tables it shows. Events should be a written table, see
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from functools import cache, partial
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -30,80 +31,107 @@ from eventloom.operators import (
 )
 from eventloom.sources import outputs
 
+
+
+class LazyTables(Mapping):
+    """Tables by name, each made when it is first asked for; making the mapping runs nothing."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 SUMMARY_DIMENSIONS = ("country", "campaign", "device_type", "subscription", "traffic_source")
 
 
-def overview(events: DataFrame, selection: Mapping[str, Any]) -> dict[str, DataFrame]:
+def overview(events: DataFrame, selection: Mapping[str, Any]) -> LazyTables:
     """Filter lists, KPIs, chart data, texts and summary tables."""
     filters = EventFilters.from_selection(selection)
     chosen = filters.apply(events)
-    tables = {
-        "filter_options": filter_options(events),
-        "date_bounds": date_bounds(events),
-        "kpis": kpis.dashboard_kpis(chosen),
-        "advanced_kpis": kpis.advanced_kpis(chosen),
-        "period_comparison": kpis.period_comparison(events, filters),
-        "executive_summary": insights.executive_summary(events, filters),
-        "revenue_trend": revenue.revenue_trend(chosen),
-        "dau_trend": chart_data.dau_smoothed(chosen),
-        "revenue_by_country": chart_data.revenue_by(chosen, "country"),
-        "revenue_by_device": chart_data.revenue_by(chosen, "device_type", earning_only=True),
-        "campaign_performance": chart_data.revenue_by(chosen, "campaign", ascending=True),
-        "traffic_sources": chart_data.events_by(chosen, "traffic_source"),
-        "subscriptions": chart_data.subscription_users(chosen),
-        "retention_heatmap": retention.retention_heatmap(chosen),
-        "duration_histogram": distribution.duration_histogram(chosen),
-        "duration_density": distribution.duration_density(chosen),
-        "funnel": funnel.stage_users(chosen),
-        "insights": insights.live_insights(chosen),
-        "recommendations": insights.recommendations(events, filters),
-        "monthly_growth": growth.monthly_growth_table(chosen),
-        "summary_metrics": kpis.filtered_summary_metrics(chosen),
-        "campaign_summary": segments.segment_summary(chosen, "campaign"),
-        "device_summary": segments.segment_summary(chosen, "device_type"),
+    makers: dict[str, Callable[[], DataFrame]] = {
+        "filter_options": lambda: filter_options(events),
+        "date_bounds": lambda: date_bounds(events),
+        "kpis": lambda: kpis.dashboard_kpis(chosen),
+        "advanced_kpis": lambda: kpis.advanced_kpis(chosen),
+        "period_comparison": lambda: kpis.period_comparison(events, filters),
+        "executive_summary": lambda: insights.executive_summary(events, filters),
+        "revenue_trend": lambda: revenue.revenue_trend(chosen),
+        "dau_trend": lambda: chart_data.dau_smoothed(chosen),
+        "revenue_by_country": lambda: chart_data.revenue_by(chosen, "country"),
+        "revenue_by_device": lambda: chart_data.revenue_by(chosen, "device_type", earning_only=True),
+        "campaign_performance": lambda: chart_data.revenue_by(chosen, "campaign", ascending=True),
+        "traffic_sources": lambda: chart_data.events_by(chosen, "traffic_source"),
+        "subscriptions": lambda: chart_data.subscription_users(chosen),
+        "retention_heatmap": lambda: retention.retention_heatmap(chosen),
+        "duration_histogram": lambda: distribution.duration_histogram(chosen),
+        "duration_density": lambda: distribution.duration_density(chosen),
+        "funnel": lambda: funnel.stage_users(chosen),
+        "insights": lambda: insights.live_insights(chosen),
+        "recommendations": lambda: insights.recommendations(events, filters),
+        "monthly_growth": lambda: growth.monthly_growth_table(chosen),
+        "summary_metrics": lambda: kpis.filtered_summary_metrics(chosen),
+        "campaign_summary": lambda: segments.segment_summary(chosen, "campaign"),
+        "device_summary": lambda: segments.segment_summary(chosen, "device_type"),
     }
     for dimension in SUMMARY_DIMENSIONS:
-        tables[f"{dimension}_table"] = segments.summary_table(chosen, dimension)
-    return tables
+        makers[f"{dimension}_table"] = partial(segments.summary_table, chosen, dimension)
+    return LazyTables(makers)
 
 
-def analytics_center(events: DataFrame, selection: Mapping[str, Any]) -> dict[str, DataFrame]:
+def analytics_center(events: DataFrame, selection: Mapping[str, Any]) -> LazyTables:
     """Growth, comparisons, top lists, cohorts, segments and warnings.
 
-    Building the segment tables runs two jobs, see ``rfm``.
+    Asking for a segment table runs jobs, see ``rfm``.
     """
     filters = EventFilters.from_selection(selection)
     cohorts = retention.cohort_table(events, filters)
-    scored = rfm.rfm_table(events, filters)
-    segment_table = rfm.rfm_segment_summary(scored)
+
+    @cache
+    def scored() -> DataFrame:
+        return rfm.rfm_table(events, filters)
+
+    @cache
+    def segment_table() -> DataFrame:
+        return rfm.rfm_segment_summary(scored())
+
     countries = breakdowns.revenue_by_country(events, filters)
     cards = anomaly.warning_cards(events, filters, cohorts)
-    return {
-        "kpi_cards": kpis.kpi_cards(events, filters),
-        "kpi_snapshot": revenue.kpi_snapshot(events, filters),
-        "monthly_growth": growth.monthly_growth(events, filters),
-        "weekly_growth": growth.weekly_growth(events, filters),
-        "top_campaign_growth": growth.top_campaign_growth(events, filters),
-        "countries": countries,
-        "leading_countries": countries.limit(10),
-        "devices": breakdowns.revenue_by_device(events, filters),
-        "subscriptions": breakdowns.subscription_analysis(events, filters),
-        "traffic_sources": breakdowns.traffic_source_analysis(events, filters),
-        "top_campaigns": breakdowns.top_campaigns(events, filters),
-        "top_countries": breakdowns.top_countries(events, filters),
-        "top_cities": breakdowns.top_cities(events, filters),
-        "funnel": funnel.funnel(events, filters),
-        "revenue_trend": revenue.revenue_trend(events, filters),
-        "event_volume": activity.daily_event_volume(events, filters),
-        "cohorts": cohorts,
-        "cohort_cells": retention.cohort_cells(cohorts),
-        "cohort_insights": retention.cohort_insights(cohorts),
+    return LazyTables({
+        "kpi_cards": lambda: kpis.kpi_cards(events, filters),
+        "kpi_snapshot": lambda: revenue.kpi_snapshot(events, filters),
+        "monthly_growth": lambda: growth.monthly_growth(events, filters),
+        "weekly_growth": lambda: growth.weekly_growth(events, filters),
+        "top_campaign_growth": lambda: growth.top_campaign_growth(events, filters),
+        "countries": lambda: countries,
+        "leading_countries": lambda: countries.limit(10),
+        "devices": lambda: breakdowns.revenue_by_device(events, filters),
+        "subscriptions": lambda: breakdowns.subscription_analysis(events, filters),
+        "traffic_sources": lambda: breakdowns.traffic_source_analysis(events, filters),
+        "top_campaigns": lambda: breakdowns.top_campaigns(events, filters),
+        "top_countries": lambda: breakdowns.top_countries(events, filters),
+        "top_cities": lambda: breakdowns.top_cities(events, filters),
+        "funnel": lambda: funnel.funnel(events, filters),
+        "revenue_trend": lambda: revenue.revenue_trend(events, filters),
+        "event_volume": lambda: activity.daily_event_volume(events, filters),
+        "cohorts": lambda: cohorts,
+        "cohort_cells": lambda: retention.cohort_cells(cohorts),
+        "cohort_insights": lambda: retention.cohort_insights(cohorts),
         "rfm": scored,
         "rfm_segments": segment_table,
-        "warnings": anomaly.shown_cards(cards),
-        "report_insights": insights.report_insights(events, segment_table, filters),
-        "report_advice": insights.report_advice(events),
-    }
+        "warnings": lambda: anomaly.shown_cards(cards),
+        "report_insights": lambda: insights.report_insights(events, segment_table(), filters),
+        "report_advice": lambda: insights.report_advice(events),
+    })
 
 
 def live_report(events: DataFrame, selection: Mapping[str, Any]) -> dict[str, DataFrame]:

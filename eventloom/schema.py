@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The columns of an event.
 EVENT_SCHEMA = T.StructType(
     [
         T.StructField("user_id", T.StringType()),
@@ -19,9 +20,9 @@ EVENT_SCHEMA = T.StructType(
         T.StructField("user_type", T.StringType()),
         T.StructField("event_name", T.StringType()),
         T.StructField("session_duration", T.IntegerType()),
-        T.StructField("revenue", T.DecimalType(10, 2)),
+        T.StructField("revenue", T.DecimalType(18, 2)),
         T.StructField("level_completed", T.IntegerType()),
-        T.StructField("purchase_amount", T.DecimalType(10, 2)),
+        T.StructField("purchase_amount", T.DecimalType(18, 2)),
         T.StructField("subscription", T.StringType()),
         T.StructField("campaign", T.StringType()),
         T.StructField("retention_day", T.IntegerType()),
@@ -49,4 +50,10 @@ SEGMENT_DIMENSIONS = (
 )
 MAX_SESSION_SECONDS = 3600
 COHORT_DAYS = (1, 3, 7, 14, 30)
-RETENTION_BUCKETS = (1, 3, 7, 14, 30, 60, 90)
+# What a CSV file may write for a missing value.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+# Blanks at either end of a text that do not count.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -4,31 +4,43 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventloom.operators.cleaning import clean_for_batch, clean_for_dashboard
-from eventloom.schema import EVENT_SCHEMA, RAW_SCHEMA
+from eventloom.schema import EVENT_COLUMNS, EVENT_SCHEMA, MISSING_WORDS, RAW_SCHEMA
 
 PATH_NOT_FOUND = "PATH_NOT_FOUND"
 
 
-def read_raw_events(spark: SparkSession, path: str, sep: str = ",", quote: str = '"') -> DataFrame:
-    """The 19 columns as text. The header must name them in order."""
-    return (
+def read_raw_events(
+    spark: SparkSession, path: str, sep: str = ",", quote: str = '"', line_breaks: bool = False
+) -> DataFrame:
+    """The 19 columns as text, null where a file writes a word for a missing value.
+
+    The header must name them in order. A record with more or fewer fields is an
+    error when it is read; so is a line break inside quotes, which would cut a
+    record in two, unless ``line_breaks`` allows them. Files with such breaks
+    cannot be split: each is then read whole, by one task.
+    """
+    raw = (
         spark.read.schema(RAW_SCHEMA)
-        .options(header=True, sep=sep, quote=quote, escape=quote, enforceSchema=False)
+        .options(header=True, sep=sep, quote=quote, escape=quote, enforceSchema=False, multiLine=line_breaks)
+        .options(mode="FAILFAST", columnPruning=False)  # else fields that no query asks for are not looked at
         .csv(path)
     )
+    present = {name: F.when(~F.col(name).isin(*MISSING_WORDS), F.col(name)) for name in EVENT_COLUMNS}
+    return raw.withColumns(present)
 
 
-def load_batch_events(spark: SparkSession, path: str) -> DataFrame:
+def load_batch_events(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Events for the batch report; a missing file is an error."""
-    return clean_for_batch(read_raw_events(spark, path))
+    return clean_for_batch(read_raw_events(spark, path, line_breaks=line_breaks))
 
 
-def load_dashboard_events(spark: SparkSession, path: str) -> DataFrame:
+def load_dashboard_events(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Events for the dashboard; a missing file is an empty table."""
     try:
-        raw = read_raw_events(spark, path)
+        raw = read_raw_events(spark, path, line_breaks=line_breaks)
     except AnalysisException as error:
         if error.getCondition() != PATH_NOT_FOUND:
             raise

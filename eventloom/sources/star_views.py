@@ -63,9 +63,9 @@ CLICK_COLUMNS = {
     "event_name": "CASE event_type WHEN 'view' THEN 'App Open' WHEN 'click' THEN 'Search'"
     " WHEN 'signup' THEN 'Add to Cart' WHEN 'purchase' THEN 'Purchase' ELSE 'Logout' END",
     "session_duration": f"CASE WHEN {{n}} % 610 = 7 THEN 86400 ELSE {SHARED['session_duration']} END",
-    "revenue": "CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS DECIMAL(10,2))",
+    "revenue": "CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS DECIMAL(18,2))",
     "level_completed": "CASE WHEN event_type = 'click' THEN k % 50 ELSE 0 END",
-    "purchase_amount": "CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS DECIMAL(10,2))",
+    "purchase_amount": "CAST(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END AS DECIMAL(18,2))",
     "campaign": "CASE WHEN {n} % 5 <> 0 THEN c_mktsegment END",
 }
 
@@ -80,9 +80,9 @@ ORDER_COLUMNS = {
     "os": "CASE WHEN {n} % 10 < 5 THEN 'Android' WHEN {n} % 10 < 8 THEN 'iOS' ELSE 'Windows' END",
     "app_version": "concat('v2.', {n} % 5)",
     "event_name": "CASE o_orderstatus WHEN 'F' THEN 'Purchase' WHEN 'O' THEN 'Add to Cart' ELSE 'Search' END",
-    "revenue": "CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS DECIMAL(10,2))",
+    "revenue": "CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS DECIMAL(18,2))",
     "level_completed": "0",
-    "purchase_amount": "CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS DECIMAL(10,2))",
+    "purchase_amount": "CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS DECIMAL(18,2))",
     "campaign": "o_orderpriority",
 }
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eventloom.operators.cleaning import clean_for_import
 from eventloom.schema import EVENT_COLUMNS, EVENT_SCHEMA, KEY_COLUMNS, NUMERIC_COLUMNS
@@ -23,13 +24,14 @@ def write_events(events: DataFrame, path: str) -> None:
     events.hint("rebalance", F.col("event_date")).write.mode("overwrite").partitionBy("event_date").parquet(path)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*EVENT_COLUMNS)
+def read_events(spark: SparkSession, path: str, schema: StructType = EVENT_SCHEMA) -> DataFrame:
+    """The table at ``path``; its schema is known, so no file is opened to find it."""
+    return spark.read.schema(schema).parquet(path).select(*EVENT_COLUMNS)
 
 
-def import_events(spark: SparkSession, csv_path: str, path: str) -> DataFrame:
+def import_events(spark: SparkSession, csv_path: str, path: str, line_breaks: bool = False) -> DataFrame:
     """Load a CSV file into the table, replacing what was there, and return it."""
-    write_events(clean_for_import(read_raw_events(spark, csv_path)), path)
+    write_events(clean_for_import(read_raw_events(spark, csv_path, line_breaks=line_breaks)), path)
     return read_events(spark, path)
 
 

@@ -142,10 +142,10 @@ def test_first_value_is_by_time(make_events):
     ]
 
 
-def test_heatmap_finds_its_columns(make_events):
-    events = make_events({"retention_day": 3}, {"retention_day": 60, "event_date": date(2025, 1, 9)}, {"retention_day": None})
-    table = retention.retention_heatmap(events)
-    assert table.columns == ["cohort_week", "3", "60"]
-    assert [tuple(r) for r in table.collect()] == [
-        ("2024-12-30/2025-01-05", 1, 0), ("2025-01-06/2025-01-12", 0, 1)
+def test_heatmap_has_all_days(make_events):
+    events = make_events({"retention_day": 0}, {"retention_day": 60, "event_date": date(2025, 1, 9)}, {"retention_day": None})
+    assert [tuple(r) for r in retention.retention_heatmap(events).collect()] == [
+        ("2024-12-30/2025-01-05", 0, 1), ("2024-12-30/2025-01-05", 60, 0),
+        ("2025-01-06/2025-01-12", 0, 0), ("2025-01-06/2025-01-12", 60, 1),
     ]
+    assert rows(retention.retention_heatmap(events.limit(0))) == []

@@ -73,6 +73,8 @@ def test_report_counts(spark, csv):
     report = rows(cleaning.cleaning_report(read_raw_events(spark, csv(*MESSY))))[0]
     assert report == {
         "rows_in": 10, "dropped_incomplete": 3, "duplicates_removed": 1, "durations_capped": 1, "rows_out": 6,
+        "unread_event_date": 1, "unread_event_timestamp": 0, "unread_session_duration": 1, "unread_revenue": 1,
+        "unread_level_completed": 1, "unread_purchase_amount": 0, "unread_retention_day": 0,
     }
 
 
@@ -110,3 +112,40 @@ def test_other_separator(spark, csv, tmp_path):
     path.write_text("\n".join([HEADER, line()]).replace(",", ";") + "\n")
     raw = read_raw_events(spark, str(path), sep=";")
     assert rows(cleaning.cast_columns(raw))[0]["event_date"] == date(2025, 1, 1)
+
+
+def test_large_numbers_are_kept(spark, csv):
+    clean = rows(load_batch_events(spark, csv(line(revenue="123456789012.50", level="3000000000"))))[0]
+    assert (clean["revenue"], clean["level_completed"]) == (Decimal("123456789012.50"), 2**31 - 1)
+
+
+def test_words_for_missing_values(spark, csv):
+    found = rows(load_batch_events(spark, csv(line(city="NA", version="nan", campaign="NULL", revenue="N/A"))))[0]
+    assert (found["city"], found["app_version"], found["campaign"], found["revenue"]) == ("Unknown", "Unknown", "None", Decimal("0.00"))
+
+
+def test_line_breaks_inside_quotes(spark, csv, tmp_path):
+    path = csv(line(), line(user="u2", city='"Po\nrt, ""A"""'), line(user="u3"))
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        load_batch_events(spark, path).collect()
+    events = import_events(spark, path, str(tmp_path / "table"), line_breaks=True)
+    assert {r["user_id"]: r["city"] for r in rows(events)} == {"u1": "Pune", "u2": 'Po\nrt, "A"', "u3": "Pune"}
+
+
+def test_surplus_fields_are_an_error(spark, csv):
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        read_raw_events(spark, csv(line(), line() + ",more")).select("user_id").collect()
+
+
+def test_header_only_and_bad_dates(spark, csv, tmp_path):
+    assert import_events(spark, csv(), str(tmp_path / "none")).count() == 0
+    events = import_events(spark, csv(line(day="?"), line(day="??")), str(tmp_path / "bad"))
+    assert events.schema["event_date"].dataType.typeName() == "date" and events.count() == 2
+
+
+def test_every_blank_is_stripped(make_events):
+    from eventloom.schema import BLANKS
+
+    texts = [f"{blank}a{blank}b{blank}" for blank in BLANKS] + ["\u200bx", f"{BLANKS}"]
+    stripped = rows(cleaning.strip_strings(make_events(*[{"user_id": f"{i:03}", "city": t} for i, t in enumerate(texts)])))
+    assert {r["user_id"]: r["city"] for r in stripped} == {f"{i:03}": t.strip() for i, t in enumerate(texts)}

@@ -64,7 +64,7 @@ def test_create_table(spark, events):
     tables.create_events_table(spark, "product", "user_events")
     assert spark.table("product.user_events").count() == 0
     types = dict(spark.table("product.user_events").dtypes)
-    assert (types["revenue"], types["event_timestamp"], types["retention_day"]) == ("decimal(10,2)", "timestamp_ntz", "int")
+    assert (types["revenue"], types["event_timestamp"], types["retention_day"]) == ("decimal(18,2)", "timestamp_ntz", "int")
 
 
 def test_batch_report(spark, events, tmp_path):
@@ -89,6 +89,15 @@ def test_dashboard_tables_all_run(events):
             table.collect()
 
 
+def test_building_the_dashboard_runs_no_job(spark, events):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job expected")
+    for part in (dashboard.overview, dashboard.analytics_center):
+        assert len(part(events, {})) > 20
+    assert list(tracker.getJobIdsForGroup("building")) == []
+    spark.sparkContext.setJobGroup("other", "")
+
+
 def test_json_report(events):
     selection = {"date_range": (date(2025, 2, 1), date(2025, 2, 28))}
     report = json.loads(dashboard.live_report(events, selection)["json"].first().text)

@@ -106,6 +106,8 @@ def test_flat_durations(make_events):
     bins = rows(distribution.duration_histogram(events))
     assert len(bins) == 40 and sum(b["events"] for b in bins) == 2
     assert [p["density"] for p in rows(distribution.duration_density(events))] == [0.0] * 200
+    none = rows(distribution.duration_density(events.limit(0)))
+    assert [p["density"] for p in none] == [0.0] * 200 and (none[0]["x"], none[-1]["x"]) == (0.0, 1.0)
 
 
 def test_kpis_of_nothing_are_zero(make_events):
