@@ -13,18 +13,22 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from eventloom.llm.batches import short_batches, text_rows
 
-# Chunks whose ids one Python worker keeps; beyond that it starts afresh.
+# Chunks whose ids one Python worker keeps; beyond that it drops the later half, since frequent chunks come early.
 CACHE_CHUNKS = 300_000
 # Characters up to here are classed alike by all Unicode versions in use; others go to the library's own splitter.
 LATIN_END = "\u024f"
+_BEYOND_LATIN = re.compile(f"[^\0-{LATIN_END}]")
+MARKS = frozenset(".,;:!?|*$%&#")
 NO_RANK = np.int32(2**31 - 1)
 # White space as the tokenizers' patterns see it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -80,21 +84,31 @@ class Vocabulary:
 
     def split(self, text: str) -> list:
         """Chunks whose ids depend on nothing beside them."""
-        return text.encode().split() if self._chunk is None else self._chunk.findall(text)
-
-    def words(self, chunk: str | bytes) -> list[bytes]:
-        """The words of a chunk, as the tokenizer's patterns cut them."""
-        text = chunk.decode() if isinstance(chunk, bytes) else chunk
-        if max(text) <= LATIN_END:
-            return [w.encode() for w in self._words.findall(text.lower() if self.lower else text)]
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            whole = Tokenizer.from_str(self._content.decode())
-            self._library = (whole.normalizer, whole.pre_tokenizer, {c: b for b, c in enumerate(_byte_characters())})
-        normalizer, splitter, byte = self._library
-        text = normalizer.normalize_str(text) if normalizer else text
-        return [bytes(byte[c] for c in word) for word, _ in splitter.pre_tokenize_str(text)]
+        if self._chunk is not None:
+            return self._chunk.findall(text)
+        # Letters of Latin scripts lower alike here and there, and so do fewer chunks need merging.
+        return (text if _BEYOND_LATIN.search(text) else text.lower()).encode().split()
+
+    def words(self, chunk: str | bytes) -> list:
+        """The words of a chunk, as the tokenizer's patterns cut them, in the chunk's type."""
+        text = chunk.decode() if self.lower else chunk
+        if not _BEYOND_LATIN.search(text):
+            text = text.lower() if self.lower else text
+            start = 1 if text[0] == " " else 0
+            if text[start:].isalpha():  # most chunks are a word and perhaps a mark
+                found = [text]
+            elif text[-1] in MARKS and text[start:-1].isalpha():
+                found = [text[:-1], text[-1]]
+            else:
+                found = self._words.findall(text)
+        else:
+            if self._library is None:
+                whole = Tokenizer.from_str(self._content.decode())
+                self._library = (whole.normalizer, whole.pre_tokenizer, {c: b for b, c in enumerate(_byte_characters())})
+            normalizer, splitter, byte = self._library
+            text = normalizer.normalize_str(text) if normalizer else text
+            found = [bytes(byte[c] for c in word).decode() for word, _ in splitter.pre_tokenize_str(text)]
+        return [w.encode() for w in found] if self.lower else found
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair and its place in the table; NO_RANK where it is none."""
@@ -135,7 +149,10 @@ class Vocabulary:
             keep[at + 1] = False
             moved = at - np.arange(len(at))  # where the merged symbols are afterwards
             symbols, owner, ranks, places = symbols[keep], owner[keep], ranks[keep], places[keep]
-            stale = np.unique(np.r_[moved, moved[moved > 0] - 1])
+            near = np.zeros(len(symbols), bool)
+            near[moved] = True
+            near[np.maximum(moved - 1, 0)] = True
+            stale = np.flatnonzero(near)
             ranks[stale], places[stale] = self._pairs(symbols, owner, stale)
         return done
 
@@ -151,17 +168,25 @@ class Vocabulary:
         for word, start, size in zip(owner[starts].tolist(), starts.tolist(), sizes.tolist(), strict=True):
             done[word] = raw[4 * start : 4 * (start + size)]
 
-    def learn(self, chunks: set) -> None:
-        """Put the ids of unseen chunks into the cache, merging all their words together."""
-        fresh = list(chunks)
-        parts = [self.words(c) for c in fresh]
-        index: dict[bytes, int] = {}
-        for words in parts:
+    def learn(self, fresh: set) -> None:
+        """Put the ids of unseen chunks into the cache, merging all their new words together; a word is a chunk too."""
+        cache, parts = self.cache, []
+        new: dict = {}
+        for chunk in fresh:
+            if self.lower and chunk.isalpha() and chunk.islower():  # ASCII letters
+                new[chunk] = None
+                continue
+            words = self.words(chunk)
+            if len(words) != 1 or words[0] != chunk:
+                parts.append((chunk, words))
             for word in words:
-                index.setdefault(word, len(index))
-        ids = self.merge(list(index))
-        for chunk, words in zip(fresh, parts, strict=True):
-            self.cache[chunk] = ids[index[words[0]]] if len(words) == 1 else b"".join([ids[index[w]] for w in words])
+                if word not in cache:
+                    new[word] = None
+        words = list(new)
+        ids = self.merge(words if self.lower else [w.encode() for w in words])
+        cache.update(zip(words, ids, strict=True))
+        for chunk, words in parts:
+            cache[chunk] = b"".join([cache[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; special tokens in a text become their ids."""
@@ -173,14 +198,15 @@ class Vocabulary:
             else:
                 pieces.append([self.split(text)])
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
+            self.cache = dict(islice(self.cache.items(), CACHE_CHUNKS // 2))
         cache = self.cache
-        fresh = {c for parts in pieces for p in parts if not isinstance(p, int) for c in p if c not in cache}
+        fresh = set().union(*(p for parts in pieces for p in parts if not isinstance(p, int))).difference(cache)
         if fresh:
             self.learn(fresh)
         out = []
+        get = cache.__getitem__
         for parts in pieces:
-            raw = [p.to_bytes(4, "little") if isinstance(p, int) else b"".join([cache[c] for c in p]) for p in parts]
+            raw = [p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in parts]
             out.append(raw[0] if len(raw) == 1 else b"".join(raw))
         return out
 

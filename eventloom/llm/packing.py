@@ -63,10 +63,20 @@ class Mixture:
             t += room
         self.total = t
 
-    def before(self, queue: int, t: int) -> int:
-        """Tokens that all queues before this one have given, of the first t."""
+    def slot(self, queue: int, t: int) -> tuple[int, int]:
+        """Tokens that the queues before this one, and this queue, have given of the first t."""
         p = bisect_right(self.starts, t) - 1
-        return self.given[p][queue] + _before(self.shares[p], queue, t - self.starts[p]) if self.starts else 0
+        shares, given = self.shares[p], self.given[p]
+        low, high, ahead, x = 0, len(shares) - 1, given[queue], t - self.starts[p]
+        while high - low > 1:
+            middle = (low + high) // 2
+            whole = shares[high] - shares[low]
+            left = x * (shares[middle] - shares[low]) // whole if whole else 0
+            if queue < middle:
+                high, x = middle, left
+            else:
+                low, x, ahead = middle, x - left, ahead + left
+        return ahead, given[queue + 1] - given[queue] + x
 
     def turn(self, queue: int, place: int) -> int:
         """Which token of all the token at ``place`` of a queue is."""
@@ -106,13 +116,15 @@ def _turn(shares: list[int], queue: int, place: int) -> int:
 
 def cut(mixture: Mixture, queue: int, place: int, tokens: int, size: int) -> list[tuple[int, int, int, int]]:
     """``(start, length, sequence, offset)`` of the pieces of a document at ``place`` of its queue."""
-    pieces, done = [], 0
+    pieces, done, sequence, edge = [], 0, -2, (0, 0)
     while done < tokens:
         at = place + done
-        sequence = mixture.turn(queue, at) // size
-        first, last = sequence * size, min((sequence + 1) * size, mixture.total)
-        others, ahead = mixture.before(queue, first), mixture.before(queue, last)
-        own, end = mixture.before(queue + 1, first) - others, mixture.before(queue + 1, last) - ahead
+        following = sequence + 1
+        if following < 0 or mixture.slot(queue, min((following + 1) * size, mixture.total))[1] <= at:
+            following = mixture.turn(queue, at) // size
+        others, own = edge if following == sequence + 1 else mixture.slot(queue, following * size)
+        edge = ahead, end = mixture.slot(queue, min((following + 1) * size, mixture.total))
+        sequence = following
         length = min(tokens - done, end - at)
         pieces.append((done, length, sequence, ahead - others + at - own))
         done += length
