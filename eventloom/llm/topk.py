@@ -29,7 +29,7 @@ def usable(vector: Column) -> Column:
 
 def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
     flat = column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, size)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), size)
 
 
 def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
