@@ -125,7 +125,7 @@ class BlobLedger:
         texts = versions.join(todo.hint("shuffle_hash"), ["row", "blob"])
         found = texts.select("blob", F.explode(F.concat(*[_found(r) for r in rules])).alias("f")).select("blob", "f.*")
         versions_of = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.version))])
-        self.append(todo.select("blob", F.explode("rules").alias("rule")).withColumn("version", versions_of["rule"]), found)
+        self.append(todo.select("blob", F.explode("rules").alias("rule")).withColumn("version", versions_of[F.col("rule")]), found)
 
 
 def _addressed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -148,7 +148,8 @@ def scan_blobs(
     current = [f"{r.name}:{r.version}" for r in rules]
     entry = F.struct("start", F.array_position(names, F.col("rule")).alias("rank"), "rule", "end")
     found = ledger.findings().where(F.concat_ws(":", "rule", "version").isin(current)).groupBy("blob")
-    return found.agg(F.sort_array(F.collect_list(entry)).alias("found"))
+    # Of a known partitioning of its own, so that a content with very many rows can be split when rows join it.
+    return durable(found.agg(F.sort_array(F.collect_list(entry)).alias("found")))
 
 
 def scan_documents(
