@@ -52,6 +52,8 @@ HEADLINE = (
     "duration_density",
     "live_insights",
     "recommendations",
+    "batch_report_job",
+    "json_report_file",
 )
 
 

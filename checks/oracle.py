@@ -520,12 +520,6 @@ SUMMARY_COLUMNS = {
     if name not in ("arppu", "paying_users", "purchase_rate_pct", "returning_user_pct")
 }
 add("filtered_summary_metrics", CLICKS, rows(SUMMARY_COLUMNS, "k"), CLICK_RANGE, extra=kpi_facts("k"))
-add(
-    "json_report_file", CLICKS,
-    f"""SELECT 'kpis' AS section, metric, value FROM ({rows(PLAIN, 'k')})
-    UNION ALL SELECT 'previous_period_kpis', metric, value FROM ({rows(PLAIN, 'b')})""",
-    extra=NOW_BEFORE,
-)
 _cards = [
     number_text("total_users", 0, "''"), number_text("total_revenue", 2, "'$'"), number_text("arpu", 2, "'$'"),
     number_text("arppu", 2, "'$'"), f"{fix('conversion_rate_pct', 1)} || '%'", number_text("avg_session_duration", 0, "''"),
@@ -944,3 +938,17 @@ add(
         )
     ),
 )
+_numbers = [
+    "stickiness", "avg_session_duration", "returning_pct", "paying_users", "revenue_per_session", "revenue_per_purchase",
+]
+add(
+    "json_report_file", CLICKS,
+    f"""SELECT 'kpis' AS section, metric, value, CAST(NULL AS VARCHAR) AS text FROM ({rows(PLAIN, 'k')})
+    UNION ALL SELECT 'previous_period_kpis', metric, value, NULL FROM ({rows(PLAIN, 'b0')})
+    UNION ALL SELECT 'advanced_kpis', metric, value, NULL FROM ({rows({n: n for n in _numbers}, 'adv')})
+    UNION ALL SELECT 'advanced_kpis', 'top_country', NULL, top_country FROM adv
+    UNION ALL SELECT 'advanced_kpis', 'top_device', NULL, top_device FROM adv
+    UNION ALL SELECT 'business_insights', CAST(position AS VARCHAR), NULL, text FROM ({live_lines(CLICK_RANGE)})
+    UNION ALL SELECT 'executive_recommendations', CAST(position AS VARCHAR), NULL, text FROM ({advice_lines(CLICK_RANGE, 'b0')})""",
+    CLICK_RANGE, extra=f"{facts()}, {EARLIER}, adv AS ({ADVANCED})",
+)

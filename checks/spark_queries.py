@@ -453,19 +453,20 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("json_report_file")
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    """The numbers of the report document, by section."""
+    """All five sections of the report document: numbers, names and lines."""
     path = fresh_path(spark, "json-report")
     report = dashboard.live_report(click_events(spark, folder), {"date_range": (date(2024, 1, 11), date(2024, 1, 20))})
     outputs.write_document(report["json"], path)
-    numbers_of = "map<string,string>"
-    schema = f"kpis {numbers_of}, previous_period_kpis {numbers_of}"
+    numbered, listed = ("kpis", "previous_period_kpis", "advanced_kpis"), ("business_insights", "executive_recommendations")
+    schema = ", ".join([f"{s} map<string,string>" for s in numbered] + [f"{s} array<string>" for s in listed])
     parsed = spark.read.text(path).select(F.from_json("value", schema).alias("report"))
-    sections = parsed.select(
-        F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"report.{s}").alias("values"))
-                            for s in ("kpis", "previous_period_kpis")])).alias("part")
-    )
+    lines = [F.map_from_entries(F.transform(f"report.{s}", lambda x, i: F.struct((i + 1).cast("string"), x))) for s in listed]
+    parts = [F.struct(F.lit(s).alias("section"), F.col(f"report.{s}").alias("values")) for s in numbered]
+    parts += [F.struct(F.lit(s).alias("section"), line.alias("values")) for s, line in zip(listed, lines)]
+    sections = parsed.select(F.explode(F.array(*parts)).alias("part"))
+    number = F.col("text").try_cast("double")
     return sections.select("part.section", F.explode("part.values").alias("metric", "text")).select(
-        "section", "metric", F.round(F.col("text").cast("double"), 6).alias("value")
+        "section", "metric", F.round(number, 6).alias("value"), F.when(number.isNull(), F.col("text")).alias("text")
     )
 
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.schema import FUNNEL_STAGES, PURCHASE
+from eventloom.schema import FUNNEL_STAGES, PURCHASE, RETURNING
 
 
 def money(column: str = "revenue") -> Column:
@@ -44,6 +44,10 @@ PER_USER = {
     "max_duration": "max(session_duration)",
     "first_date": "min(event_date)",
     "last_date": "max(event_date)",
+    # kind of the first event in time (0 none, 1 before RETURNING, 2 that, 3 after it), below the time in one number,
+    # so that it is a plain minimum; events without a time come last
+    "first_kind": "min(coalesce(unix_micros(cast(event_timestamp AS timestamp)), 500000000000000000L) * 4 + CASE WHEN user_type IS NULL"
+    f" THEN 0 WHEN user_type < '{RETURNING}' THEN 1 WHEN user_type = '{RETURNING}' THEN 2 ELSE 3 END)",
     # one bit per day of the month
     "days": "bit_or(shiftleft(1L, day(event_date)))",
     **{f"stage_{i}": f"max(event_name = '{stage}')" for i, stage in enumerate(FUNNEL_STAGES)},

@@ -18,10 +18,9 @@ from eventloom.functions.numbers import ratio
 from eventloom.operators.breakdowns import revenue_by_country
 from eventloom.operators.kpis import (
     batch_kpis_with_stages,
-    dashboard_kpis,
+    kpis_and_earlier,
     kpis_with_stages,
     median_duration,
-    returning_users,
 )
 from eventloom.operators.revenue import kpi_snapshot
 from eventloom.operators.segments import leader, segment_totals, total_of
@@ -105,9 +104,17 @@ def _amount(spot: str, digits: int) -> str:
     return _grouped(f"-top.{spot}.low", digits)
 
 
+def batch_facts(events: DataFrame) -> DataFrame:
+    """One row with the KPIs of the batch report and the leaders that its lines name."""
+    return batch_kpis_with_stages(events).select("*", one_row(segment_facts(events)).alias("top"))
+
+
 def batch_insights(events: DataFrame) -> DataFrame:
     """The 24 lines of the batch report."""
-    facts = batch_kpis_with_stages(events).select("*", one_row(segment_facts(events)).alias("top"))
+    return batch_insights_from(batch_facts(events))
+
+
+def batch_insights_from(facts: DataFrame) -> DataFrame:
     stickiness = "try_divide(100.0D * avg_dau, avg_mau)"
     values: list[tuple[str, ...]] = [
         (_name("country"), _amount("country", 2), _fixed(COUNTRY_SHARE, 1)),
@@ -140,16 +147,30 @@ def batch_insights(events: DataFrame) -> DataFrame:
     return _sentences(facts, lines)
 
 
-def live_insights(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
-    """Up to twelve lines about the filtered events."""
+def live_facts(
+    events: DataFrame, filters: EventFilters | None = None, earlier: Sequence[str] = ("revenue", "conversion_rate")
+) -> DataFrame:
+    """One row with all that the live texts and the advanced KPIs need; a text drops, unread, what it does not use."""
     chosen = select(events, filters)
-    facts = kpis_with_stages(chosen).select(
+    return kpis_and_earlier(events, filters, earlier).select(
         "*",
         one_row(segment_facts(chosen)).alias("top"),
         median_duration(chosen).scalar().alias("median"),
-        returning_users(chosen).scalar().alias("returning"),
+        _device_conversion(chosen).scalar().alias("device_rate"),
+        _steepest_drop().alias("drop"),
     )
 
+
+def live_insights(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
+    """Up to twelve lines about the filtered events."""
+    chosen = select(events, filters)
+    facts = kpis_with_stages(chosen).select(
+        "*", one_row(segment_facts(chosen)).alias("top"), median_duration(chosen).scalar().alias("median")
+    )
+    return insights_from(facts)
+
+
+def insights_from(facts: DataFrame) -> DataFrame:
     def earning(spot: str) -> str:
         return f"top.{spot}.low < 0"
 
@@ -189,26 +210,12 @@ def _steepest_drop() -> Column:
     return F.expr(f"array_min(array({', '.join(steps)}))")
 
 
-def _earlier_kpis(events: DataFrame, filters: EventFilters | None) -> Column:
-    """KPIs of the previous period as a struct; null without a range or without events."""
-    earlier = filters.previous_period() if filters else None
-    if earlier is None:
-        return F.lit(None).cast("struct<revenue: double, conversion_rate: double>")
-    known = dashboard_kpis(events, earlier).where(F.col("total_events") > 0)
-    return one_row(known.select("revenue", "conversion_rate"))
-
-
 def recommendations(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """Up to twelve next steps; growth rules need a previous period with events."""
-    chosen = select(events, filters)
-    facts = kpis_with_stages(chosen).select(
-        "*",
-        _earlier_kpis(events, filters).alias("earlier"),
-        one_row(segment_facts(chosen)).alias("top"),
-        _device_conversion(chosen).scalar().alias("device_rate"),
-        returning_users(chosen).scalar().alias("returning"),
-        _steepest_drop().alias("drop"),
-    )
+    return recommendations_from(live_facts(events, filters))
+
+
+def recommendations_from(facts: DataFrame) -> DataFrame:
     revenue = "(100.0D * try_divide(revenue - earlier.revenue, earlier.revenue))"
     conversion = "(100.0D * try_divide(conversion_rate - earlier.conversion_rate, earlier.conversion_rate))"
     best_share = "try_divide(-100.0D * top.paid_campaign.low, top.paid_campaign_revenue)"
@@ -224,7 +231,7 @@ def recommendations(events: DataFrame, filters: EventFilters | None = None) -> D
         _say(say["campaign_worst"], _name("weakest_campaign"), when=several),
         _say(say["country"], _name("country"), _fixed(COUNTRY_SHARE, 1), when="top.country_revenue > 0"),
         _say(say["device"], "device_rate.segment", _fixed("-device_rate.low", 1)),
-        _say(say["returning"], _fixed(RETURNING_PCT, 1), when="returning > 0 AND earlier IS NOT NULL"),
+        _say(say["returning"], _fixed(RETURNING_PCT, 1), when="returning > 0 AND earlier.revenue IS NOT NULL"),
         _say(say["funnel"], _fixed("-drop.low", 1), "drop.before", "drop.after"),
         _say(say["subscription"], _name("subscription"), when="top.subscription.low < 0"),
         _say(say["stickiness_low"], _fixed(STICKINESS, 1), when=f"{STICKINESS} < {LOW_STICKINESS}"),
@@ -236,13 +243,7 @@ def recommendations(events: DataFrame, filters: EventFilters | None = None) -> D
 
 def executive_summary(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """Nine rows ``(position, label, value)``."""
-    chosen = select(events, filters)
-    facts = kpis_with_stages(chosen).select(
-        "*",
-        _earlier_kpis(events, filters).alias("earlier"),
-        returning_users(chosen).scalar().alias("returning"),
-        one_row(segment_facts(chosen)).alias("top"),
-    )
+    facts = live_facts(events, filters)
 
     def earner(spot: str) -> str:
         return f"CASE WHEN top.{spot}.low < 0 THEN {_name(spot)} END"

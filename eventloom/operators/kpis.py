@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.filters import EventFilters, select
@@ -16,10 +18,9 @@ from eventloom.functions.numbers import (
     ratio_or,
 )
 from eventloom.functions.quantiles import quantiles
-from eventloom.operators.retention import users_by_first_value
 from eventloom.operators.revenue import kpi_snapshot
 from eventloom.operators.segments import leader, segment_totals
-from eventloom.schema import FUNNEL_STAGES, RETURNING
+from eventloom.schema import FUNNEL_STAGES
 from eventloom.wording import CARD_LABELS
 
 # KPIs compared between periods.
@@ -33,29 +34,37 @@ SUMS = ("events", "revenue", "purchases", "payments", "paid", "duration", "timed
 STAGE_FLAGS = [f"stage_{i}" for i in range(len(FUNNEL_STAGES))]
 FLAGS = ["has_payment", *STAGE_FLAGS]
 
-# user-months -> users -> one row -> rates
+# user-months -> users, and months -> one row for each period -> rates
 USER_TOTALS = {
-    "days": "sum(bit_count(days))",
-    "months": "count(month)",
+    "by_user": "grouping(month) = 1",
+    "active_days": "sum(bit_count(days))",
+    "active_months": "count(in_month)",
+    "month_days": "bit_count(bit_or(days))",
+    "first_kind": "min(first_kind)",
     **{name: f"max({name})" for name in FLAGS},
     **{name: f"sum({name})" for name in SUMS},
 }
+OF_USER = "by_user AND user_id IS NOT NULL"
 TOTALS = {
-    "users": "count(user_id)",
-    "user_days": "coalesce(sum(days) FILTER (WHERE user_id IS NOT NULL), 0)",
-    "user_months": "coalesce(sum(months) FILTER (WHERE user_id IS NOT NULL), 0)",
-    **{name: f"count_if(user_id IS NOT NULL AND {name})" for name in FLAGS},
-    **{name: f"coalesce(sum({name}), 0)" for name in SUMS},
+    "users": f"count_if({OF_USER})",
+    "user_days": f"sum(active_days) FILTER (WHERE {OF_USER})",
+    "user_months": f"sum(active_months) FILTER (WHERE {OF_USER})",
+    "returning": f"count_if({OF_USER} AND pmod(first_kind, 4) = 2)",
+    "calendar_days": "sum(month_days) FILTER (WHERE NOT by_user)",
+    "calendar_months": "count(month) FILTER (WHERE NOT by_user)",
+    **{name: f"count_if({OF_USER} AND {name})" for name in FLAGS},
+    **{name: f"sum({name}) FILTER (WHERE by_user)" for name in SUMS},
 }
 RATES = {
     "users": "users",
     "payers": "has_payment",
     "events": "events",
     "sessions": "sessions",
+    "returning": "returning",
     "revenue": "cast(revenue AS double)",
     "payments": "payments",
-    "dau": "coalesce(try_divide(cast(user_days AS double), calendar.days), 0D)",
-    "mau": "coalesce(try_divide(cast(user_months AS double), calendar.months), 0D)",
+    "dau": "coalesce(try_divide(cast(user_days AS double), calendar_days), 0D)",
+    "mau": "coalesce(try_divide(cast(user_months AS double), calendar_months), 0D)",
     "arpu": "coalesce(try_divide(cast(revenue AS double), users), 0D)",
     "arppu": "coalesce(try_divide(cast(revenue AS double), has_payment), 0D)",
     "conversion": "coalesce(try_divide(100.0D * has_payment, users), 0D)",
@@ -64,34 +73,47 @@ RATES = {
     "avg_duration": "coalesce(try_divide(cast(duration AS double), timed_events), 0D)",
     "stages": f"array({', '.join(STAGE_FLAGS)})",
 }
+NOW, EARLIER = "now", "earlier"
 
 
-def activity_totals(events: DataFrame) -> DataFrame:
-    """One row of totals, rates and users per funnel stage, zero for no events.
+def period_totals(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
+    """A row ``(period, totals, rates, users per funnel stage)`` for now and, where there is one, the earlier period.
 
-    Events are reduced to user-months and then to users. The days a user was
-    active in a month are kept as bits of one number, so mean daily and monthly
-    users and all user counts come from the same, single shuffle of events.
+    Both periods, all user counts, the days and months with events and the first
+    type of each user come from one pass over the events: they are reduced to
+    user-months, with the days a user was active as bits of one number, and
+    those to users and to months. Sessions are counted in another pass, which
+    is left out where they are not asked for. A period without events is zero.
     """
-    months = user_rollup(events.withColumn("month", month_key(F.col("event_date"))), "month")
-    users = months.groupBy("user_id").agg(*sql_columns(USER_TOTALS))
-    calendar = (
-        events.select("event_date")
-        .distinct()
-        .selectExpr("struct(count(event_date) AS days, count(DISTINCT date_format(event_date, 'yyyy-MM')) AS months)")
-    )
-    totals = users.agg(*sql_columns(TOTALS)).select(
-        "*",
-        calendar.scalar().alias("calendar"),
-        events.agg(F.count_distinct("session_id")).scalar().alias("sessions"),
-    )
-    return totals.select(*sql_columns(RATES))
+    earlier = filters.previous_period() if filters else None
+    name = F.when(filters.predicate() if filters else F.lit(True), NOW)
+    if earlier is not None:
+        name = name.when(earlier.predicate(), EARLIER)
+    periods = [NOW] if earlier is None else [NOW, EARLIER]
+    tagged = events.withColumn("period", name).where(F.col("period").isNotNull())
+
+    months = user_rollup(tagged.withColumn("month", month_key(F.col("event_date"))), "period", "month")
+    months = months.withColumn("in_month", F.col("month"))
+    sets = [[F.col("period"), F.col("user_id")], [F.col("period"), F.col("month")]]
+    users = months.groupingSets(sets, "period", "user_id", "month").agg(*sql_columns(USER_TOTALS))
+    totals = users.groupBy("period").agg(*sql_columns(TOTALS))
+    sessions = tagged.groupBy("period").agg(F.count_distinct("session_id").alias("sessions"))
+
+    def of(period: str, column: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("period") == period, F.col(column))), F.lit(0))
+
+    counted = sessions.agg(*[of(p, "sessions").alias(p) for p in periods])
+    listed = [F.struct(F.lit(p).alias("period"), *[of(p, c).alias(c) for c in TOTALS]) for p in periods]
+    rows = totals.agg(F.array(*listed).alias("rows")).select(F.explode("rows").alias("row")).select("row.*")
+    own = F.lit(0)
+    for p in periods:
+        own = F.when(F.col("period") == p, counted.select(p).scalar()).otherwise(own)
+    return rows.withColumn("sessions", own).select("period", *sql_columns(RATES))
 
 
-def returning_users(events: DataFrame) -> DataFrame:
-    """One row: users whose first event says they are returning."""
-    counts = users_by_first_value(events, "user_type").where(F.col("user_type") == RETURNING)
-    return counts.agg(F.coalesce(F.sum("users"), F.lit(0)).alias("returning_users"))
+def activity_totals(events: DataFrame) -> DataFrame:
+    """One row of totals, rates and users per funnel stage, zero for no events."""
+    return period_totals(events).drop("period")
 
 
 def batch_kpis(events: DataFrame) -> DataFrame:
@@ -100,9 +122,7 @@ def batch_kpis(events: DataFrame) -> DataFrame:
 
 
 def batch_kpis_with_stages(events: DataFrame) -> DataFrame:
-    totals = activity_totals(events).select(
-        "*", median_duration(events).scalar().alias("median"), returning_users(events).scalar().alias("returning")
-    )
+    totals = activity_totals(events).select("*", median_duration(events).scalar().alias("median"))
     return totals.selectExpr(
         "users AS total_users",
         "events AS total_events",
@@ -129,12 +149,32 @@ def median_duration(events: DataFrame) -> DataFrame:
 
 def dashboard_kpis(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """One row with the top-line KPIs, all zero for no events."""
-    return kpis_with_stages(select(events, filters)).drop("stages")
+    return kpis_with_stages(select(events, filters)).drop("stages", "returning")
 
 
 def kpis_with_stages(events: DataFrame) -> DataFrame:
-    """The top-line KPIs and the users per funnel stage as an array."""
-    return activity_totals(events).selectExpr(
+    """The top-line KPIs, the users per funnel stage as an array, and the users that were returning at first."""
+    return _named(activity_totals(events))
+
+
+def kpis_and_earlier(events: DataFrame, filters: EventFilters | None, earlier: Sequence[str] = COMPARED) -> DataFrame:
+    """``kpis_with_stages`` of now, and ``earlier``: a struct of KPIs before, all null without a period or events.
+
+    Column by column, so that what a caller does not use is not computed; the struct has only the KPIs named.
+    """
+    rows = _named(period_totals(events, filters), "period")
+    names = [c for c in rows.columns if c != "period"]
+    now, before = F.col("period") == NOW, (F.col("period") == EARLIER) & (F.col("total_events") > 0)
+    both = rows.agg(
+        *[F.first(F.when(now, F.col(c)), ignorenulls=True).alias(c) for c in names],
+        *[F.first(F.when(before, F.col(c)), ignorenulls=True).alias(f"{EARLIER}_{c}") for c in earlier],
+    )
+    return both.select(*names, F.struct(*[F.col(f"{EARLIER}_{c}").alias(c) for c in earlier]).alias(EARLIER))
+
+
+def _named(totals: DataFrame, *keys: str) -> DataFrame:
+    return totals.selectExpr(
+        *keys,
         "users AS total_users",
         "dau",
         "mau",
@@ -148,22 +188,26 @@ def kpis_with_stages(events: DataFrame) -> DataFrame:
         "events AS total_events",
         "avg_duration AS avg_session_duration",
         "stages",
+        "returning",
     )
 
 
 def advanced_kpis(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """One row: stickiness, efficiency and the leading country and device."""
     chosen = select(events, filters)
-    return advanced_from(dashboard_kpis(chosen), chosen)
+    return advanced_from(kpis_with_stages(chosen), chosen)
 
 
 def advanced_from(kpis: DataFrame, chosen: DataFrame) -> DataFrame:
     leaders = segment_totals(chosen, ["country", "device_type"]).agg(
         leader("country", "revenue").alias("country"), leader("device_type", "revenue").alias("device")
     )
-    returning = returning_users(chosen).scalar()
-    base = kpis.select("*", one_row(leaders).alias("top"), returning.alias("returning"))
-    return base.select(
+    return advanced_of(kpis.select("*", one_row(leaders).alias("top")))
+
+
+def advanced_of(facts: DataFrame) -> DataFrame:
+    """The advanced KPIs from KPIs and leaders that are known."""
+    return facts.select(
         ratio_or(100.0 * F.col("dau"), F.col("mau")).alias("stickiness"),
         "avg_session_duration",
         ratio_or(100.0 * F.col("returning"), F.col("total_users")).alias("returning_pct"),
@@ -191,17 +235,20 @@ def period_comparison(events: DataFrame, filters: EventFilters) -> DataFrame:
     Without a date range, or without events in the earlier period, previous and
     change are null.
     """
-    now = metric_rows(dashboard_kpis(events, filters).select(*COMPARED))
-    earlier = filters.previous_period()
-    if earlier is None:
-        then = now.select("metric", F.lit(None).cast("double").alias("previous"))
-    else:
-        kpis = dashboard_kpis(events, earlier).where(F.col("total_events") > 0)
-        then = metric_rows(kpis.select(*COMPARED)).withColumnRenamed("value", "previous")
+    both = kpis_and_earlier(events, filters)
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("metric"),
+                F.col(name).cast("double").alias("current"),
+                F.col(f"earlier.{name}").cast("double").alias("previous"),
+            )
+            for name in COMPARED
+        ]
+    )
     change = change_pct(F.col("current"), F.col("previous"))
     return (
-        now.withColumnRenamed("value", "current")
-        .join(then, "metric", "left")
+        both.select(F.inline(pairs))
         .withColumn("change_pct", change)
         .withColumn("direction", F.when(change > 0.05, "up").when(change < -0.05, "down").when(change.isNotNull(), "flat"))
         .orderBy("metric")

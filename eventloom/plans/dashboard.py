@@ -11,7 +11,6 @@ from functools import cache, partial
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from eventloom.filters import EventFilters, date_bounds, filter_options
 from eventloom.operators import (
@@ -29,6 +28,7 @@ from eventloom.operators import (
     rfm,
     segments,
 )
+from eventloom.session import durable
 from eventloom.sources import outputs
 
 
@@ -134,23 +134,25 @@ def analytics_center(events: DataFrame, selection: Mapping[str, Any]) -> LazyTab
     })
 
 
-def live_report(events: DataFrame, selection: Mapping[str, Any]) -> dict[str, DataFrame]:
-    """The text and JSON documents of the current selection."""
+def live_report(events: DataFrame, selection: Mapping[str, Any]) -> LazyTables:
+    """The text and JSON documents of the current selection, both from one row of facts that is computed once."""
     filters = EventFilters.from_selection(selection)
-    earlier = filters.previous_period()
-    previous = None
-    if earlier is not None:
-        previous = kpis.dashboard_kpis(events, earlier).where(F.col("total_events") > 0)
-    said = insights.live_insights(events, filters)
-    advice = insights.recommendations(events, filters)
-    now = kpis.dashboard_kpis(events, filters)
-    return {
-        "text": outputs.live_document(said, advice),
-        "json": outputs.json_report(
-            now.select(*kpis.COMPARED),
-            kpis.advanced_kpis(events, filters),
-            previous.select(*kpis.COMPARED) if previous is not None else None,
-            said,
-            advice,
-        ),
-    }
+
+    @cache
+    def facts() -> DataFrame:
+        return durable(insights.live_facts(events, filters, kpis.COMPARED))
+
+    def text() -> DataFrame:
+        return outputs.live_document(insights.insights_from(facts()), insights.recommendations_from(facts()))
+
+    def json() -> DataFrame:
+        previous = facts().where("earlier.total_users IS NOT NULL").select(*[f"earlier.{name}" for name in kpis.COMPARED])
+        return outputs.json_report(
+            facts().select(*kpis.COMPARED),
+            kpis.advanced_of(facts()),
+            previous if filters.previous_period() is not None else None,
+            insights.insights_from(facts()),
+            insights.recommendations_from(facts()),
+        )
+
+    return LazyTables({"text": text, "json": json})
