@@ -19,41 +19,27 @@ def segment_rows(events: DataFrame, dimensions: Sequence[str], *columns: str) ->
     return rows.where(F.col("segment").isNotNull())
 
 
-def segment_users(events: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Distinct users per value of each dimension.
+def segmentation(events: DataFrame, dimensions: Sequence[str] = SEGMENT_DIMENSIONS) -> DataFrame:
+    """Users, events, revenue and mean session duration per value of each dimension.
 
-    A user is shuffled once, with the set of values per dimension, instead of
-    once per dimension and event. A set holds at most the values a dimension has.
+    Events are first added up by user and all dimensions together, and only what
+    is left is listed once per dimension. A user is then counted once per value
+    by adding up again, so no list of users or values is ever held.
     """
-    users = (
-        events.where(F.col("user_id").isNotNull())
-        .groupBy("user_id")
-        .agg(*[F.collect_set(F.col(name).cast("string")).alias(name) for name in dimensions])
-    )
-
-    def pairs(name: str) -> Column:
-        return F.transform(name, lambda value: F.struct(F.lit(name).alias("dimension"), value.alias("segment")))
-
-    listed = users.select(F.explode(F.concat(*[pairs(name) for name in dimensions])).alias("at"))
-    return listed.groupBy("at.dimension", "at.segment").agg(F.count(F.lit(1)).alias("users"))
-
-
-def segmentation(events: DataFrame, dimensions: Sequence[str] = SEGMENT_DIMENSIONS) -> DataFrame:
-    """Users, events, revenue and mean session duration per value of each dimension."""
-    named = events.withColumn("named", F.col("event_name").isNotNull())
-    totals = (
-        segment_rows(named, dimensions, "named", "revenue", "session_duration")
-        .groupBy("dimension", "segment")
-        .agg(
-            F.count_if("named").alias("events"),
-            F.sum(money()).cast("double").alias("revenue"),
-            F.avg("session_duration").alias("avg_session_duration"),
-        )
-    )
+    sums = {"events": "count(event_name)", "revenue": "sum(cast(revenue AS decimal(18,2)))",
+            "duration": "sum(session_duration)", "timed": "count(session_duration)"}
+    texts = [F.col(name).cast("string").alias(name) for name in dimensions]
+    joint = events.groupBy("user_id", *texts).agg(*[F.expr(x).alias(name) for name, x in sums.items()])
+    # The count of a user's rows by value needs the user under a name that no dimension has.
+    listed = segment_rows(joint.withColumnRenamed("user_id", "_user"), dimensions, "_user", *sums)
+    users = listed.groupBy("dimension", "segment", "_user").agg(*[F.sum(name).alias(name) for name in sums])
     return (
-        totals.join(segment_users(events, dimensions), ["dimension", "segment"], "left")
-        .select(
-            "dimension", "segment", F.coalesce("users", F.lit(0)).alias("users"), "events", "revenue", "avg_session_duration"
+        users.groupBy("dimension", "segment")
+        .agg(
+            F.count("_user").alias("users"),
+            F.sum("events").alias("events"),
+            F.sum("revenue").cast("double").alias("revenue"),
+            ratio(F.sum("duration").cast("double"), F.sum("timed")).alias("avg_session_duration"),
         )
         .orderBy("dimension", F.desc("revenue"), "segment")
     )
