@@ -1,7 +1,7 @@
 """Fuzzy line dedup: DataFrame functions only.
 
-1. Each line becomes its lower-case words; equal word sequences are one line with many occurrences.
-2. Each distinct line gets a SimHash of its words. Of five blocks of the hash, two are equal in any two
+1. Each line becomes its lower-case words between blanks; equal word sequences are one line with many occurrences.
+2. Each line gets a SimHash of its distinct words. Of five blocks of the hash, two are equal in any two
    hashes that differ in up to three bits; the ten pairs of blocks are join keys.
 3. Lines that share a key, differ in up to three bits and are similar in words by edit distance link.
    First each line is compared with the smallest line of each of its keys. What that leaves apart is compared
@@ -20,55 +20,61 @@ from eventloom.session import durable
 
 MOST_BITS = 3
 SIMILARITY = 0.8
-LEAST_WORDS = 3  # shorter lines are left alone
+LEAST_WORDS = 3  # distinct words; lines with fewer are left alone
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, bits
 BROADCAST_ROWS = 200_000  # of three numbers each; longer lists are joined by shuffle
 
 
 def line_words(line: Column) -> Column:
-    """Lower-case words between white space and ASCII punctuation."""
-    return F.filter(F.split(F.lower(line), r"[\s\p{Punct}]+"), lambda w: w != "")
+    """Lower-case words between blanks."""
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
-def _mask(lanes: int, width: int) -> int:
-    return sum(1 << (width * i) for i in range(lanes))
+# Marks that are no words when they stand alone.
+MARKS = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+LANE_BITS, LANES = 21, 3
+TOP = LANE_BITS - 1
+ONES = sum(1 << (LANE_BITS * lane) for lane in range(LANES))  # a one in each lane
+MOST_WORDS = (1 << TOP) - 1
 
 
-NARROW, WIDE = 127, (1 << 21) - 1  # words that lanes of 8 and of 21 bits can count
+def _lane_sums(word_hash: str) -> list[Column]:
+    """Counts of the 64 bits of many hashes: each long has three of them, side by side."""
+    sums = [F.sum(F.shiftrightunsigned(word_hash, s).bitwiseAND(F.lit(ONES))).alias(f"lanes_{s}") for s in range(LANE_BITS)]
+    return [*sums, F.sum(F.shiftrightunsigned(word_hash, 63)).alias(f"lanes_{LANE_BITS}")]
 
 
-def add_simhash(lines: DataFrame) -> DataFrame:
-    """``simhash`` of ``words``: 64 bits, each set where over half of the words' hashes have it.
+def _majority(total: str) -> Column:
+    """64 bits, each set where over half of ``total`` hashes have it.
 
-    Bits are counted several at a time, in lanes of a long: eight lanes of eight
-    bits for up to 127 words, three of 21 for up to two million. A longer line is
-    only equal to its copies.
+    A lane's highest bit is set by adding what lacks from half of the hashes to
+    that bit, in all three lanes at once.
     """
-
-    def fold(shift: int, mask: int) -> Column:
-        zero = F.lit(0).cast("long")
-        return F.aggregate("hashes", zero, lambda done, h: done + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask)))
-
-    def bits(counts: list[tuple[int, int, int]], width: int) -> Column:
-        """``counts`` has, for each bit, the total and the lane in it that count it."""
-        out = F.lit(0).cast("long")
-        for bit, total, lane in counts:
-            count = F.shiftrightunsigned(F.col("totals")[total], lane * width).bitwiseAND(F.lit((1 << width) - 1))
-            out = out.bitwiseOR(F.when(count * 2 > F.size("words"), F.lit(_signed(1 << bit))).otherwise(F.lit(0).cast("long")))
-        return out
-
-    few, many = F.size("words") <= NARROW, F.size("words") <= WIDE
-    narrow = F.array(*[fold(s, _mask(8, 8)) for s in range(8)])
-    wide = F.array(*[fold(s, _mask(3, 21)) for s in range(21)], fold(63, 1))
-    counted = lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    counted = counted.withColumn("totals", F.when(few, narrow).when(many, wide))
-    low = bits([(8 * lane + s, s, lane) for s in range(8) for lane in range(8)], 8)
-    high = bits([(21 * lane + s, s, lane) for s in range(21) for lane in range(3)] + [(63, 21, 0)], 21)
-    return counted.withColumn("simhash", F.when(few, low).when(many, high).otherwise(F.xxhash64("words"))).drop("hashes", "totals")
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+    lacking = (F.lit(MOST_WORDS) - F.floor(F.col(total) / 2)) * ONES
+    out = F.shiftleft((F.col(f"lanes_{LANE_BITS}") * 2 > F.col(total)).cast("long"), 63)
+    for s in range(LANE_BITS):
+        over = F.shiftrightunsigned(F.col(f"lanes_{s}") + lacking, TOP).bitwiseAND(F.lit(ONES))
+        out = out.bitwiseOR(F.shiftleft(over, s))
+    return out
+
+
+def add_simhash(lines: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, a, n, simhash)`` for lines of ``(keys, words)`` with at least LEAST_WORDS distinct words.
+
+    ``a`` is a hash of all words and marks and ``n`` their number; the SimHash is that
+    of the distinct words, without marks that stand alone, else a few frequent
+    words would make most lines alike. Words are rows that are added up where
+    they are read; only sums are shuffled. A line of over a million words has
+    its hash for SimHash.
+    """
+    size = F.size("words")
+    hashed = lines.where(size >= LEAST_WORDS).select(*keys, F.xxhash64("words").alias("a"), size.cast("long").alias("n"), "words")
+    rows = hashed.where(size <= MOST_WORDS).select(*keys, "a", "n", F.explode(F.array_distinct("words")).alias("word"))
+    rows = rows.where(~F.col("word").isin(MARKS)).select(*keys, "a", "n", F.xxhash64("word").alias("h"))
+    counts = [F.min("a").alias("a"), F.min("n").alias("n"), F.count("*").alias("distinct")]
+    summed = rows.groupBy(*keys).agg(*counts, *_lane_sums("h")).where(F.col("distinct") >= LEAST_WORDS)
+    usual = summed.select(*keys, "a", "n", _majority("distinct").alias("simhash"))
+    return usual.unionByName(hashed.where(size > MOST_WORDS).select(*keys, "a", "n", F.col("a").alias("simhash")))
 
 
 def _block_keys(simhash: Column) -> Column:
@@ -98,19 +104,17 @@ def _bounded(table: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(id, copy, line, words, a, b)`` for each line to compare; a and b are hashes of its words, copy of its text."""
+    """``(id, copy, line, words)`` for each line to compare; copy is a hash of its text."""
     text = F.col(f"`{text_column}`").cast("string")
     lines = docs.where(F.col(f"`{id_column}`").isNotNull() & text.isNotNull()).select(
         F.col(f"`{id_column}`").cast("long").alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("line", "content")
     )
-    lines = lines.select("id", "copy", "line", line_words(F.col("content")).alias("words")).where(F.size("words") >= LEAST_WORDS)
-    joined = F.array_join("words", " ")
-    return lines.select("*", F.xxhash64(joined).alias("a"), F.xxhash64(F.lit("b"), joined).alias("b"))
+    return lines.select("id", "copy", "line", line_words(F.col("content")).alias("words"))
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Of ``(x, y)`` pairs of distinct lines those whose words are similar by edit distance."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct().join(distinct.select("a", "first.*"), "a")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct().join(distinct.select("a", "first.*").dropDuplicates(["a"]), "a")
     places = durable(wanted.groupBy("id", "copy").agg(F.collect_list(F.struct("line", "a")).alias("places")))
     text = F.col(f"`{text_column}`").cast("string")
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text.alias("text"))
@@ -126,13 +130,14 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column:
 
 def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(a, b)`` links that connect all distinct lines that are near in bits and in words."""
-    keyed = distinct.select("a", "simhash", "n", F.explode(_block_keys(F.col("simhash"))).alias("key"))
+    facts = distinct.select("a", "simhash", "n")
+    keyed = distinct.select("a", F.explode(_block_keys(F.col("simhash"))).alias("key"))
     same = Window.partitionBy("key")
-    shared = keyed.select(
-        "*", F.count("*").over(same).alias("rows"), F.min(F.struct("a", "simhash", "n")).over(same).alias("least")
-    ).where("rows > 1")
-    shared = durable(shared.select("key", "a", "simhash", "n", F.col("least.a").alias("least"), F.col("least.simhash").alias("least_simhash"), F.col("least.n").alias("least_n")))
-    first = shared.where((F.col("a") != F.col("least")) & (_apart("simhash", "least_simhash") <= MOST_BITS) & _close("n", "least_n"))
+    shared = keyed.select("key", "a", F.count("*").over(same).alias("rows"), F.min("a").over(same).alias("least"))
+    shared = durable(shared.where("rows > 1").select("key", "a", "least").join(facts, "a"))
+    least = facts.select(F.col("a").alias("least"), F.col("simhash").alias("least_simhash"), F.col("n").alias("least_n"))
+    first = shared.where("a <> least").join(least, "least")
+    first = first.where((_apart("simhash", "least_simhash") <= MOST_BITS) & _close("n", "least_n"))
     first = durable(first.select(F.col("a").alias("x"), F.col("least").alias("y")).distinct())
     links = durable(_verified(first, distinct, docs, id_column, text_column))
 
@@ -153,36 +158,37 @@ def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_colum
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, copy, dropped)``: numbers of the lines that occur before, exactly or nearly, in rows that have such."""
-    seen = _occurrences(docs, id_column, text_column)
-    seen = durable(add_simhash(seen).select("id", "copy", "line", "a", "b", "simhash", F.size("words").alias("n")))
-    distinct = seen.groupBy("a", "b").agg(
-        F.min(F.struct("id", "line", "copy")).alias("first"), F.max("simhash").alias("simhash"), F.max("n").alias("n")
-    )
+    seen = durable(add_simhash(_occurrences(docs, id_column, text_column), "id", "copy", "line"))
+    distinct = seen.groupBy("a", "simhash").agg(F.min(F.struct("id", "line", "copy")).alias("first"), F.max("n").alias("n"), F.count("*").alias("rows"))
     distinct = durable(distinct)
     groups = connected_components(_line_links(distinct, docs, id_column, text_column)).withColumnRenamed("node", "a")
-    named = distinct.join(groups, "a", "left").select("a", "b", "first", F.coalesce("component", "a").alias("group"), F.col("component").isNull().alias("alone"))
-    kept = named.where("not alone").groupBy("group").agg(F.min("first").alias("kept"))
-    kept = durable(named.join(kept, "group", "left").select("a", "b", F.coalesce("kept", "first").alias("kept")))
-    again = seen.join(kept, ["a", "b"]).where(F.struct("id", "line", "copy") != F.col("kept"))
+    named = distinct.join(groups, "a", "left").select("a", "simhash", "first", "rows", "component")
+    kept = named.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
+    # Only lines that occur again, or are like another, can have something to drop.
+    named = named.where("rows > 1 or component is not null").join(kept, "component", "left")
+    named = durable(named.select("a", "simhash", F.coalesce("kept", "first").alias("kept")))
+    again = seen.join(named, ["a", "simhash"]).where(F.struct("id", "line", "copy") != F.col("kept"))
     return again.groupBy("id", "copy").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", dropped_column: str = "dropped") -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without repeated lines, and ``dropped``, the numbers of those lines.
 
-    A line is what stands between line feeds. Lines of fewer than LEAST_WORDS words
-    always stay. The first occurrence, by id and then place, of each group of
+    A line is what stands between line feeds. Lines of fewer than LEAST_WORDS
+    distinct words always stay. The first occurrence, by id and then place, of each group of
     equal or similar lines stays. Null texts stay null, empty ones empty; a row
     without an id stays as it is and its lines match none. Repeated rows are
     one place: each keeps the same lines. Other columns pass through, but for one
     with the name of ``dropped_column``; an empty table gives no rows.
     """
-    gone = dropped_lines(docs, id_column, text_column)
+    gone = durable(dropped_lines(docs, id_column, text_column))
     names = [c for c in docs.columns if c != dropped_column]
     text = F.col(f"`{text_column}`").cast("string")
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{id_column}`").cast("long").alias("__id"), F.xxhash64(text).alias("__copy"))
     gone = gone.select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), F.col("dropped").alias("__dropped"))
-    joined = rows.join(gone.hint("shuffle_hash"), ["__id", "__copy"], "left")
+    # A short list goes to the texts; otherwise texts and list meet, without sorting the texts.
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
+    joined = rows.join(gone, ["__id", "__copy"], "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
     new_text = F.when(F.col("__dropped").isNull(), text).otherwise(kept)
     columns = [new_text.alias(c) if c == text_column else F.col(f"`{c}`") for c in names]
