@@ -26,7 +26,7 @@ from eventloom.llm.batches import held_out, short_batches, text_rows, words_of
 ORDER = 2
 PRIOR = 500.0  # M, in words
 ADDED = 0.1
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20  # of text, for each bucket of n-gram counts
 # Hashes of the marks around a text; words hash otherwise but for a chance of one in 2**64.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -51,6 +51,24 @@ def _expand(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+class _Hashes(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, where each occurs, and the number of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    fresh = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.zeros(0, bool)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], order[fresh], number
+
+
 @dataclass
 class Shard:
     """The tokens of some texts: each text is start marks, its words and an end mark."""
@@ -62,17 +80,14 @@ class Shard:
 
     @classmethod
     def read(cls, texts: list[str], order: int) -> Shard:
-        known: dict[bytes, int] = {}
+        known = _Hashes()
         flat: list[int] = []
         lengths = []
         marks = [int(START)] * (order - 1)
         for text in texts:
             words = words_of(text)
-            for word in set(words):
-                if word not in known:
-                    known[word] = xxhash.xxh64_intdigest(word)
             flat += marks
-            flat += [known[w] for w in words]
+            flat += map(known.__getitem__, words)
             flat.append(int(END))
             lengths.append(len(words) + order)
         lengths = np.array(lengths, np.int64)
@@ -130,7 +145,7 @@ def _answers(table: pa.Table) -> pa.Table:
     """Totals over all shards of the n-grams of one bucket, for each shard in the order it sent them."""
     keys = [np.cumsum(_expand(x, "u8"), dtype=np.uint64) for x in table.column("keys").to_pylist()]
     counts = [_expand(x, "u4") for x in table.column("counts").to_pylist()]
-    every, back = np.unique(np.concatenate(keys), return_inverse=True)
+    every, _, back = _distinct(np.concatenate(keys))
     totals = np.bincount(back, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
     words = totals[every != START]
     facts = (int(words.sum()), int((words > 0).sum())) if table.column("n")[0].as_py() == 1 else (0, 0)
@@ -145,23 +160,29 @@ def _answers(table: pa.Table) -> pa.Table:
 class Automaton:
     """States are contexts that training texts have; 0 is the empty one.
 
-    ``arcs`` maps state * symbols + symbol to the weight and the next state, which
-    is the longest suffix of context and word that is a state. A word that no
-    state knows costs ``unknown`` and leads to state 0.
+    A state whose context has n words has, at some place of a text, an arc if the
+    n + 1 words that end there are a seen n-gram; arcs are therefore kept by
+    that length and place. An arc leads to the longest suffix of its words that
+    is a state. A word that no state knows costs ``unknown`` and leads to state 0.
     """
 
     def __init__(self, shard: Shard, totals: list[np.ndarray], order: int, all_tokens: int, all_words: int):
         keys = shard.keys(order)
         spots = np.flatnonzero(shard.counted)
-        distinct = [np.unique(k[spots]) for k in keys]
-        at = [np.searchsorted(d, k) for d, k in zip(distinct, keys, strict=True)]  # of uncounted tokens never used
-        self.symbols, self.symbol = len(distinct[0]), at[0]
+        distinct, firsts, at = [], [], []
+        for k in keys:
+            found, first, number = _distinct(k[spots])
+            place = np.zeros(len(k), np.int64)  # of uncounted tokens never used
+            place[spots] = number
+            distinct.append(found)
+            firsts.append(spots[first])
+            at.append(place)
+        self.symbol = at[0]
         scale = all_tokens + ADDED * (all_words + 1)
         self.unknown = float(np.log10(ADDED / scale))
-        firsts = [spots[np.unique(k[spots], return_index=True)[1]] for k in keys]
         is_end = shard.tokens == END
         # The state of each n-gram shorter than the order, 0 where training texts never go on from it.
-        state, fail_to, fail_cost, size = [], [0], [0.0], 1
+        state, fail_to, fail_cost, depth, size = [], [0], [0.0], [0], 1
         for n in range(1, order):
             live = (totals[n - 1] > 0) & ~is_end[firsts[n - 1]]
             numbers = np.where(live, np.cumsum(live) + size - 1, 0)
@@ -170,54 +191,51 @@ class Automaton:
             lower = state[n - 2][at[n - 2][firsts[n - 1][live]]] if n > 1 else np.zeros(int(live.sum()), np.int64)
             fail_to += lower.tolist()
             fail_cost += np.log10(PRIOR / (totals[n - 1][live] + PRIOR)).tolist()
-        self.fail_to, self.fail_cost = fail_to, fail_cost
+            depth += [n] * len(lower)
+        self.fail_to, self.fail_cost, self.depth = fail_to, fail_cost, depth
         self.start = 0
         for n in range(order - 1, 0, -1):
-            marks = [START]
+            marks = np.array([START])
             for _ in range(n - 1):
-                marks.append(_join(marks[-1:], np.array([START]))[0])
-            place = np.searchsorted(distinct[n - 1], marks[-1]) if len(spots) else 0
-            if place < len(distinct[n - 1]) and distinct[n - 1][place] == marks[-1] and state[n - 1][place]:
+                marks = _join(marks, np.array([START]))
+            place = int(np.searchsorted(distinct[n - 1], marks[0]))
+            if place < len(distinct[n - 1]) and distinct[n - 1][place] == marks[0] and state[n - 1][place]:
                 self.start = int(state[n - 1][place])
                 break
-        self.arcs: dict[int, int] = {}
-        self.weights: list[float] = []
-        self.next: list[int] = []
+        self.arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by n: seen, weight and next state, at each place
         lower = (totals[0] + ADDED) / scale
         for n in range(1, order + 1):
             first, count = firsts[n - 1], totals[n - 1].astype(np.float64)
             if n == 1:
-                chance, source = lower, np.zeros(len(first), np.int64)
+                chance = lower
             else:
                 before = at[n - 2][first - 1]
                 chance = (count + PRIOR * lower[at[n - 2][first]]) / (totals[n - 2][before] + PRIOR)
-                source = state[n - 2][before]
-            real = shard.real[first] & (count > 0)
             target = np.zeros(len(first), np.int64)
             for m in range(1, min(n, order - 1) + 1):  # longer suffixes last
                 longer = state[m - 1][at[m - 1][first]]
                 target = np.where(longer > 0, longer, target)
-            number = (source * self.symbols + at[0][first])[real].tolist()
-            self.arcs.update(zip(number, range(len(self.weights), len(self.weights) + len(number)), strict=True))
-            self.weights += np.log10(chance[real]).tolist()
-            self.next += target[real].tolist()
+            here = at[n - 1]
+            self.arcs.append(((count > 0)[here], np.log10(chance)[here], target[here]))
             lower = chance
 
-    def traverse(self, symbols: list[int]) -> float:
-        """The log10 probability of a text, its end included."""
-        arcs, weights, after, fail_to, fail_cost, width = self.arcs, self.weights, self.next, self.fail_to, self.fail_cost, self.symbols
+    def traverse(self, start: int, end: int) -> float:
+        """The log10 probability of the text whose words and end mark stand at these places."""
+        seen, weight, after = zip(*[[column[start:end].tolist() for column in arcs] for arcs in self.arcs], strict=True)
+        fail_to, fail_cost, depth = self.fail_to, self.fail_cost, self.depth
         state, total = self.start, 0.0
-        for symbol in symbols:
-            arc = arcs.get(state * width + symbol)
-            while arc is None and state:
+        n = depth[state]
+        for place in range(end - start):
+            while not seen[n][place] and n:
                 total += fail_cost[state]
                 state = fail_to[state]
-                arc = arcs.get(state * width + symbol)
-            if arc is None:
-                total += self.unknown
+                n = depth[state]
+            if seen[n][place]:
+                total += weight[n][place]
+                state = after[n][place]
+                n = depth[state]
             else:
-                total += weights[arc]
-                state = after[arc]
+                total += self.unknown
         return total
 
 
@@ -234,11 +252,10 @@ def _scores(docs: pa.Table, answers: pa.Table, order: int) -> pa.Table:
     automaton = Automaton(shard, totals, order, all_tokens, all_words)
     seen = totals[0][np.minimum(automaton.symbol, len(totals[0]) - 1)]
     base = np.log10((seen + ADDED) / (all_tokens + ADDED * (all_words + 1)))
-    symbols = automaton.symbol.tolist()
     rows, at = [], 0
     for ident, held, length in zip(docs.column("id").to_pylist(), docs.column("held_out").to_pylist(), shard.lengths.tolist(), strict=True):
         a, b = at + order - 1, at + length
-        rows.append((ident, held, b - a, int((seen[a:b] > 0).sum()), all_tokens, float(base[a:b].sum()), automaton.traverse(symbols[a:b])))
+        rows.append((ident, held, b - a, int((seen[a:b] > 0).sum()), all_tokens, float(base[a:b].sum()), automaton.traverse(a, b)))
         at = b
     return _table(rows, SCORE)
 
