@@ -130,22 +130,21 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column:
 
 def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(a, b)`` links that connect all distinct lines that are near in bits and in words."""
-    facts = distinct.select("a", "simhash", "n")
-    keyed = distinct.select("a", F.explode(_block_keys(F.col("simhash"))).alias("key"))
+    keyed = distinct.select("a", "simhash", F.explode(_block_keys(F.col("simhash"))).alias("key"))
     same = Window.partitionBy("key")
-    shared = keyed.select("key", "a", F.count("*").over(same).alias("rows"), F.min("a").over(same).alias("least"))
-    shared = durable(shared.where("rows > 1").select("key", "a", "least").join(facts, "a"))
-    least = facts.select(F.col("a").alias("least"), F.col("simhash").alias("least_simhash"), F.col("n").alias("least_n"))
-    first = shared.where("a <> least").join(least, "least")
-    first = first.where((_apart("simhash", "least_simhash") <= MOST_BITS) & _close("n", "least_n"))
-    first = durable(first.select(F.col("a").alias("x"), F.col("least").alias("y")).distinct())
+    shared = keyed.select("*", F.count("*").over(same).alias("rows"), F.min(F.struct("a", "simhash")).over(same).alias("least"))
+    shared = shared.select("key", "a", "simhash", "rows", F.col("least.a").alias("least"), F.col("least.simhash").alias("other"))
+    near = (F.col("a") != F.col("least")) & (_apart("simhash", "other") <= MOST_BITS)
+    # Where two lines share a key, that pair is all there is to compare.
+    shared = durable(shared.select("key", "a", "simhash", "rows", "least", near.alias("near")).where("near or rows > 2"))
+    first = durable(shared.where("near").select(F.col("a").alias("x"), F.col("least").alias("y")).distinct())
     links = durable(_verified(first, distinct, docs, id_column, text_column))
 
     groups = connected_components(links).withColumnRenamed("node", "a")
-    placed = shared.where("a <> least").join(groups, "a", "left")
-    placed = placed.select("key", "a", "simhash", "n", F.coalesce("component", "a").alias("group"))
+    placed = shared.where("a <> least and rows > 2").join(groups, "a", "left")
+    placed = placed.select("key", "a", "simhash", F.coalesce("component", "a").alias("group"))
     mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    placed = durable(placed.join(mixed, "key"))
+    placed = durable(placed.join(mixed, "key").join(distinct.select("a", "n"), "a"))
     other = placed.select("key", *[F.col(c).alias(f"other_{c}") for c in ("a", "simhash", "n", "group")])
     rest = placed.join(other, "key").where(
         (F.col("group") < F.col("other_group")) & (_apart("simhash", "other_simhash") <= MOST_BITS) & _close("n", "other_n")
