@@ -14,15 +14,15 @@ Rows meet by key; fingerprints that share a key are compared bit by bit.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm import golay
+from eventloom.llm import golay, shared_keys
 from eventloom.llm.batches import short_batches, sorted_groups, text_rows, words_of
 from eventloom.llm.components import connected_components
 from eventloom.session import durable
@@ -98,13 +98,9 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _linked_pairs(
-    keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, max_bits: int, nearest: int
+    keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, max_bits: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what a group of rows with one key connects, for all groups at once.
-
-    With ``nearest``, a large group gives instead, for each row, the links to that many
-    rows with the fewest differing bits, smaller ids first.
-    """
+    """Links that connect what a group of rows with one key connects, for all groups at once."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     for d in range(1, min(16, int(sizes.max()))):
@@ -112,8 +108,7 @@ def _linked_pairs(
         linked = same[np.bitwise_count(prints[same + d] ^ prints[same]) <= max_bits]
         yield ids[linked], ids[linked + d]
     for start, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-        group = prints[start : start + size], ids[start : start + size]
-        yield _nearest(*group, max_bits, nearest) if nearest else _clusters(*group, max_bits)
+        yield _clusters(prints[start : start + size], ids[start : start + size], max_bits)
 
 
 def _clusters(prints: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,21 +132,7 @@ def _clusters(prints: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.nd
     return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
 
 
-def _nearest(prints: np.ndarray, ids: np.ndarray, max_bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(ids, kind="stable")
-    prints, ids = prints[order], ids[order]
-    left, right = [], []
-    for at in range(0, len(ids), 256):
-        apart = np.bitwise_count(prints[at : at + 256, None] ^ prints[None, :]).astype(np.int16)
-        apart[ids[at : at + 256, None] == ids[None, :]] = 99
-        near = np.argsort(apart, axis=1, kind="stable")[:, :most]
-        row, column = np.nonzero(np.take_along_axis(apart, near, 1) <= max_bits)
-        left.append(ids[at + row])
-        right.append(ids[near[row, column]])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _meet(rows: DataFrame, max_bits: int, limit: int, nearest: int = 0) -> DataFrame:
+def _meet(rows: DataFrame, max_bits: int, limit: int) -> DataFrame:
     """``(kind, key, a, b)``: links (kind 0), and the rows of keys over ``limit`` as they are (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +145,7 @@ def _meet(rows: DataFrame, max_bits: int, limit: int, nearest: int = 0) -> DataF
             if large:
                 yield out(1, keys, ids, prints)
                 continue
-            found = list(_linked_pairs(keys, prints.view(np.uint64), ids, max_bits, nearest))
+            found = list(_linked_pairs(keys, prints.view(np.uint64), ids, max_bits))
             if found and sum(len(a) for a, _ in found):
                 a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
                 pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
@@ -183,10 +164,6 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_LIMIT)
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the keys are made for 0 to {MAX_BITS} bits")
-    return _pairs_by_key(prints, fuzzy_keys, max_bits, limit, 0)
-
-
-def _pairs_by_key(prints: DataFrame, keys: Callable, max_bits: int, limit: int, nearest: int) -> DataFrame:
     spark = prints.sparkSession
     short_batches(spark)
     block = max(1, limit // 2)
@@ -194,14 +171,14 @@ def _pairs_by_key(prints: DataFrame, keys: Callable, max_bits: int, limit: int,
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = batch.column("id").to_numpy(), batch.column("print").to_numpy()
-            row, key = keys(found.view(np.uint64))
+            row, key = fuzzy_keys(found.view(np.uint64))
             for at in range(0, len(row), 8192):
                 r = row[at : at + 8192]
                 columns = [pa.array(key[at : at + 8192]), pa.array(found[r]), pa.array(ids[r])]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "print", "id"])
 
     rows = prints.select("id", "print").mapInArrow(keyed, "key long, print long, id long")
-    met = durable(_meet(rows, max_bits, limit, nearest))
+    met = durable(_meet(rows, max_bits, limit))
     pairs = met.where("kind = 0").select("a", "b")
     heavy = met.where("kind = 1").select("key", F.col("a").alias("id"), F.col("b").alias("print"))
     while not heavy.isEmpty():
@@ -211,7 +188,7 @@ def _pairs_by_key(prints: DataFrame, keys: Callable, max_bits: int, limit: int,
         cells = both.select(
             F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "print", "id"
         )
-        met = durable(_meet(cells, max_bits, limit * 2, nearest))
+        met = durable(_meet(cells, max_bits, limit * 2))
         pairs = pairs.unionByName(met.where("kind = 0").select("a", "b"))
         heavy = met.where("kind = 1").select("key", F.col("a").alias("id"), F.col("b").alias("print"))
         limit *= 2
@@ -242,26 +219,8 @@ def near_duplicates(
     )
 
 
-# Near copies by similarity: two segments with up to two errors each make a candidate, shingles decide.
-CANDIDATE_BITS = 10
-NEAREST = 4  # candidates of a row within one key that more than 16 rows share
-BROADCAST_ROWS = 200_000  # ids of candidates; longer lists are joined by shuffle
-
-
-def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, key)``: fingerprints with up to two errors in each of two segments share a key."""
-    words = [(prints >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in SEGMENTS]
-    near = [golay.nearby(w, bits) for w, (_, bits) in zip(words, SEGMENTS, strict=True)]
-    counts = [np.bincount(row, minlength=len(prints)) for row, _ in near]
-    rows, keys = [], []
-    for family, (a, b) in enumerate(((0, 1), (1, 2), (0, 2))):
-        (row, index), (_, other) = near[a], near[b]
-        times = counts[b][row]
-        first = np.repeat((np.cumsum(counts[b]) - counts[b])[row], times)
-        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        rows.append(np.repeat(row, times))
-        keys.append(family << 24 | np.repeat(index, times).astype(np.int64) << 12 | other[first + step])
-    return np.concatenate(rows), np.concatenate(keys)
+# Near copies by similarity: the first shingles of each text in one order are its keys, whole sets decide.
+BROADCAST_ROWS = 200_000  # ids of texts; longer lists are joined by shuffle
 
 
 def _shingles(text: str, words: int) -> np.ndarray:
@@ -270,10 +229,48 @@ def _shingles(text: str, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(p) for p in parts], np.uint64))
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    wanted = durable(ids.distinct())
+    return text_rows(docs, id_column, text_column).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "id")
+
+
+def _shingle_keys(texts: DataFrame, words: int, similarity: float, frequent: list[int]) -> DataFrame:
+    """``(key, a, n, rank)``: of each text the first shingles in one order, frequent ones last.
+
+    A similar text has at least that share of the n shingles, so one more than may be
+    lacking must hold a common one.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(np.array(frequent, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.sort(sent.value.view(np.uint64))
+        for batch in batches:
+            parts = []
+            for ident, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = _shingles(text, words)
+                n = len(found)
+                order = np.sort(found >> np.uint64(2) | np.isin(found, last).astype(np.uint64) << np.uint64(62)).view(np.int64)
+                order = order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                parts.append((order, np.full(len(order), ident, np.int64), np.full(len(order), n, np.int64), np.arange(len(order))))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            for at in range(0, len(columns[0]) if parts else 0, 8192):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 8192]) for c in columns], ["key", "a", "n", "rank"])
+
+    return texts.mapInArrow(run, "key long, a long, n long, rank long")
+
+
+def _frequent_shingles(texts: DataFrame, words: int) -> list[int]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text, words).view(np.int64))], ["shingle"])
+
+    return shared_keys.frequent(texts.where(shared_keys.sampled(F.col("id"))).mapInArrow(run, "shingle long"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, id_column: str, text_column: str) -> DataFrame:
     """Pairs whose sets of word shingles have at least that Jaccard similarity."""
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = text_rows(docs, id_column, text_column).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "id")
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, id_column, text_column)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,33 +295,33 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     """``(id, component)`` for every row: the smallest id reachable through texts that are similar.
 
     Texts are similar if the Jaccard similarity of their sets of word shingles is
-    at least ``similarity``. Candidates come from fingerprints of the distinct
-    words, which a few edits hardly move; the same Golay keys are used, and any
-    two with at most two errors in each of two segments meet. That is no proof
-    for every similar pair: README has the measured recall. Equal word
-    sequences are joined before. Where a key has many rows, each is compared
-    with its nearest. Nulls, empty texts, repeated rows, other columns and empty
-    tables are as in ``near_duplicates``; of rows with one id, one text is compared.
+    at least ``similarity``. All such pairs are found: they have one of their first
+    shingles in common (see ``shared_keys``), and no candidate that would join two
+    groups is left out. Equal word sequences are joined before. Nulls, empty texts,
+    repeated rows, other columns and empty tables are as in ``near_duplicates``; of
+    rows with one id, one text is compared.
     """
     spark = docs.sparkSession
     short_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents, prints = [], []
-            for text in batch.column("text").to_pylist():
-                tokens = words_of(text)
-                distinct = np.array([xxhash.xxh64_intdigest(w, HASH_SEED) for w in set(tokens)], np.uint64)
-                prints.append(_majority(_bit_counts(distinct), len(distinct)) if tokens else 0)
-                contents.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
-            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (contents, prints)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "content", "print"])
-
-    rows = durable(text_rows(docs, id_column, text_column).mapInArrow(run, "id long, content long, print long"))
-    known = durable(rows.where("id is not null").groupBy("content", "print").agg(F.min("id").alias("id")))
-    pairs = durable(_pairs_by_key(known, wide_keys, CANDIDATE_BITS, GROUP_LIMIT, NEAREST))
-    groups = connected_components(_verified(pairs, docs, words, similarity, id_column, text_column))
-    named = known.join(groups, known.id == groups.node, "left").select("content", "print", F.coalesce("component", "id").alias("component"))
-    return rows.join(named, ["content", "print"], "left").select(
+            contents = [xxhash.xxh64_intdigest(b" ".join(words_of(t))) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("id"), pa.array(np.array(contents, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "content"])
+
+    rows = durable(text_rows(docs, id_column, text_column).mapInArrow(run, "id long, content long"))
+    known = durable(rows.where("id is not null").groupBy("content").agg(F.min("id").alias("id")))
+    texts = _texts_of(known.select("id"), docs, id_column, text_column)
+
+    def may(n: Column, rank: Column, other_n: Column, other_rank: Column) -> Column:
+        both = (n + other_n) * (similarity / (1 + similarity)) - 1e-6
+        return (rank <= n - both) & (other_rank <= other_n - both)
+
+    keyed = _shingle_keys(texts, words, similarity, _frequent_shingles(texts, words))
+    links = shared_keys.links_by_keys(keyed, may, lambda pairs: _verified(pairs, docs, words, similarity, id_column, text_column))
+    groups = connected_components(links)
+    named = known.join(groups, known.id == groups.node, "left").select("content", F.coalesce("component", "id").alias("component"))
+    return rows.join(named, "content", "left").select(
         "id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")
     )

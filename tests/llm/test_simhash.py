@@ -134,3 +134,36 @@ def test_near_copies_of_odd_rows(spark, tiny):
     found = {r.id: r.component for r in simhash.near_copies(tiny).collect()}
     assert found[2] == 1 and found[4] == found[5] == 3 and found[6] == 6 and found[None] is None and found[9] == 8
     assert simhash.near_copies(empty(tiny)).count() == 0
+
+
+def near_groups(texts):
+    """Components of texts by brute force on five-word shingles."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    pairs = combinations(texts, 2)
+    return components(texts, [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9])
+
+
+def test_near_copies_with_appended_cut_and_scattered_edits(spark):
+    rng = random.Random(7)
+
+    def new(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    texts, planted = {}, {}
+    for base in range(0, 600, 10):
+        words = new(rng.choice((12, 100, 300)))
+        n = len(words)
+        scattered = list(words)
+        for at in rng.sample(range(n), n // 60):
+            scattered[at] = new(1)[0]
+        edits = [words + new(n * 10 // 100), words + new(n * 15 // 100), words + new(n * 20 // 100), words[: n - n * 15 // 100], scattered]
+        for i, text in enumerate([words, *edits, words + new(n * 40 // 100)]):
+            texts[base + i] = " ".join(text)
+        planted |= {base + i: base for i in range(6)} | {base + 6: base + 6}
+    expected = near_groups(texts)
+    assert sum(expected[i] == planted[i] for i in texts) > 0.9 * len(texts)
+    found = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == expected
