@@ -167,3 +167,19 @@ def test_near_copies_with_appended_cut_and_scattered_edits(spark):
     assert sum(expected[i] == planted[i] for i in texts) > 0.9 * len(texts)
     found = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert found == expected
+
+
+def test_near_copies_among_many_texts_of_the_same_words(spark):
+    rng = random.Random(8)
+    records = [" ".join(f"r{r}f{f}" for f in range(8)) for r in range(40)]
+    texts = {}
+    for i in range(120):
+        order = rng.sample(records, len(records))
+        texts[i] = " ".join(order)
+        words = texts[i].split()
+        words[rng.randrange(len(words))] = f"changed{i}"
+        texts[1000 + rng.randrange(10**6) * 1000 + i] = " ".join(words)
+    expected = near_groups(texts)
+    assert len(set(expected.values())) == 120
+    found = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == expected
