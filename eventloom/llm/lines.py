@@ -7,6 +7,10 @@
    First each line is compared with the smallest line of each of its keys. What that leaves apart is compared
    with all lines of the key that are not yet connected to it, so a dense group is never spelled out as pairs.
 4. Of each connected group the first occurrence stays.
+
+With ``every_pair`` the hash and its bits do not matter: all lines that are similar by edit distance link.
+One edit of a word changes at most q of a line's runs of q words, so similar lines share one of
+their first runs in one order (see ``shared_keys``), and those are the join keys of step 2.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventloom.llm import shared_keys
 from eventloom.llm.components import connected_components
 from eventloom.session import durable
 
@@ -23,6 +28,9 @@ SIMILARITY = 0.8
 LEAST_WORDS = 3  # distinct words; lines with fewer are left alone
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, bits
 BROADCAST_ROWS = 200_000  # of three numbers each; longer lists are joined by shuffle
+# Words of a run, and the numbers of words of a line for which such runs are keys. Similar lines are both within one range.
+RUNS = ((2, 4, 20), (3, 17, (1 << 31) - 1))
+FREQUENT_LONGS = 2048  # 64 bits each, one for each hash of runs; set for frequent ones
 
 
 def line_words(line: Column) -> Column:
@@ -99,8 +107,8 @@ def _word_string(words: Column) -> Column:
 
 
 def _bounded(table: DataFrame) -> DataFrame:
-    """Marked for broadcast if counted and short."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """Marked for broadcast if counted and short; otherwise its rows are held and what it meets is not sorted."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
 
 
 def _occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -112,15 +120,20 @@ def _occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     return lines.select("id", "copy", "line", line_words(F.col("content")).alias("words"))
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Of ``(x, y)`` pairs of distinct lines those whose words are similar by edit distance."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct().join(distinct.select("a", "first.*").dropDuplicates(["a"]), "a")
+def _words_of(wanted: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``(a, words)`` of lines ``(a, id, line, copy)``, read from the texts again."""
     places = durable(wanted.groupBy("id", "copy").agg(F.collect_list(F.struct("line", "a")).alias("places")))
     text = F.col(f"`{text_column}`").cast("string")
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text.alias("text"))
     found = texts.join(_bounded(places), "id").where(F.xxhash64("text") == F.col("copy"))
     found = found.select(F.explode("places").alias("p"), F.split("text", "\n", -1).alias("lines"))
-    found = found.select("p.a", _word_string(line_words(F.col("lines")[F.col("p.line")])).alias("string"))
+    return found.select("p.a", line_words(F.col("lines")[F.col("p.line")]).alias("words"))
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Of ``(x, y)`` pairs of distinct lines those whose words are similar by edit distance."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct().join(distinct.select("a", "first.*").dropDuplicates(["a"]), "a")
+    found = _words_of(wanted, docs, id_column, text_column).select("a", _word_string(F.col("words")).alias("string"))
     strings = durable(found.groupBy("a").agg(F.min("string").alias("string")))
     x, y = (strings.select(F.col("a").alias(n), F.col("string").alias(f"{n}_string")) for n in ("x", "y"))
     both = pairs.join(x, "x").join(y, "y")
@@ -128,6 +141,63 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column:
     return both.where(F.levenshtein("x_string", "y_string") <= longest * (1 - SIMILARITY) + 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _runs(words: Column, length: int) -> Column:
+    """Hashes of all runs of so many words."""
+    starts = F.slice(words, F.lit(1), F.size(words) - (length - 1))
+    return F.transform(starts, lambda w, i: F.xxhash64(w, *[words[i + k] for k in range(1, length)]))
+
+
+def _run_keys(words: Column, length: int, frequent: Column) -> Column:
+    """``(rank, key)`` of the first distinct runs, frequent ones last: one more than edits that leave the similarity can change."""
+
+    def order(h: Column) -> Column:
+        at = F.pmod(h, F.lit(FREQUENT_LONGS * 64))
+        last = F.getbit(frequent[F.shiftright(at, 6).cast("int")], at.bitwiseAND(F.lit(63)).cast("int")).cast("long")
+        return F.shiftrightunsigned(h, 2).bitwiseOR(F.shiftleft(last, 62))
+
+    # The longer of two similar lines has at most a quarter more words, and a fifth of those may differ.
+    first = F.floor(F.size(words) / 4).cast("int") * length + 1
+    ordered = F.slice(F.sort_array(F.array_distinct(F.transform(_runs(words, length), order))), F.lit(1), first)
+    return F.transform(ordered, lambda key, i: F.struct(i.alias("rank"), key.alias("key")))
+
+
+def _by_length(words: Column, keys) -> Column:
+    """``keys(length)`` of all run lengths that are keys for a line of these words, in one array."""
+    size = F.size(words)
+    return F.flatten(F.filter(F.array(*[F.when(size.between(low, high), keys(q)) for q, low, high in RUNS]), lambda k: k.isNotNull()))
+
+
+def _frequent_runs(docs: DataFrame, id_column: str, text_column: str) -> Column:
+    """Bits by hash of the runs that are frequent in a sample; which ones are set decides the order only, not what links."""
+    some = _occurrences(docs.where(shared_keys.sampled(F.col(f"`{id_column}`").cast("long"))), id_column, text_column)
+    bits = [0] * FREQUENT_LONGS
+    for h in shared_keys.frequent(some.select(F.explode(_by_length(F.col("words"), lambda q: _runs(F.col("words"), q))).alias("run"))):
+        at = h % (FREQUENT_LONGS * 64)
+        bits[at >> 6] |= 1 << (at & 63)
+    signed = [b - (1 << 64) if b >> 63 else b for b in bits]
+    return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<long>")
+
+
+def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``(a, b)`` links that connect all distinct lines that are similar in words."""
+    frequent = _frequent_runs(docs, id_column, text_column)
+    wanted = distinct.where(F.col("n") >= RUNS[0][1]).select("a", "first.*")
+    words = F.col("words")
+    keyed = _words_of(wanted, docs, id_column, text_column).select(
+        "a", F.size(words).alias("n"), F.explode(_by_length(words, lambda q: _run_keys(words, q, frequent))).alias("k")
+    )
+
+    def may(n: Column, rank: Column, other_n: Column, other_rank: Column) -> Column:
+        longest = F.greatest(n, other_n)
+        changed = F.floor(longest / 5) * F.when(longest < RUNS[1][1], RUNS[0][0]).otherwise(RUNS[1][0])
+        return (F.least(n, other_n) * 5 >= longest * 4) & (F.greatest(rank, other_rank) <= changed)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), distinct, docs, id_column, text_column)
+
+    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", "k.rank"), may, verified)
+
+
 def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(a, b)`` links that connect all distinct lines that are near in bits and in words."""
     keyed = distinct.select("a", "simhash", F.explode(_block_keys(F.col("simhash"))).alias("key"))
@@ -155,12 +225,18 @@ def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_colum
     return links.unionByName(_verified(rest, distinct, docs, id_column, text_column))
 
 
-def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", every_pair: bool = False) -> DataFrame:
     """``(id, copy, dropped)``: numbers of the lines that occur before, exactly or nearly, in rows that have such."""
-    seen = durable(add_simhash(_occurrences(docs, id_column, text_column), "id", "copy", "line"))
+    seen = _occurrences(docs, id_column, text_column)
+    if every_pair:
+        columns = F.xxhash64("words").alias("a"), F.size("words").cast("long").alias("n"), F.lit(0).cast("long").alias("simhash")
+        seen = durable(seen.where(F.size("words") >= LEAST_WORDS).select("id", "copy", "line", *columns))
+    else:
+        seen = durable(add_simhash(seen, "id", "copy", "line"))
     distinct = seen.groupBy("a", "simhash").agg(F.min(F.struct("id", "line", "copy")).alias("first"), F.max("n").alias("n"), F.count("*").alias("rows"))
     distinct = durable(distinct)
-    groups = connected_components(_line_links(distinct, docs, id_column, text_column)).withColumnRenamed("node", "a")
+    links = (_all_links if every_pair else _line_links)(distinct, docs, id_column, text_column)
+    groups = connected_components(links).withColumnRenamed("node", "a")
     named = distinct.join(groups, "a", "left").select("a", "simhash", "first", "rows", "component")
     kept = named.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
     # Only lines that occur again, or are like another, can have something to drop.
@@ -170,7 +246,9 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return again.groupBy("id", "copy").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", dropped_column: str = "dropped") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", dropped_column: str = "dropped", every_pair: bool = False
+) -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without repeated lines, and ``dropped``, the numbers of those lines.
 
     A line is what stands between line feeds. Lines of fewer than LEAST_WORDS
@@ -179,8 +257,11 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     without an id stays as it is and its lines match none. Repeated rows are
     one place: each keeps the same lines. Other columns pass through, but for one
     with the name of ``dropped_column``; an empty table gives no rows.
+
+    With ``every_pair`` lines are similar by edit distance of words alone, and all such pairs
+    are found; without, their SimHashes must also be within MOST_BITS.
     """
-    gone = durable(dropped_lines(docs, id_column, text_column))
+    gone = durable(dropped_lines(docs, id_column, text_column, every_pair))
     names = [c for c in docs.columns if c != dropped_column]
     text = F.col(f"`{text_column}`").cast("string")
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{id_column}`").cast("long").alias("__id"), F.xxhash64(text).alias("__copy"))

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
 
+import corpus_pipeline
 from eventloom.llm import lines, secrets
 from eventloom.llm.queries import QUERIES
 from eventloom.session import fresh_path
@@ -178,3 +180,34 @@ def test_line_query_equals_brute_force(spark):
                 gone.setdefault(doc, []).append(n)
     found = {r.doc_id: r.dropped for r in QUERIES["op6_fuzzy_line_dedup"](spark, SF).collect()}
     assert found == {r.doc_id: ",".join(map(str, sorted(gone.get(r.doc_id, [])))) for r in docs}
+
+
+def test_pipeline_drops_all_lines_similar_by_edits_alone(spark):
+    rng = random.Random(9)
+
+    def new(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    common, rows = new(12), []
+    for base in range(80):
+        n = rng.choice((5, 6, 9, 12, 16, 18, 20, 21, 24, 30, 60))
+        words = [*common, *new(n)] if base % 4 == 0 else new(3) * 4 if base % 9 == 0 else new(n)
+        rows.append(words)
+        for share in (0.1, 0.15, 0.2, 0.3):
+            edited = list(words)
+            for _ in range(max(1, int(share * len(words)))):
+                at, kind = rng.randrange(len(edited)), rng.randrange(3)
+                edited[at : at + (kind != 0)] = new(1) if kind != 1 else []
+            rows.append(edited)
+    rng.shuffle(rows)
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            longest = max(len(rows[i]), len(rows[j]))
+            if root[i] != root[j] and abs(len(rows[i]) - len(rows[j])) <= longest // 5 and _distance(rows[i], rows[j]) <= longest // 5:
+                old, to = max(root[i], root[j]), min(root[i], root[j])
+                root = [to if r == old else r for r in root]
+    expected = {i for i in range(len(rows)) if root[i] == i}
+    docs = spark.createDataFrame([(i, " ".join(w), 0) for i, w in enumerate(rows)], "doc_id long, text string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.remove_repeated_lines(spark, docs, SF).collect()}
+    assert len(expected) < len(rows) * 0.6 and left == expected
