@@ -1,6 +1,6 @@
 """Fuzzy line dedup: DataFrame functions only.
 
-1. Each line becomes its lower-case words between blanks; equal word sequences are one line with many occurrences.
+1. Each line becomes its lower-case words between white space; equal word sequences are one line with many occurrences.
 2. Each line gets a SimHash of its distinct words. Of five blocks of the hash, two are equal in any two
    hashes that differ in up to three bits; the ten pairs of blocks are join keys.
 3. Lines that share a key, differ in up to three bits and are similar in words by edit distance link.
@@ -34,8 +34,8 @@ FREQUENT_LONGS = 2048  # 64 bits each, one for each hash of runs; set for freque
 
 
 def line_words(line: Column) -> Column:
-    """Lower-case words between blanks."""
-    return F.array_remove(F.split(F.lower(line), " "), "")
+    """Lower-case words between white space of any kind."""
+    return F.array_remove(F.split(F.lower(line), r"(?U)\s+"), "")
 
 
 # Marks that are no words when they stand alone.
@@ -230,7 +230,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     seen = _occurrences(docs, id_column, text_column)
     if every_pair:
         columns = F.xxhash64("words").alias("a"), F.size("words").cast("long").alias("n"), F.lit(0).cast("long").alias("simhash")
-        seen = durable(seen.where(F.size("words") >= LEAST_WORDS).select("id", "copy", "line", *columns))
+        seen = durable(seen.where(F.size("words") > 0).select("id", "copy", "line", *columns))
     else:
         seen = durable(add_simhash(seen, "id", "copy", "line"))
     distinct = seen.groupBy("a", "simhash").agg(F.min(F.struct("id", "line", "copy")).alias("first"), F.max("n").alias("n"), F.count("*").alias("rows"))
@@ -252,14 +252,15 @@ def dedup_lines(
     """All rows and columns of ``docs``, ``text`` without repeated lines, and ``dropped``, the numbers of those lines.
 
     A line is what stands between line feeds. Lines of fewer than LEAST_WORDS
-    distinct words always stay. The first occurrence, by id and then place, of each group of
+    distinct words stay, unless ``every_pair``. The first occurrence, by id and then place, of each group of
     equal or similar lines stays. Null texts stay null, empty ones empty; a row
     without an id stays as it is and its lines match none. Repeated rows are
     one place: each keeps the same lines. Other columns pass through, but for one
     with the name of ``dropped_column``; an empty table gives no rows.
 
-    With ``every_pair`` lines are similar by edit distance of words alone, and all such pairs
-    are found; without, their SimHashes must also be within MOST_BITS.
+    With ``every_pair`` lines are similar by edit distance of words alone, all such pairs are
+    found, and lines of any number of words go when they occur again, but blank ones;
+    without, SimHashes must also be within MOST_BITS.
     """
     gone = durable(dropped_lines(docs, id_column, text_column, every_pair))
     names = [c for c in docs.columns if c != dropped_column]

@@ -211,3 +211,20 @@ def test_pipeline_drops_all_lines_similar_by_edits_alone(spark):
     docs = spark.createDataFrame([(i, " ".join(w), 0) for i, w in enumerate(rows)], "doc_id long, text string, n_chars long")
     left = {r.doc_id for r in corpus_pipeline.remove_repeated_lines(spark, docs, SF).collect()}
     assert len(expected) < len(rows) * 0.6 and left == expected
+
+
+def test_pipeline_drops_repeated_lines_of_any_length_and_white_space(spark):
+    texts = [
+        "And.\n\n東京は日本の首都であり、世界最大の都市の一つである。\na b a b a b a b\nhttps://example.org/a/long/path",
+        "  and. \n\n東京は日本の首都であり、世界最大の都市の一つである。\nown\na b a b a b a b\nhttps://example.org/a/long/path\r",
+        "one\ttwo\tthree\tfour\tfive\nown text",
+        "one two\u3000three  four five\nown other",
+    ]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    left = {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_lines(spark, docs, SF).collect()}
+    assert left == {0: texts[0], 1: "\nown", 2: texts[2], 3: "own other"}
+
+
+def test_lines_are_cut_at_all_white_space(spark):
+    docs = spark.createDataFrame([(1, "one\ttwo\tthree\tfour"), (2, "One two\u00a0three four\r")], "doc_id long, text string")
+    assert {r.doc_id: r.dropped for r in lines.dedup_lines(docs).collect()} == {1: [], 2: [0]}
