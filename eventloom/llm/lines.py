@@ -30,6 +30,7 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, bits
 BROADCAST_ROWS = 200_000  # of three numbers each; longer lists are joined by shuffle
 # Words of a run, and the numbers of words of a line for which such runs are keys. Similar lines are both within one range.
 RUNS = ((2, 4, 20), (3, 17, (1 << 31) - 1))
+RUN_KEY_BITS = 40  # of a run's hash; what meets by chance is compared and found different
 FREQUENT_LONGS = 2048  # 64 bits each, one for each hash of runs; set for frequent ones
 
 
@@ -153,10 +154,12 @@ def _run_keys(words: Column, length: int, frequent: Column) -> Column:
     def order(h: Column) -> Column:
         at = F.pmod(h, F.lit(FREQUENT_LONGS * 64))
         last = F.getbit(frequent[F.shiftright(at, 6).cast("int")], at.bitwiseAND(F.lit(63)).cast("int")).cast("long")
-        return F.shiftrightunsigned(h, 2).bitwiseOR(F.shiftleft(last, 62))
+        return F.shiftrightunsigned(h, 64 - RUN_KEY_BITS).bitwiseOR(F.shiftleft(last, RUN_KEY_BITS))
 
-    # The longer of two similar lines has at most a quarter more words, and a fifth of those may differ.
-    first = F.floor(F.size(words) / 4).cast("int") * length + 1
+    # A fifth of the longer line's words may differ. A word put into the shorter one changes a run less than others do,
+    # so that a longer partner matters only where it allows one edit more for few such words.
+    fifths, left = F.floor(F.size(words) / 5).cast("int"), F.size(words) % 5
+    first = fifths * length + F.greatest(F.lit(0), left - (5 - length)) + 1
     ordered = F.slice(F.sort_array(F.array_distinct(F.transform(_runs(words, length), order))), F.lit(1), first)
     return F.transform(ordered, lambda key, i: F.struct(i.alias("rank"), key.alias("key")))
 
@@ -190,7 +193,7 @@ def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column
     def may(n: Column, rank: Column, other_n: Column, other_rank: Column) -> Column:
         longest = F.greatest(n, other_n)
         changed = F.floor(longest / 5) * F.when(longest < RUNS[1][1], RUNS[0][0]).otherwise(RUNS[1][0])
-        return (F.least(n, other_n) * 5 >= longest * 4) & (F.greatest(rank, other_rank) <= changed)
+        return (F.least(n, other_n) * 5 >= longest * 4) & (rank <= changed - (longest - n)) & (other_rank <= changed - (longest - other_n))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return _verified(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), distinct, docs, id_column, text_column)
