@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, chat, lines, lm, multi_index, packing, secrets, simhash, topk, toxicity
+from eventloom.llm import bpe, chat, divergence, lines, lm, multi_index, packing, secrets, simhash, topk, toxicity
 from eventloom.llm.batches import held_out
 from eventloom.session import fresh_path
 
@@ -122,3 +122,8 @@ def op7_preference_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("pair_id").alias("conv_id"), "part", "position", "role", F.sha2("segment", 256).alias("segment_sha256"), "trained_from", "trained_to"
     )
+
+
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence_audit(_table(spark, folder, "documents"))
