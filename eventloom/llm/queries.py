@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, chat, divergence, lines, lm, multi_index, packing, secrets, simhash, topk, toxicity
+from eventloom.llm import bpe, chat, divergence, lines, lm, multi_index, packing, secrets, sharding, simhash, topk, toxicity
 from eventloom.llm.batches import held_out
 from eventloom.session import fresh_path
 
@@ -127,3 +127,19 @@ def op7_preference_formatting(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence_audit(_table(spark, folder, "documents"))
+
+
+@query
+def op12_virtual_slot_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    slot_map = sharding.SlotMap(spark, fresh_path(spark, "slot-map"))
+    found = sharding.assign_shards(_table(spark, folder, "documents"), slot_map)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("position").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+    )
