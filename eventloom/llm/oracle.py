@@ -131,3 +131,91 @@ full_table AS (
 )
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+# Each state keeps its best edits as one text, cost first, so that the least text is the cheapest and then the first in
+# order of letters; the states are none, system, user and assistant (n, s, u, a).
+SQL["op13_conversation_repair"] = r"""
+WITH RECURSIVE crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n)) AS tab
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations
+), kinds AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, role, text,
+         xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT),
+             4294967295) % 20 AS kind
+  FROM raw, crc_table
+), damaged AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[ \t-\r]+$', '') AS shown FROM damaged
+), faulty AS (
+  SELECT *, left(role, 1) AS x,
+         CASE WHEN shown = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), flags AS MATERIALIZED (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM faulty),
+best AS (
+  SELECT conv, 0::BIGINT AS i, '000000' AS n, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM (SELECT DISTINCT conv FROM flags)
+  UNION ALL
+  SELECT conv, i,
+         more(n, 4, 'D'),
+         least(more(s, 4, 'D'), CASE WHEN NOT gone AND x = 's' THEN more(n, extra, 'K') END),
+         least(more(u, 4, 'D'), CASE WHEN gone THEN NULL WHEN x = 'u' THEN more(least(n, s, a), extra, 'K') ELSE more(least(n, s, a), 3 + extra, 'R') END),
+         least(more(a, 4, 'D'), CASE WHEN gone THEN NULL WHEN x = 'a' THEN more(u, extra, 'K') ELSE more(u, 3 + extra, 'R') END)
+  FROM (
+    SELECT conv, i, x, gone, extra, n, s, u, least(a, more(u, 3, 'I')) AS a
+    FROM (SELECT b.conv, f.i, x, gone, extra, n, s, least(u, more(least(n, s, a), 3, 'I')) AS u, a FROM best b JOIN flags f ON f.conv = b.conv AND f.i = b.i + 1)
+  )
+), ended AS (
+  SELECT conv, i, least(n, a, more(u, 3, 'I'), more(least(n, s), 6, 'II')) AS coded FROM best
+), audits AS (
+  SELECT conv, CAST(left(coded, 6) AS BIGINT) AS cost, substr(coded, 7) AS audit FROM ended QUALIFY row_number() OVER (PARTITION BY conv ORDER BY i DESC) = 1
+), letters AS (
+  SELECT conv, j, audit[j] AS letter, length(replace(audit[1:j], 'I', '')) AS i FROM audits, unnest(range(1, length(audit) + 1)) AS t(j)
+), written AS (
+  SELECT l.conv, j, letter, f.role, f.text, f.x, row_number() OVER (PARTITION BY l.conv ORDER BY j) AS place,
+         first_value(letter = 'K' AND f.x = 's') OVER (PARTITION BY l.conv ORDER BY j) AS with_system
+  FROM letters l LEFT JOIN flags f ON f.conv = l.conv AND f.i = l.i AND letter <> 'I' WHERE letter <> 'D'
+), lines AS (
+  SELECT conv, place, CASE WHEN letter = 'K' THEN role WHEN (place - CAST(with_system AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                      || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END AS line
+  FROM written
+), digests AS (SELECT conv, sha256(string_agg(line, chr(10) ORDER BY place)) AS digest FROM lines GROUP BY conv),
+pairs AS (SELECT *, lag(x) OVER (PARTITION BY conv ORDER BY i) || x AS pair FROM flags),
+sums AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM pairs GROUP BY conv
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv FROM conversations) c
+LEFT JOIN sums USING (conv) LEFT JOIN audits USING (conv) LEFT JOIN digests USING (conv)
+"""
+
+
+def _written_out(sql: str) -> str:
+    """``more(x, cost, letters)`` as an expression: cost added to the number in front, letters behind."""
+    while (at := sql.find("more(")) >= 0:
+        depth, parts, start = 0, [], at + 5
+        for end in range(at + 5, len(sql)):
+            if sql[end] == "(":
+                depth += 1
+            elif sql[end] == ")" and depth:
+                depth -= 1
+            elif sql[end] in "),"  and not depth:
+                parts.append(sql[start:end].strip())
+                start = end + 1
+                if sql[end] == ")":
+                    break
+        x, cost, letters = parts
+        sql = f"{sql[:at]}(lpad(CAST(CAST(left({x}, 6) AS INTEGER) + {cost} AS VARCHAR), 6, '0') || substr({x}, 7) || {letters}){sql[end + 1 :]}"
+    return sql
+
+
+SQL["op13_conversation_repair"] = _written_out(SQL["op13_conversation_repair"])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, chat, divergence, lines, lm, multi_index, packing, secrets, sharding, simhash, topk, toxicity
+from eventloom.llm import bpe, chat, divergence, lines, lm, multi_index, packing, repair, secrets, sharding, simhash, topk, toxicity
 from eventloom.llm.batches import held_out
 from eventloom.session import fresh_path
 
@@ -143,3 +143,15 @@ def op12_virtual_slot_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
     )
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = _table(spark, folder, "conversations")
+    repaired = repair.Repair(repair.damaged(conversations))
+    found = repaired.report().join(repaired.digests(), "conversation", "left")
+    every = conversations.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("conversation")).distinct()
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, "conversation", "left").select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
