@@ -29,7 +29,10 @@ from eventloom.session import durable
 LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
 BILLION = 1_000_000_000
-HELD_TERMS = 200_000  # counts that a task holds before it hands them on
+HELD_TERMS = 500_000  # counts that a task holds before it hands them on
+DOCUMENT_BITS = 40  # a held number is the occurrences below these bits and the rows with the term above; handed on long before either is full
+ONE_DOCUMENT = 1 << DOCUMENT_BITS
+GROUP_ROWS = 200_000  # groups of (lang, source) that are broadcast if counted to be no more
 TERM_BLOCK = 8192  # kept terms of one block, on average
 SOURCE_TILE = 128  # sources of one tile; a task holds two tiles of one block
 MERGED = 64  # partitions whose skybands meet in one task of the second round
@@ -38,7 +41,7 @@ MERGED = 64  # partitions whose skybands meet in one task of the second round
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 _COUNTED = "lang string, source string, term string, n long, documents long"
-_BAND = "lang string, source string, term string, n long, lang_n long"
+_BAND = "lang string, source string, term string, n long, lang_n long, p long, q long"
 
 
 def terms_of(text: str) -> list[bytes]:
@@ -49,26 +52,27 @@ def terms_of(text: str) -> list[bytes]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts by (lang, source, term); each group also once without a term, so that none is lost."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("documents", pa.int64())])
-    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    counts: dict[tuple[str, str], dict[bytes, int]] = {}
     held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, documents) in counts.items():
-            terms = [None, *(t.decode() for t in n)]
-            columns = [[lang] * len(terms), [source] * len(terms), terms, [0, *n.values()], [0, *documents.values()]]
-            table = pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-            yield from table.to_batches(max_chunksize=20_000)
+        for (lang, source), sums in counts.items():
+            both = np.fromiter(sums.values(), np.int64, len(sums))
+            terms = pa.array(sums.keys(), pa.binary()).cast(pa.string())
+            columns = [pa.array([lang]).take(pa.array(np.zeros(len(sums), np.int64))), pa.array([source]).take(pa.array(np.zeros(len(sums), np.int64))), terms]
+            columns += [pa.array(both & (ONE_DOCUMENT - 1)), pa.array(both >> DOCUMENT_BITS)]
+            yield from pa.table(columns, schema=schema).to_batches(max_chunksize=20_000)
+            yield pa.RecordBatch.from_pylist([{"lang": lang, "source": source, "term": None, "n": 0, "documents": 0}], schema)
         counts.clear()
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-            n, documents = counts.setdefault((lang, source), (Counter(), Counter()))
-            held -= len(n)
-            # Both counters meet new terms in the same order.
-            one = Counter(terms_of(text))
-            n.update(one)
-            documents.update(one.keys())
-            held += len(n)
+            sums = counts.setdefault((lang, source), {})
+            held -= len(sums)
+            before = sums.get
+            for term, n in Counter(terms_of(text)).items():
+                sums[term] = before(term, 0) + n + ONE_DOCUMENT
+            held += len(sums)
             if held > HELD_TERMS:
                 yield from flush()
                 held = 0
@@ -175,49 +179,39 @@ def _tile_sums(source_tile: int, rows: pa.Table, sources: pa.Table) -> pa.Table:
     )
 
 
-def _pairs(kept: DataFrame, groups: DataFrame, langs: DataFrame, term_block: int, source_tile: int) -> DataFrame:
+def _pairs(kept: DataFrame, groups: DataFrame, source_tile: int) -> DataFrame:
     """``(lang, source, item, value)`` for each source and each other source of its language."""
-    # Numbers of sources within a language: rows of the report, not of the documents.
-    numbered = groups.withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
-    numbered = durable(numbered.withColumn("tile", F.floor(F.col("number") / source_tile)))
-    tiles = numbered.groupBy("lang").agg((F.max("tile") + 1).alias("tiles"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.coalesce("kept", F.lit(0)) / term_block)).alias("blocks")
-    shape = langs.select("lang", blocks).join(tiles, "lang")
 
     def meeting(table: DataFrame) -> DataFrame:
         """Each row once for every pair of tiles that its tile takes part in."""
-        others = table.withColumn("one", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        return others.select(
-            *[c for c in table.columns if c not in ("tiles", "tile", "one")], F.least("tile", "one").alias("tile"), F.greatest("tile", "one").alias("other_tile")
-        )
-
-    block_of = F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block")
-    rows = kept.join(numbered.select("lang", "source", "number", "tile"), ["lang", "source"]).join(shape, "lang")
-    rows = meeting(rows.select("lang", block_of, "number", "term", "p", "tiles", "tile"))
-    sizes = kept.select("lang", "term").distinct().join(shape, "lang").select("lang", block_of).groupBy("lang", "block").agg(F.count("*").alias("block_terms"))
-    at_zero = _chance(F.lit(0).cast("long"), F.col("total"), F.col("kept"))
-    present = numbered.select("lang", "number", "tile", F.when(F.col("kept") > 0, at_zero).otherwise(1).alias("at_zero")).join(shape, "lang")
-    present = meeting(present.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks"))
-    present = present.join(sizes, ["lang", "block"], "left").withColumn("block_terms", F.coalesce("block_terms", F.lit(0)))
+        others = table.withColumn("one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        columns = [c for c in table.columns if c not in ("tiles", "tile")]
+        return others.select(*columns, F.least("tile", "one").alias("tile"), F.greatest("tile", "one").alias("other_tile"))
+
+    rows = kept.withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
+    sizes = rows.select("lang", "block", "term").distinct().groupBy("lang", "block").agg(F.count("*").alias("block_terms"))
+    rows = meeting(rows.select("lang", "block", "number", "term", "p", "tiles", "tile"))
+    at_zero = F.when(F.col("kept") > 0, _chance(F.lit(0).cast("long"), F.col("total"), F.col("kept"))).otherwise(1)
+    present = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    present = meeting(present.select("lang", "block", "number", at_zero.alias("at_zero"), "tiles", "tile"))
+    present = present.join(sizes, ["lang", "block"], "left").withColumn("block_terms", F.coalesce("block_terms", F.lit(0).cast("long")))
     key = ["lang", "block", "tile", "other_tile"]
     # Columns of their own: both sides come from the same tables.
     rows, present = (t.select([F.col(c).alias(c) for c in t.columns]) for t in (rows, present))
     sums = rows.groupBy(*key).cogroup(present.groupBy(*key)).applyInArrow(partial(_tile_sums, source_tile), "lang string, a long, b long, value long")
     sums = durable(sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))
     both = sums.unionByName(sums.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
-    names = numbered.select("lang", F.col("number").cast("long").alias("number"), "source")
-    mine, theirs = names.withColumnRenamed("number", "a"), names.select("lang", F.col("number").alias("b"), F.col("source").alias("item"))
+    mine, theirs = groups.select("lang", F.col("number").alias("a"), "source"), groups.select("lang", F.col("number").alias("b"), F.col("source").alias("item"))
     return both.join(mine, ["lang", "a"]).join(theirs, ["lang", "b"]).select("lang", "source", "item", "value")
 
 
 def _top_terms(kept: DataFrame, top: int) -> DataFrame:
     """``(lang, source, item, value)`` of the terms that may be among the first ``top`` of their group, from two rounds of skybands."""
-    over = kept.where("p > q").select("lang", "source", "term", "n", "lang_n")
     band = _partition_skybands(top)
-    local = over.mapInArrow(band, _BAND).withColumn("part", F.floor(F.spark_partition_id() / MERGED))
+    local = kept.where("p > q").select("lang", "source", "term", "n", "lang_n", "p", "q").mapInArrow(band, _BAND)
+    local = local.withColumn("part", F.floor(F.spark_partition_id() / MERGED))
     merged = local.repartition("lang", "source", "part").drop("part").mapInArrow(band, _BAND)
-    few = merged.join(kept.select("lang", "source", "term", "p", "q"), ["lang", "source", "term"])
-    return few.select("lang", "source", F.col("term").alias("item"), _divergence(F.col("p"), F.col("q")).alias("value"))
+    return merged.select("lang", "source", F.col("term").alias("item"), _divergence(F.col("p"), F.col("q")).alias("value"))
 
 
 def divergence_audit(
@@ -248,22 +242,31 @@ def divergence_audit(
         return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).alias(name)
 
     read = docs.select(plain(lang_column, "lang"), plain(source_column, "source"), plain(text_column, "text"))
-    counted = read.mapInArrow(_count, _COUNTED).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
-    counted = durable(counted)
-    by_term = counted.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("documents").alias("documents"))
-    by_term = durable(by_term.where(F.col("documents") >= least_documents).drop("documents"))
-    langs = by_term.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
-    present = counted.where("term is null").select("lang", "source")
-    langs = durable(present.select("lang").distinct().join(langs, "lang", "left").select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), "lang_total"))
-    rows = counted.where("term is not null").drop("documents").join(by_term, ["lang", "term"])
-    totals = rows.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = present.join(totals, ["lang", "source"], "left").join(langs, "lang")
-    groups = durable(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "kept", "lang_total"))
+    # One shuffle by term: its sources are added up there and then, together, the rows of the language. A window is at most
+    # one row a source.
+    counted = read.mapInArrow(_count, _COUNTED).repartition("lang", "term").groupBy("lang", "term", "source")
+    counted = counted.agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    of_term = Window.partitionBy("lang", "term")
+    counted = counted.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("lang_n"), F.sum("documents").over(of_term).alias("documents"))
+    counted = durable(counted.where((F.col("documents") >= least_documents) | F.col("term").isNull()).drop("documents"))
+    terms = counted.where("term is not null")
+    totals = terms.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    langs = terms.groupBy("lang", "term").agg(F.min("lang_n").alias("lang_n")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    groups = counted.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"), "lang_total")
+    # Sources of a language are numbered, and dealt into tiles: rows of the report, not of the documents.
+    number = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
+    tiles = F.ceil(F.count("*").over(Window.partitionBy("lang")) / source_tile)
+    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("kept") / term_block))
+    groups = durable(groups.select("*", number.alias("number"), tiles.alias("tiles"), blocks.alias("blocks")).withColumn("tile", F.floor(F.col("number") / source_tile)))
     p, q = _chance(F.col("n"), F.col("total"), F.col("kept")), _chance(F.col("lang_n"), F.col("lang_total"), F.col("kept"))
-    kept = durable(rows.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", "lang_n", p.alias("p"), q.alias("q")))
+    # The hot sources have most rows, so groups go to the rows where they are few, and AQE parts the rows otherwise.
+    small = F.broadcast(groups) if groups.count() <= GROUP_ROWS else groups
+    kept = terms.join(small, ["lang", "source"]).select("lang", "source", "term", "n", "lang_n", p.alias("p"), q.alias("q"), "number", "tile", "tiles", "blocks")
+    kept = durable(kept)
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = _pairs(kept, groups, langs, term_block, source_tile).withColumn("rank", F.row_number().over(order))
+    pairs = _pairs(kept, groups, source_tile).withColumn("rank", F.row_number().over(order))
     terms = _top_terms(kept, top).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(*columns).unionByName(terms.withColumn("part", F.lit("term")).select(*columns))
