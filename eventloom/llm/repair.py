@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from eventloom.llm.batches import short_batches
 from eventloom.session import durable
 
-PIECE = 256  # turns that one auction sees at most
+PIECE = 64  # turns that one auction sees at most
 DELETE, INSERT, KEEP, REROLE = "D", "I", "K", "R"
 DELETE_COST, INSERT_COST, REROLE_COST, TRUNCATED_COST = 4, 3, 3, 3
 # Last role written: none, system, user, assistant. A conversation may end after none or the assistant.
-START, SYSTEM, USER, ASSISTANT = range(4)
+START, SYSTEM, USER, ASSISTANT = STATES = tuple(range(4))
 ENDS = (0, None, None, 0)
 WRITTEN = {USER: "user", ASSISTANT: "assistant"}
 # The role that an inserted or changed turn must have next, and what may be kept.
@@ -44,7 +44,7 @@ SENTENCE_ENDS = ".!?"
 # A turn as one character: its role's initial (``-`` for others), upper-case if truncated, or ``x`` if it must go.
 
 
-def _arcs(turn: str, state: int) -> list[tuple[str, int, int, int]]:
+def _arcs_of(turn: str, state: int) -> list[tuple[str, int, int, int]]:
     """``(letter, cost, turns read, next state)`` from a node before ``turn``, in order of their letters; an insert reads none."""
     out = []
     if turn:
@@ -59,16 +59,12 @@ def _arcs(turn: str, state: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
-@lru_cache(maxsize=50_000)
-def auction(turns: str, entry: int, exits: tuple[int | None, ...]) -> tuple[int, str, int] | None:
-    """``(cost, edits, last state)`` of the cheapest edits from state ``entry`` over all turns; first in order of letters among equals.
+ARCS = {(turn, state): _arcs_of(turn, state) for turn in ("", *"suaSUA-+x") for state in STATES}
 
-    ``exits`` are the costs still to come by the state after the last turn; None where there is no way on from there.
-    """
-    if all(e is None for e in exits):
-        return None
+
+def _auction(turns: str, entry: int, exits: tuple[int | None, ...], prices: dict[tuple[int, int], int]) -> tuple[int, str, int]:
+    """``(cost, edits, last state)`` of the cheapest edits from one entry; raises ``prices``, which hold for any entry."""
     n = len(turns)
-    prices: dict[tuple[int, int], int] = {}
     done = (n + 1, 0)  # the end of all, behind the exits; its price stays 0
     path, letters = [(0, entry)], []
     price = prices.get
@@ -77,7 +73,7 @@ def auction(turns: str, entry: int, exits: tuple[int | None, ...]) -> tuple[int,
         best, step = None, None
         if at == n and exits[state] is not None:
             best, step = exits[state], ("", done)
-        for letter, cost, read, after in _arcs(turns[at : at + 1], state):
+        for letter, cost, read, after in ARCS[turns[at : at + 1], state]:
             node = (at + read, after)
             whole = cost + price(node, 0)
             if best is None or whole < best:
@@ -90,7 +86,25 @@ def auction(turns: str, entry: int, exits: tuple[int | None, ...]) -> tuple[int,
         else:
             letters.append(step[0])
             path.append(step[1])
-    return prices.get((0, entry), 0), "".join(letters), path[-2][1]
+    return price((0, entry), 0), "".join(letters), path[-2][1]
+
+
+@lru_cache(maxsize=50_000)
+def auctions(turns: str, entries: tuple[int, ...], exits: tuple[int | None, ...]) -> list[tuple[int, str, int] | None]:
+    """For each entry state ``(cost, edits, last state)`` of the cheapest edits over all turns, first in order of letters among equals.
+
+    ``exits`` are the costs still to come by the state after the last turn; None where there is no way on from there. An
+    entry without a way to any exit gets None. Prices that one entry has raised are kept for the next: they bound the cost to
+    the exits from below wherever a path begins.
+    """
+    prices: dict[tuple[int, int], int] = {}
+    ways = {leave for leave, e in enumerate(exits) if e is not None}
+    out = []
+    for entry in entries:
+        # User and assistant can be written at any time; none and system only last through deletions, or a system turn kept first.
+        reached = ways & {USER, ASSISTANT, entry} or (SYSTEM in ways and entry == START and any(t in "sS" for t in turns))
+        out.append(_auction(turns, entry, exits, prices) if reached else None)
+    return out
 
 
 def _behind(costs: list[list[int | None]], exits: tuple[int | None, ...]) -> tuple[int | None, ...]:
@@ -104,15 +118,8 @@ def _behind(costs: list[list[int | None]], exits: tuple[int | None, ...]) -> tup
 
 def _piece_costs(turns: str) -> list[int]:
     """Costs from each entry to each exit state of a piece, row by row; -1 where there is no way."""
-    out = []
-    for entry in range(4):
-        for leave in range(4):
-            exits = tuple(0 if s == leave else None for s in range(4))
-            # Only deletion leaves a state for good: none is written before the first turn, and system only once.
-            possible = leave in (USER, ASSISTANT) or entry == leave or (entry == START and leave == SYSTEM and any(t in "sS" for t in turns))
-            found = auction(turns, entry, exits) if possible else None
-            out.append(-1 if found is None else found[0])
-    return out
+    by_exit = [auctions(turns, STATES, tuple(0 if s == leave else None for s in STATES)) for leave in STATES]
+    return [-1 if by_exit[leave][entry] is None else by_exit[leave][entry][0] for entry in STATES for leave in STATES]
 
 
 def _array(values: list, kind: pa.DataType) -> pa.Array:
@@ -122,7 +129,7 @@ def _array(values: list, kind: pa.DataType) -> pa.Array:
 def _solve_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(conversation, piece, cost, audit)`` for conversations of one piece."""
     for batch in batches:
-        solved = [auction(t, START, ENDS) for t in batch.column("turns").to_pylist()]
+        solved = [auctions(t, (START,), ENDS)[0] for t in batch.column("turns").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("conversation"), batch.column("piece"), _array([s[0] for s in solved], pa.int64()), _array([s[1] for s in solved], pa.string())],
             names=["conversation", "piece", "cost", "audit"],
@@ -153,7 +160,7 @@ def _trace_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         audits, leaves, costs = [], [], []
         for turns, exits in zip(batch.column("turns").to_pylist(), batch.column("exits").to_pylist(), strict=True):
             prices = tuple(None if e < 0 else e for e in exits)
-            found = [auction(turns, entry, prices) for entry in range(4)]
+            found = auctions(turns, STATES, prices)
             audits.append([None if f is None else f[1] for f in found])
             leaves.append([-1 if f is None else f[2] for f in found])
             costs.append([-1 if f is None else f[0] for f in found])
@@ -188,9 +195,11 @@ def _cheapest_edits(pieces: DataFrame) -> DataFrame:
     known = durable(pieces.join(spans, "conversation"))
     single = known.where("pieces = 1").select("conversation", "piece", "turns")
     solved = single.mapInArrow(_solve_whole, "conversation string, piece long, cost long, audit string")
-    # Texts of conversations in pieces are few numbers a piece here, so one task chains those of a conversation.
-    several = known.where("pieces > 1").select("conversation", "piece", "turns")
+    # Their rows are short and their work is not, so they are dealt to as many tasks as the session has for a shuffle.
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = known.where("pieces > 1").select("conversation", "piece", "turns").repartition(tasks, "conversation", "piece")
     costs = several.mapInArrow(_cost_tables, "conversation string, piece long, costs array<long>")
+    # A piece is a few numbers here, so one task can chain all those of a conversation.
     exits = costs.groupBy("conversation").applyInArrow(_exit_prices, "conversation string, piece long, exits array<long>")
     traced = several.join(exits, ["conversation", "piece"]).mapInArrow(
         _trace_entries, "conversation string, piece long, audits array<string>, leaves array<int>, costs array<long>"

@@ -88,7 +88,7 @@ def test_auction_finds_the_first_of_the_cheapest_edits():
     code = {"": str, "truncated": lambda i: "+" if i == "-" else i.upper(), "blank": lambda i: "x", "duplicate": lambda i: "x"}
     for n in [0, 1, 2, 3] * 40 + [9] * 200 + [40] * 20:
         turns = [(random.choice("suaua-"), random.choice(["", "", "", "truncated", "blank"])) for _ in range(n)]
-        cost, audit, last = repair.auction("".join(code[f](i) for i, f in turns), repair.START, repair.ENDS)
+        ((cost, audit, last),) = repair.auctions("".join(code[f](i) for i, f in turns), (repair.START,), repair.ENDS)
         assert (cost, audit) == plain_edits(turns)
         assert last in (repair.START, repair.ASSISTANT)
 
