@@ -27,9 +27,14 @@ def quantiles(events: DataFrame, column: str, wanted: Mapping[str, float]) -> Da
     in the few blocks that hold a wanted rank. No window sees more than about
     65,536 rows, however many events or distinct values there are.
     """
+    return quantiles_of(histogram(events, column), wanted)
+
+
+def quantiles_of(counts: DataFrame, wanted: Mapping[str, float]) -> DataFrame:
+    """The same from rows ``(value, rows)``, one for each distinct value."""
     block = F.shiftright(F.col("value").cast("bigint"), LOW_BITS)
     # The join below needs a block; asking for it here lets both uses share one shuffle.
-    counts = histogram(events, column).where(block.isNotNull())
+    counts = counts.where(block.isNotNull())
 
     blocks = counts.groupBy(block.alias("block")).agg(F.sum("rows").alias("rows"))
     blocks = blocks.select(

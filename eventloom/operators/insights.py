@@ -16,8 +16,11 @@ from eventloom.functions.keys import weekday_name
 from eventloom.functions.measures import one_row, summarise
 from eventloom.functions.numbers import ratio
 from eventloom.operators.breakdowns import revenue_by_country
+from eventloom.operators.day_cube import DayCube
 from eventloom.operators.kpis import (
+    batch_kpis_of,
     batch_kpis_with_stages,
+    cube_kpis_and_earlier,
     kpis_and_earlier,
     kpis_with_stages,
     median_duration,
@@ -77,7 +80,11 @@ def _sentences(facts: DataFrame, sentences: Sequence[str], empty: str | None = N
 def segment_facts(events: DataFrame) -> DataFrame:
     """One row: leaders and totals of every dimension the sentences mention."""
     dimensions = ["country", "device_type", "campaign", "traffic_source", "event_name", "subscription", "os", "city", "weekday"]
-    totals = segment_totals(events.withColumn("weekday", weekday_name(F.col("event_date"))), dimensions)
+    return leaders(segment_totals(events.withColumn("weekday", weekday_name(F.col("event_date"))), dimensions))
+
+
+def leaders(totals: DataFrame) -> DataFrame:
+    """The leaders and totals in ``(dimension, segment, revenue, events)``, as one row."""
     paid = f"segment <> '{NO_CAMPAIGN}'"
     return totals.agg(
         leader("country", "revenue").alias("country"),
@@ -109,6 +116,11 @@ def batch_facts(events: DataFrame) -> DataFrame:
     return batch_kpis_with_stages(events).select("*", one_row(segment_facts(events)).alias("top"))
 
 
+def batch_facts_of(cube: DayCube) -> DataFrame:
+    """``batch_facts`` read from a day cube."""
+    return batch_kpis_of(cube).select("*", one_row(leaders(cube.segment_totals())).alias("top"))
+
+
 def batch_insights(events: DataFrame) -> DataFrame:
     """The 24 lines of the batch report."""
     return batch_insights_from(batch_facts(events))
@@ -161,6 +173,17 @@ def live_facts(
     )
 
 
+def live_facts_of(cube: DayCube, earlier: Sequence[str] = ("revenue", "conversion_rate")) -> DataFrame:
+    """``live_facts`` read from a day cube of the selection and the period before."""
+    return cube_kpis_and_earlier(cube, earlier).select(
+        "*",
+        one_row(leaders(cube.segment_totals())).alias("top"),
+        cube.median_duration().scalar().alias("median"),
+        cube.device_conversion().scalar().alias("device_rate"),
+        _steepest_drop().alias("drop"),
+    )
+
+
 def live_insights(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """Up to twelve lines about the filtered events."""
     chosen = select(events, filters)

@@ -18,6 +18,7 @@ from eventloom.functions.numbers import (
     ratio_or,
 )
 from eventloom.functions.quantiles import quantiles
+from eventloom.operators.day_cube import WHOLE, DayCube
 from eventloom.operators.revenue import kpi_snapshot
 from eventloom.operators.segments import leader, segment_totals
 from eventloom.schema import FUNNEL_STAGES
@@ -73,7 +74,7 @@ RATES = {
     "avg_duration": "coalesce(try_divide(cast(duration AS double), timed_events), 0D)",
     "stages": f"array({', '.join(STAGE_FLAGS)})",
 }
-NOW, EARLIER = "now", "earlier"
+NOW, EARLIER = WHOLE, "earlier"
 
 
 def period_totals(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
@@ -111,6 +112,19 @@ def period_totals(events: DataFrame, filters: EventFilters | None = None) -> Dat
     return rows.withColumn("sessions", own).select("period", *sql_columns(RATES))
 
 
+def cube_totals(cube: DayCube, periods: tuple[str, ...] = (NOW,)) -> DataFrame:
+    """``period_totals`` read from a day cube of these periods."""
+    return cube.period_totals(periods).select("period", *sql_columns(RATES))
+
+
+def cube_of(events: DataFrame, filters: EventFilters | None = None) -> DayCube:
+    """The day cube of the chosen events and, where there is one, of the period before."""
+    periods = {NOW: filters.predicate() if filters else F.lit(True)}
+    if filters and (earlier := filters.previous_period()) is not None:
+        periods[EARLIER] = earlier.predicate()
+    return DayCube.of(events, periods)
+
+
 def activity_totals(events: DataFrame) -> DataFrame:
     """One row of totals, rates and users per funnel stage, zero for no events."""
     return period_totals(events).drop("period")
@@ -122,7 +136,16 @@ def batch_kpis(events: DataFrame) -> DataFrame:
 
 
 def batch_kpis_with_stages(events: DataFrame) -> DataFrame:
-    totals = activity_totals(events).select("*", median_duration(events).scalar().alias("median"))
+    return _batch_named(activity_totals(events).select("*", median_duration(events).scalar().alias("median")))
+
+
+def batch_kpis_of(cube: DayCube) -> DataFrame:
+    """``batch_kpis_with_stages`` read from a day cube."""
+    totals = cube_totals(cube).where(F.col("period") == NOW).select("*", cube.median_duration().scalar().alias("median"))
+    return _batch_named(totals)
+
+
+def _batch_named(totals: DataFrame) -> DataFrame:
     return totals.selectExpr(
         "users AS total_users",
         "events AS total_events",
@@ -162,7 +185,16 @@ def kpis_and_earlier(events: DataFrame, filters: EventFilters | None, earlier: S
 
     Column by column, so that what a caller does not use is not computed; the struct has only the KPIs named.
     """
-    rows = _named(period_totals(events, filters), "period")
+    return _beside(period_totals(events, filters), earlier)
+
+
+def cube_kpis_and_earlier(cube: DayCube, earlier: Sequence[str] = COMPARED) -> DataFrame:
+    """The same read from a day cube of both periods."""
+    return _beside(cube_totals(cube, (NOW, EARLIER)), earlier)
+
+
+def _beside(totals: DataFrame, earlier: Sequence[str]) -> DataFrame:
+    rows = _named(totals, "period")
     names = [c for c in rows.columns if c != "period"]
     now, before = F.col("period") == NOW, (F.col("period") == EARLIER) & (F.col("total_events") > 0)
     both = rows.agg(
@@ -275,6 +307,9 @@ def filtered_summary_metrics(events: DataFrame, filters: EventFilters | None = N
     return metric_rows(kpis)
 
 
+REVENUE_SERIES = {"country": "revenue_per_country", "device_type": "revenue_per_device", "campaign": "revenue_per_campaign"}
+
+
 def kpi_series(events: DataFrame) -> DataFrame:
     """Rows ``(metric, key, value)``: daily and monthly users, revenue per group.
 
@@ -288,8 +323,20 @@ def kpi_series(events: DataFrame) -> DataFrame:
     monthly = days.groupBy(month_key(F.col("event_date")).alias("key")).agg(
         F.count_distinct("user_id").cast("double").alias("value")
     )
-    names = {"country": "revenue_per_country", "device_type": "revenue_per_device", "campaign": "revenue_per_campaign"}
-    revenue = segment_totals(events, list(names)).select(
+    names = REVENUE_SERIES
+    return _series(daily, monthly, segment_totals(events, list(names)), names)
+
+
+def kpi_series_of(cube: DayCube) -> DataFrame:
+    """``kpi_series`` read from a day cube."""
+    value = F.col("users").cast("double").alias("value")
+    daily = cube.active_users(F.col("day").cast("string")).select("key", value)
+    monthly = cube.active_users(month_key(F.col("day"))).select("key", value)
+    return _series(daily, monthly, cube.segment_totals().where(F.col("dimension").isin(list(REVENUE_SERIES))), REVENUE_SERIES)
+
+
+def _series(daily: DataFrame, monthly: DataFrame, totals: DataFrame, names: dict[str, str]) -> DataFrame:
+    revenue = totals.select(
         _renamed("dimension", names).alias("metric"), F.col("segment").alias("key"), F.col("revenue").alias("value")
     )
     return (

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.operators.insights import batch_facts, batch_insights_from
+from eventloom.operators.day_cube import DayCube
+from eventloom.operators.insights import batch_facts_of, batch_insights_from
 from eventloom.session import durable
 from eventloom.sources import outputs
 from eventloom.sources.csv_events import load_batch_events
@@ -19,12 +20,13 @@ def clean_to_table(spark: SparkSession, csv_path: str, path: str) -> DataFrame:
 
 
 def run(spark: SparkSession, csv_path: str, folder: str) -> None:
-    """All files of the report; KPIs and leaders are computed once, as one row."""
+    """All files of the report, read from one day cube; KPIs and leaders are computed once, as one row."""
     events = clean_to_table(spark, csv_path, f"{folder}/events")
     reports = f"{folder}/reports"
-    facts = durable(batch_facts(events))
+    cube = DayCube.of(events)
+    facts = durable(batch_facts_of(cube))
     kpis = facts.drop("stages", "top")
     outputs.write_summary_metrics(kpis, f"{reports}/summary_metrics")
-    outputs.write_segments(events, reports)
-    outputs.export_json(outputs.analytics_summary(events, kpis), f"{reports}/analytics_summary")
+    outputs.write_segments(cube, reports)
+    outputs.export_json(outputs.analytics_summary(cube, kpis), f"{reports}/analytics_summary")
     outputs.write_document(outputs.insights_document(batch_insights_from(facts)), f"{reports}/business_insights")

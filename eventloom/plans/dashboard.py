@@ -140,7 +140,7 @@ def live_report(events: DataFrame, selection: Mapping[str, Any]) -> LazyTables:
 
     @cache
     def facts() -> DataFrame:
-        return durable(insights.live_facts(events, filters, kpis.COMPARED))
+        return durable(insights.live_facts_of(kpis.cube_of(events, filters), kpis.COMPARED))
 
     def text() -> DataFrame:
         return outputs.live_document(insights.insights_from(facts()), insights.recommendations_from(facts()))

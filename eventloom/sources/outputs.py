@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.measures import one_row
-from eventloom.operators.kpis import kpi_series, metric_rows
+from eventloom.operators.day_cube import DayCube
+from eventloom.operators.kpis import kpi_series, kpi_series_of, metric_rows
 from eventloom.operators.segments import segment_summary
 from eventloom.wording import ADVICE_HEADING, BATCH_INSIGHTS_TITLE, INSIGHTS_HEADING
 
@@ -46,15 +47,17 @@ def write_summary_metrics(kpis: DataFrame, path: str) -> None:
     export_csv(metric_rows(kpis), path)
 
 
-def write_segments(events: DataFrame, folder: str) -> None:
+def write_segments(events: DataFrame | DayCube, folder: str) -> None:
+    """One CSV folder for each dimension of SEGMENT_FILES, from events or from their day cube."""
     for name, dimension in SEGMENT_FILES.items():
-        export_csv(segment_summary(events, dimension), f"{folder}/{name}")
+        table = events.segment_summary(dimension) if isinstance(events, DayCube) else segment_summary(events, dimension)
+        export_csv(table, f"{folder}/{name}")
 
 
-def analytics_summary(events: DataFrame, kpis: DataFrame) -> DataFrame:
-    """Rows ``(metric, key, value)``: scalar KPIs (no key) and the KPI series."""
+def analytics_summary(events: DataFrame | DayCube, kpis: DataFrame) -> DataFrame:
+    """Rows ``(metric, key, value)``: scalar KPIs (no key) and the KPI series, from events or from their day cube."""
     scalars = metric_rows(kpis).select("metric", F.lit(None).cast("string").alias("key"), "value")
-    return scalars.unionByName(kpi_series(events))
+    return scalars.unionByName(kpi_series_of(events) if isinstance(events, DayCube) else kpi_series(events))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ CASES = {
     "executive_summary": (lambda e: insights.executive_summary(e, CLICK_RANGE), 2),
     "recommendations": (lambda e: insights.recommendations(e, CLICK_RANGE), 3),
     "rfm_table": (lambda e: rfm.rfm_table(e), 1),
-    "json_report": (lambda e: dashboard.live_report(e, {"date_range": (date(2024, 1, 11), date(2024, 1, 20))})["json"], 5),
+    "json_report": (lambda e: dashboard.live_report(e, {"date_range": (date(2024, 1, 11), date(2024, 1, 20))})["json"], 4),
 }
 
 
@@ -58,4 +58,4 @@ def test_full_scans_of_the_batch_report(spark, stored, tmp_path):
     stored.select(*EVENT_COLUMNS).write.options(header=True, escape='"', timestampNTZFormat=outputs.MICROSECONDS).csv(str(tmp_path / "csv"))
     rows = stored.dropDuplicates().count()
     scans = full_scans(spark, lambda: batch_report.run(spark, str(tmp_path / "csv"), str(tmp_path / "out")), rows)
-    assert scans <= 14
+    assert scans <= 8
