@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.cleaning import clean_for_batch, clean_for_dashboard
 from eventloom.schema import EVENT_COLUMNS, EVENT_SCHEMA, MISSING_WORDS, RAW_SCHEMA
+from eventloom.sources.csv_records import read_records
 
 PATH_NOT_FOUND = "PATH_NOT_FOUND"
 
@@ -19,15 +20,18 @@ def read_raw_events(
 
     The header must name them in order. A record with more or fewer fields is an
     error when it is read; so is a line break inside quotes, which would cut a
-    record in two, unless ``line_breaks`` allows them. Files with such breaks
-    cannot be split: each is then read whole, by one task.
+    record in two, unless ``line_breaks`` allows them. Such files are split as
+    well, see ``csv_records``, at the cost of two shuffles of their lines.
     """
-    raw = (
-        spark.read.schema(RAW_SCHEMA)
-        .options(header=True, sep=sep, quote=quote, escape=quote, enforceSchema=False, multiLine=line_breaks)
-        .options(mode="FAILFAST", columnPruning=False)  # else fields that no query asks for are not looked at
-        .csv(path)
-    )
+    if line_breaks:
+        raw = read_records(spark, path, RAW_SCHEMA, sep, quote)
+    else:
+        raw = (
+            spark.read.schema(RAW_SCHEMA)
+            .options(header=True, sep=sep, quote=quote, escape=quote, enforceSchema=False)
+            .options(mode="FAILFAST", columnPruning=False)  # else fields that no query asks for are not looked at
+            .csv(path)
+        )
     present = {name: F.when(~F.col(name).isin(*MISSING_WORDS), F.col(name)) for name in EVENT_COLUMNS}
     return raw.withColumns(present)
 
