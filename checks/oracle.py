@@ -355,6 +355,21 @@ add(
     """SELECT * REPLACE (coalesce('a "b"' || chr(10) || city || ',' || chr(10) || 'c', 'Unknown') AS city, coalesce(campaign, 'None') AS campaign,
         coalesce(app_version, 'Unknown') AS app_version) FROM (SELECT %s FROM e_raw)""" % _names,
 )
+_REJECTED = """odd AS (SELECT user_id, strftime(event_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS moment, CAST(session_duration AS VARCHAR) AS s, CAST(revenue AS VARCHAR) AS r,
+        session_duration % 10 AS kind FROM e_raw),
+rejected AS (
+  SELECT user_id, moment, 'session_duration' AS "column", CASE kind WHEN 1 THEN 'too large' WHEN 2 THEN 'fraction cut' ELSE 'unreadable' END AS reason,
+         CASE kind WHEN 1 THEN '3000000000' WHEN 2 THEN s || '.7' ELSE 'x' END AS value FROM odd WHERE kind IN (1, 2, 3)
+  UNION ALL
+  SELECT user_id, moment, 'revenue', CASE kind WHEN 5 THEN 'rounded' WHEN 6 THEN 'too large' ELSE 'unreadable' END,
+         CASE kind WHEN 5 THEN r || '4' WHEN 6 THEN '1e30' ELSE '-' END FROM odd WHERE kind IN (5, 6, 7))"""
+add(
+    "rejected_values", CLICKS,
+    """SELECT user_id, CASE WHEN moment LIKE '%.%' THEN rtrim(rtrim(moment, '0'), '.') ELSE moment END AS event_timestamp, "column", reason, value FROM rejected""",
+    extra=_REJECTED,
+)
+add("rejected_counts", CLICKS, 'SELECT "column", reason, COUNT(*) AS n FROM rejected GROUP BY ALL', extra=_REJECTED)
+add("import_new_events", CLICKS, f"SELECT {_names} FROM ev WHERE dayofmonth(event_date) % 2 = 1")
 add("events_table", CLICKS, f"SELECT {_names} FROM ev")
 add("first_present", CLICKS, "SELECT coalesce(campaign, city, 'none') AS first, COUNT(*) AS events FROM e_raw GROUP BY 1")
 add("csv_bulk_load", CLICKS, f"SELECT {_names} FROM e_raw")

@@ -159,6 +159,43 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return tables.import_events(spark, path, fresh_path(spark, "events"), line_breaks=True)
 
 
+@query("import_new_events")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """Two halves of the view as files of one folder, imported as they come; then one half again, changed."""
+    source, path = fresh_path(spark, "csv-parts"), fresh_path(spark, "events")
+    events = click_events_raw(spark, folder).select(*EVENT_COLUMNS)
+    first = F.pmod(F.dayofmonth("event_date"), F.lit(2)) == 0
+
+    def put(rows: DataFrame, mode: str = "append") -> None:
+        rows.write.options(header=True, escape='"', timestampNTZFormat=outputs.MICROSECONDS).mode(mode).csv(source)
+        tables.import_new_events(spark, source, path)
+
+    put(events.where(first))
+    put(events.where(~first))
+    put(events.where(~first), "overwrite")
+    return tables.read_events(spark, path)
+
+
+def _odd_numbers(events: DataFrame) -> DataFrame:
+    """The view as text, with counts and amounts that do not fit."""
+    seconds, amount = F.col("session_duration").cast("string"), F.col("revenue").cast("string")
+    case = F.pmod("session_duration", F.lit(10))
+    texts = events.select(*[F.col(c).cast("string").alias(c) for c in EVENT_COLUMNS])
+    seconds = F.when(case == 1, "3000000000").when(case == 2, F.concat(seconds, F.lit(".7"))).when(case == 3, "x").when(case == 4, F.concat(seconds, F.lit(".0"))).otherwise(seconds)
+    amount = F.when(case == 5, F.concat(amount, F.lit("4"))).when(case == 6, "1e30").when(case == 7, "-").otherwise(amount)
+    return texts.withColumns({"session_duration": seconds, "revenue": amount})
+
+
+@query("rejected_values")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return cleaning.rejected_values(_odd_numbers(click_events_raw(spark, folder))).select("user_id", "event_timestamp", "column", "reason", "value")
+
+
+@query("rejected_counts")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return cleaning.rejected_counts(_odd_numbers(click_events_raw(spark, folder)))
+
+
 def _broken_cities(events: DataFrame) -> DataFrame:
     return events.withColumn("city", F.concat(F.lit('a "b"\n'), "city", F.lit(",\nc")))
 

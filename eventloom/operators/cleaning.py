@@ -28,7 +28,10 @@ MOST_INT = 2**31 - 1
 
 
 def cast_columns(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Cast to the schema's types; what cannot be read becomes null, a count too large the largest."""
+    """Cast to the schema's types; what cannot be read becomes null, a count too large the largest.
+
+    ``rejected_values`` lists such values beside the typed table.
+    """
     return raw.withColumns({name: _safe_cast(raw, name) for name in columns or raw.columns})
 
 
@@ -42,6 +45,45 @@ def _safe_cast(raw: DataFrame, name: str) -> Column:
     return value.try_cast(wanted.simpleString())
 
 
+def _reason(raw: DataFrame, name: str) -> Column:
+    """Why a value does not fit its column as it is; null where it does or is missing."""
+    value, wanted = F.col(name), EVENT_SCHEMA[name].dataType
+    cast = value.try_cast(wanted.simpleString())
+    unreadable = F.when(value.isNotNull() & _safe_cast(raw, name).isNull(), "unreadable")
+    if wanted.typeName() not in ("integer", "decimal") or raw.schema[name].dataType.typeName() != "string":
+        return unreadable
+    exact = F.btrim(value).try_cast("decimal(38,10)")
+    number = value.try_cast("double")
+    if wanted.typeName() == "decimal":
+        large = number.isNotNull() & cast.isNull() & ~F.isnan(number)
+        return F.when(large, "too large").when(exact != cast, "rounded").otherwise(unreadable)
+    large = (number > F.lit(MOST_INT)) | (number < F.lit(-MOST_INT - 1))
+    return F.when(large & ~F.isnan(number), "too large").when(number != F.floor(number), "fraction cut").otherwise(unreadable)
+
+
+def rejected_values(raw: DataFrame) -> DataFrame:
+    """``(column, reason, value)`` and the row's columns, as text, for each value that the typed table does not hold as it is.
+
+    Reasons: ``unreadable`` values are missing in the table; numbers ``too large`` are the largest that fits (counts) or
+    missing (amounts); of counts a ``fraction`` is ``cut``; amounts are ``rounded`` to cents. Missing values are no rejects.
+    One pass, no shuffle: a row comes once for each such value.
+    """
+    read = [name for name in EVENT_COLUMNS if name not in STRING_COLUMNS]
+    found = F.array_compact(
+        F.array(*[
+            F.when(_reason(raw, n).isNotNull(), F.struct(F.lit(n).alias("column"), _reason(raw, n).alias("reason"), F.col(n).cast("string").alias("value")))
+            for n in read
+        ])
+    )
+    texts = [F.col(n).cast("string").alias(n) for n in EVENT_COLUMNS]
+    return raw.select(F.explode(found).alias("rejected"), *texts).select("rejected.*", *EVENT_COLUMNS)
+
+
+def rejected_counts(raw: DataFrame) -> DataFrame:
+    """``(column, reason, n)`` over ``rejected_values``."""
+    return rejected_values(raw).groupBy("column", "reason").agg(F.count("*").alias("n"))
+
+
 def fill_categories(events: DataFrame) -> DataFrame:
     return events.na.fill(CATEGORY_DEFAULTS)
 
@@ -111,12 +153,10 @@ def clean_for_import(raw: DataFrame) -> DataFrame:
 
 
 def cleaning_report(raw: DataFrame) -> DataFrame:
-    """One row: rows in and out, dropped, duplicates removed, durations capped and, by column, values that could not be read."""
+    """One row: rows in and out, dropped, duplicates removed, durations capped and, by column, values that could not be read or are too large."""
     typed = fill_categories(cast_columns(raw))
     read = [name for name in EVENT_COLUMNS if name not in STRING_COLUMNS]
-    unread = raw.agg(
-        *[F.count_if(F.col(name).isNotNull() & _safe_cast(raw, name).isNull()).alias(f"unread_{name}") for name in read]
-    )
+    unread = raw.agg(*[F.count_if(_reason(raw, name).isin("unreadable", "too large")).alias(f"unread_{name}") for name in read])
     complete = F.lit(True)
     for name in KEY_COLUMNS:
         complete = complete & F.col(name).isNotNull()

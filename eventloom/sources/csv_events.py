@@ -14,7 +14,7 @@ PATH_NOT_FOUND = "PATH_NOT_FOUND"
 
 
 def read_raw_events(
-    spark: SparkSession, path: str, sep: str = ",", quote: str = '"', line_breaks: bool = False
+    spark: SparkSession, path: str | list[str], sep: str = ",", quote: str = '"', line_breaks: bool = False
 ) -> DataFrame:
     """The 19 columns as text, null where a file writes a word for a missing value.
 

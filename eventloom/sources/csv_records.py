@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 SPLIT = ("file", "block")
 
 
-def _lines(spark: SparkSession, path: str, quote: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], quote: str) -> DataFrame:
     """``(file, block, at, line, quotes)``: lines of a split are in order of ``at``."""
     text = F.col("value")
     return (
@@ -51,7 +51,7 @@ def _splits(lines: DataFrame) -> DataFrame:
     return sums.select(*SPLIT, inside.alias("inside"), last.alias("open"))
 
 
-def csv_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
+def csv_records(spark: SparkSession, path: str | list[str], quote: str = '"') -> DataFrame:
     """``(file, block, number, record)``: each record of the CSV files at ``path`` as one text, without its line end.
 
     ``block`` and ``number`` give the split in which a record begins and its place there, from 1. Quotes must be those around
@@ -73,7 +73,7 @@ def csv_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     return joined.agg(text.alias("record")).select("file", F.col("owner").alias("block"), "number", "record")
 
 
-def read_records(spark: SparkSession, path: str, schema: StructType, sep: str = ",", quote: str = '"') -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], schema: StructType, sep: str = ",", quote: str = '"') -> DataFrame:
     """The columns of ``schema``, all texts, from files with a header. Another header, or a record with more or fewer fields, is an error."""
     options = {"sep": sep, "quote": quote, "escape": quote, "mode": "FAILFAST", "multiLine": "true"}
     fields = F.from_csv("record", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
