@@ -27,9 +27,9 @@ MOST_BITS = 3
 SIMILARITY = 0.8
 LEAST_WORDS = 3  # distinct words; lines with fewer are left alone
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, bits
-BROADCAST_ROWS = 200_000  # of three numbers each; longer lists are joined by shuffle
+BROADCAST_ROWS = 200_000  # of three numbers each, and as many in their lists; longer ones are joined by shuffle
 # Words of a run, and the numbers of words of a line for which such runs are keys. Similar lines are both within one range.
-RUNS = ((2, 4, 20), (3, 17, (1 << 31) - 1))
+RUNS = ((2, 4, (1 << 31) - 1),)
 RUN_KEY_BITS = 40  # of a run's hash; what meets by chance is compared and found different
 FREQUENT_LONGS = 2048  # 64 bits each, one for each hash of runs; set for frequent ones
 
@@ -44,7 +44,7 @@ MARKS = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 LANE_BITS, LANES = 21, 3
 TOP = LANE_BITS - 1
 ONES = sum(1 << (LANE_BITS * lane) for lane in range(LANES))  # a one in each lane
-MOST_WORDS = (1 << TOP) - 1
+MOST_WORDS = (1 << TOP) - 1  # that lanes can count; lines of more words get the same sums bit by bit
 
 
 def _lane_sums(word_hash: str) -> list[Column]:
@@ -67,23 +67,32 @@ def _majority(total: str) -> Column:
     return out
 
 
-def add_simhash(lines: DataFrame, *keys: str) -> DataFrame:
+def _plain_majority(total: str) -> Column:
+    """The same from a count for each bit, whatever the number of hashes."""
+    out = F.lit(0).cast("long")
+    for b in range(64):
+        out = out.bitwiseOR(F.shiftleft((F.col(f"bit_{b}") * 2 > F.col(total)).cast("long"), b))
+    return out
+
+
+def add_simhash(lines: DataFrame, *keys: str, longest: bool = False) -> DataFrame:
     """``(keys, a, n, simhash)`` for lines of ``(keys, words)`` with at least LEAST_WORDS distinct words.
 
     ``a`` is a hash of all words and marks and ``n`` their number; the SimHash is that
     of the distinct words, without marks that stand alone, else a few frequent
     words would make most lines alike. Words are rows that are added up where
-    they are read; only sums are shuffled. A line of over a million words has
-    its hash for SimHash.
+    they are read; only sums are shuffled. Lines of over MOST_WORDS words are left out,
+    or with ``longest`` are the only ones; their hashes are the same sums, taken bit by bit.
     """
     size = F.size("words")
-    hashed = lines.where(size >= LEAST_WORDS).select(*keys, F.xxhash64("words").alias("a"), size.cast("long").alias("n"), "words")
-    rows = hashed.where(size <= MOST_WORDS).select(*keys, "a", "n", F.explode(F.array_distinct("words")).alias("word"))
+    sized = size > MOST_WORDS if longest else size.between(LEAST_WORDS, MOST_WORDS)
+    hashed = lines.where(sized).select(*keys, F.xxhash64("words").alias("a"), size.cast("long").alias("n"), "words")
+    rows = hashed.select(*keys, "a", "n", F.explode(F.array_distinct("words")).alias("word"))
     rows = rows.where(~F.col("word").isin(MARKS)).select(*keys, "a", "n", F.xxhash64("word").alias("h"))
     counts = [F.min("a").alias("a"), F.min("n").alias("n"), F.count("*").alias("distinct")]
-    summed = rows.groupBy(*keys).agg(*counts, *_lane_sums("h")).where(F.col("distinct") >= LEAST_WORDS)
-    usual = summed.select(*keys, "a", "n", _majority("distinct").alias("simhash"))
-    return usual.unionByName(hashed.where(size > MOST_WORDS).select(*keys, "a", "n", F.col("a").alias("simhash")))
+    bits = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"bit_{b}") for b in range(64)] if longest else _lane_sums("h")
+    summed = rows.groupBy(*keys).agg(*counts, *bits).where(F.col("distinct") >= LEAST_WORDS)
+    return summed.select(*keys, "a", "n", (_plain_majority if longest else _majority)("distinct").alias("simhash"))
 
 
 def _block_keys(simhash: Column) -> Column:
@@ -107,9 +116,32 @@ def _word_string(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
 
-def _bounded(table: DataFrame) -> DataFrame:
-    """Marked for broadcast if counted and short; otherwise its rows are held and what it meets is not sorted."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
+def _word_bits(words: Column) -> list[Column]:
+    """128 bits as two numbers: those that the hashes of the words pick."""
+
+    def half(high: int) -> Column:
+        def bit(w: Column) -> Column:
+            h = F.xxhash64(w)
+            return F.when(F.shiftright(h, 6).bitwiseAND(F.lit(1)) == high, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+        return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(bit(w)))
+
+    return [half(0).alias("bits_0"), half(1).alias("bits_1")]
+
+
+def _may_be_similar(own: str, other: str, longest: Column) -> Column:
+    """One edit takes at most one word away and adds at most one, so that each line lacks at most as many bits of the other's as edits are allowed."""
+
+    def lacking(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"{x}bits_{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}bits_{i}")))) for i in range(2)), F.lit(0))
+
+    return (lacking(own, other) * 5 <= longest) & (lacking(other, own) * 5 <= longest)
+
+
+def _bounded(places: DataFrame) -> DataFrame:
+    """Marked for broadcast if counted and short, with all that its lists hold; otherwise its rows are held and what it meets is not sorted."""
+    size = places.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    return F.broadcast(places) if max(size) <= BROADCAST_ROWS else places.hint("shuffle_hash")
 
 
 def _occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -118,7 +150,8 @@ def _occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
     lines = docs.where(F.col(f"`{id_column}`").isNotNull() & text.isNotNull()).select(
         F.col(f"`{id_column}`").cast("long").alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("line", "content")
     )
-    return lines.select("id", "copy", "line", line_words(F.col("content")).alias("words"))
+    # Out of an array of one, so that words are cut once and not for each use of them.
+    return lines.select("id", "copy", "line", F.explode(F.array(line_words(F.col("content")))).alias("words"))
 
 
 def _words_of(wanted: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -127,8 +160,10 @@ def _words_of(wanted: DataFrame, docs: DataFrame, id_column: str, text_column: s
     text = F.col(f"`{text_column}`").cast("string")
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text.alias("text"))
     found = texts.join(_bounded(places), "id").where(F.xxhash64("text") == F.col("copy"))
-    found = found.select(F.explode("places").alias("p"), F.split("text", "\n", -1).alias("lines"))
-    return found.select("p.a", line_words(F.col("lines")[F.col("p.line")]).alias("words"))
+    # The text is cut into lines once, and its wanted lines become rows.
+    found = found.select("places", F.explode(F.array(F.split("text", "\n", -1))).alias("lines"))
+    found = found.select(F.explode(F.transform("places", lambda p: F.struct(p["a"].alias("a"), F.col("lines")[p["line"]].alias("line")))).alias("p"))
+    return found.select("p.a", F.explode(F.array(line_words(F.col("p.line")))).alias("words"))
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -138,8 +173,9 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column:
     strings = durable(found.groupBy("a").agg(F.min("string").alias("string")))
     x, y = (strings.select(F.col("a").alias(n), F.col("string").alias(f"{n}_string")) for n in ("x", "y"))
     both = pairs.join(x, "x").join(y, "y")
-    longest = F.greatest(F.length("x_string"), F.length("y_string"))
-    return both.where(F.levenshtein("x_string", "y_string") <= longest * (1 - SIMILARITY) + 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    most = F.floor(F.greatest(F.length("x_string"), F.length("y_string")) * (1 - SIMILARITY) + 1e-9).cast("int")
+    near = F.call_function("levenshtein", F.col("x_string"), F.col("y_string"), most) >= 0  # -1 beyond the most
+    return both.where(near).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _runs(words: Column, length: int) -> Column:
@@ -192,13 +228,21 @@ def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column
 
     def may(n: Column, rank: Column, other_n: Column, other_rank: Column) -> Column:
         longest = F.greatest(n, other_n)
-        changed = F.floor(longest / 5) * F.when(longest < RUNS[1][1], RUNS[0][0]).otherwise(RUNS[1][0])
+        changed = F.floor(longest / 5) * RUNS[0][0]
         return (F.least(n, other_n) * 5 >= longest * 4) & (rank <= changed - (longest - n)) & (other_rank <= changed - (longest - other_n))
 
+    marks = distinct.select("a", "n", "bits_0", "bits_1")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")), distinct, docs, id_column, text_column)
+        x, y = (marks.select([F.col(c).alias(f"{side}{c}") for c in marks.columns]) for side in ("x_", "y_"))
+        both = pairs.join(x, F.col("a") == F.col("x_a")).join(y, F.col("b") == F.col("y_a"))
+        both = both.where(_may_be_similar("x_", "y_", F.greatest("x_n", "y_n")))
+        return _verified(durable(both.select(F.col("a").alias("x"), F.col("b").alias("y"))), distinct, docs, id_column, text_column)
+
+    def alike(own: str, other: str) -> Column:
+        return _may_be_similar(own, other, F.greatest(f"{own}n", f"{other}n"))
 
-    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", "k.rank"), may, verified)
+    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", "k.rank"), may, verified, marks.drop("n"), alike)
 
 
 def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -233,10 +277,16 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     seen = _occurrences(docs, id_column, text_column)
     if every_pair:
         columns = F.xxhash64("words").alias("a"), F.size("words").cast("long").alias("n"), F.lit(0).cast("long").alias("simhash")
-        seen = durable(seen.where(F.size("words") > 0).select("id", "copy", "line", *columns))
+        seen = durable(seen.where(F.size("words") > 0).select("id", "copy", "line", *columns, *_word_bits(F.col("words"))))
     else:
-        seen = durable(add_simhash(seen, "id", "copy", "line"))
-    distinct = seen.groupBy("a", "simhash").agg(F.min(F.struct("id", "line", "copy")).alias("first"), F.max("n").alias("n"), F.count("*").alias("rows"))
+        hashed = add_simhash(seen, "id", "copy", "line")
+        text = F.col(f"`{text_column}`").cast("string")
+        # A line of so many words has at least as many characters, and as many blanks; most tables have no such text.
+        if not (giants := docs.where(F.length(text) > 2 * MOST_WORDS)).isEmpty():
+            hashed = hashed.unionByName(add_simhash(_occurrences(giants, id_column, text_column), "id", "copy", "line", longest=True))
+        seen = durable(hashed)
+    bits = [F.min(c).alias(c) for c in ("bits_0", "bits_1") if every_pair]  # those of all its rows
+    distinct = seen.groupBy("a", "simhash").agg(F.min(F.struct("id", "line", "copy")).alias("first"), F.max("n").alias("n"), F.count("*").alias("rows"), *bits)
     distinct = durable(distinct)
     links = (_all_links if every_pair else _line_links)(distinct, docs, id_column, text_column)
     groups = connected_components(links).withColumnRenamed("node", "a")
@@ -245,7 +295,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     # Only lines that occur again, or are like another, can have something to drop.
     named = named.where("rows > 1 or component is not null").join(kept, "component", "left")
     named = durable(named.select("a", "simhash", F.coalesce("kept", "first").alias("kept")))
-    again = seen.join(named, ["a", "simhash"]).where(F.struct("id", "line", "copy") != F.col("kept"))
+    again = seen.drop("bits_0", "bits_1").join(named, ["a", "simhash"]).where(F.struct("id", "line", "copy") != F.col("kept"))
     return again.groupBy("id", "copy").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
@@ -268,12 +318,20 @@ def dedup_lines(
     gone = durable(dropped_lines(docs, id_column, text_column, every_pair))
     names = [c for c in docs.columns if c != dropped_column]
     text = F.col(f"`{text_column}`").cast("string")
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{id_column}`").cast("long").alias("__id"), F.xxhash64(text).alias("__copy"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), F.col("dropped").alias("__dropped"))
+    # The row in one struct, so that none of its names can meet those used here.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
+        text.alias("text"),
+        F.col(f"`{id_column}`").cast("long").alias("id"),
+        F.xxhash64(text).alias("copy"),
+    )
     # A short list goes to the texts; otherwise texts and list meet, without sorting the texts.
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
-    joined = rows.join(gone, ["__id", "__copy"], "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
-    new_text = F.when(F.col("__dropped").isNull(), text).otherwise(kept)
-    columns = [new_text.alias(c) if c == text_column else F.col(f"`{c}`") for c in names]
-    return joined.select(*columns, F.coalesce("__dropped", F.array().cast("array<int>")).alias(dropped_column))
+    size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("dropped") + 4), F.lit(0))).first()
+    gone = F.broadcast(gone) if max(size) <= BROADCAST_ROWS else gone.hint("shuffle_hash")
+    joined = rows.join(gone, ["id", "copy"], "left")
+    joined = joined.select("row", "text", "dropped", F.explode(F.array(F.when(F.col("dropped").isNotNull(), F.split("text", "\n", -1)))).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    kept = F.array_join(F.transform(left, lambda i: F.col("lines")[i]), "\n")
+    new_text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)
+    columns = [new_text.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in names]
+    return joined.select(*columns, F.coalesce("dropped", F.array().cast("array<int>")).alias(dropped_column))

@@ -33,13 +33,21 @@ def frequent(elements: DataFrame) -> list[int]:
     return [r[0] for r in counted.orderBy(F.desc("count"), name).limit(FREQUENT_LISTED).collect()]
 
 
-def links_by_keys(keyed: DataFrame, may: Callable[..., Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def links_by_keys(
+    keyed: DataFrame,
+    may: Callable[..., Column],
+    verified: Callable[[DataFrame], DataFrame],
+    marks: DataFrame | None = None,
+    alike: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
     """``(a, b)`` links that connect all similar rows of ``keyed(key, a, n, rank)``.
 
     ``may(n, rank, other_n, other_rank)`` is false only where two rows cannot be similar with that
     key as the first they share. ``verified`` gives of pairs ``(a, b)`` those that are similar.
     First each row is compared with the smallest of each of its keys. What that leaves apart
-    is compared with all rows of the key that are not yet connected to it.
+    is compared with all rows of the key that are not yet connected to it. ``marks(a, ...)`` has columns
+    of each row from which ``alike(own, other)``, given the prefixes of their names, tells cheaply that two rows
+    cannot be similar; such pairs are not written down.
     """
     same = Window.partitionBy("key")
     shared = keyed.select("*", F.count("*").over(same).alias("rows"), F.min(F.struct("a", "n", "rank")).over(same).alias("least"))
@@ -52,13 +60,16 @@ def links_by_keys(keyed: DataFrame, may: Callable[..., Column], verified: Callab
 
     groups = connected_components(links).withColumnRenamed("node", "a")
     placed = shared.where("a <> least and rows > 2").join(groups, "a", "left")
-    placed = placed.select("key", "a", "n", "rank", F.coalesce("component", "a").alias("group"))
+    names = [c for c in marks.columns if c != "a"] if marks is not None else []
+    placed = placed.join(marks, "a") if names else placed
+    placed = placed.select("key", "a", "n", "rank", F.coalesce("component", "a").alias("group"), *names)
     mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
     placed = durable(placed.join(mixed, "key"))
-    other = placed.select("key", *[F.col(c).alias(f"other_{c}") for c in ("a", "n", "rank", "group")])
+    other = placed.select("key", *[F.col(c).alias(f"other_{c}") for c in ("a", "n", "rank", "group", *names)])
     rest = placed.join(other, "key").where(
         (F.col("group") < F.col("other_group")) & may(F.col("n"), F.col("rank"), F.col("other_n"), F.col("other_rank"))
     )
+    rest = rest.where(alike("", "other_")) if names else rest
     rest = durable(rest.select("a", F.col("other_a").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return links
