@@ -2,7 +2,7 @@
 
 Every version of a path is addressed by the SHA-256 of its content. The ledger
 lists which (blob, rule, rule version) were scanned; only unseen ones are scanned
-now, once for each content, and findings are joined back to all paths.
+now, in the rows of one path for each content, and findings are joined back to all paths.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventloom.session import durable
 
@@ -43,45 +44,35 @@ LEDGER_SCHEMA = "blob string, rule string, version int"
 FINDING_SCHEMA = "blob string, rule string, version int, start int, end int"
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Array of ``(start, end)`` in code points, end exclusive.
+def matches(text: Column, rule: Rule) -> Column:
+    """Array of ``(rule, version, gap, long, counts)`` for all matches of one rule in turn, in code points.
 
-    The text splits into the pieces between matches; pieces and matches taken in
-    turn give each place by adding lengths.
+    The text splits into the pieces between matches; ``gap`` is the length of the piece before a match, so
+    that sums of gaps and lengths give each place. ``counts`` is false for matches that are too short.
     """
     pattern = F.lit(rule.pattern)
     gaps = F.split(text, rule.pattern, -1)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    groups = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    groups = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     parts = F.arrays_zip(
-        F.transform(F.slice(gaps, F.lit(1), F.size(matches)), lambda x: F.length(x)).alias("gap"),
-        F.transform(matches, lambda x: F.length(x)).alias("long"),
+        F.transform(F.slice(gaps, F.lit(1), F.size(whole)), lambda x: F.length(x)).alias("gap"),
+        F.transform(whole, lambda x: F.length(x)).alias("long"),
         F.transform(groups, lambda x: F.length(x)).alias("chars"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
 
-    def step(done: Column, part: Column) -> Column:
-        first = done["at"] + part["gap"]
-        last = first + part["long"]
-        span = F.struct(first.alias("start"), last.alias("end"))
-        return F.struct(
-            last.alias("at"),
-            F.when(part["chars"] >= rule.least, F.concat(done["found"], F.array(span))).otherwise(done["found"]).alias("found"),
-        )
+    def named(part: Column) -> Column:
+        kind = F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version")
+        return F.struct(*kind, part["gap"].alias("gap"), part["long"].alias("long"), (part["chars"] >= rule.least).alias("counts"))
 
-    return F.aggregate(parts, start, step, lambda done: done["found"])
+    return F.transform(parts, named)
 
 
 def _found(rule: Rule) -> Column:
-    """The spans of one rule in ``text`` if ``rules`` asks for it; a plain search passes over most texts first."""
-
-    def named(span: Column) -> Column:
-        return F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version"), span["start"].alias("start"), span["end"].alias("end"))
-
+    """The matches of one rule in ``text`` if ``rules`` asks for it; a plain search passes over most texts first."""
     text = F.col("text")
     hit = F.array_contains("rules", rule.name) & text.rlike(rule.pattern)
-    nothing = F.array().cast("array<struct<rule:string,version:int,start:int,end:int>>")
-    return F.when(hit, F.transform(spans(text, rule), named)).otherwise(nothing)
+    nothing = F.array().cast("array<struct<rule:string,version:int,gap:int,long:int,counts:boolean>>")
+    return F.when(hit, matches(text, rule)).otherwise(nothing)
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -123,7 +114,13 @@ class BlobLedger:
         """
         todo = durable(self.unseen(versions.select("row", "blob"), rules))
         texts = versions.join(todo.hint("shuffle_hash"), ["row", "blob"])
-        found = texts.select("blob", F.explode(F.concat(*[_found(r) for r in rules])).alias("f")).select("blob", "f.*")
+        # Only matches are shuffled, to add up the lengths before each; ``scan`` tells apart rows that hold the same content.
+        listed = texts.select("blob", F.monotonically_increasing_id().alias("scan"), F.concat(*[_found(r) for r in rules]).alias("listed"))
+        listed = listed.select("blob", "scan", F.posexplode("listed").alias("at", "f"))
+        before = Window.partitionBy("blob", "scan", "rule").orderBy("at")
+        end = F.sum(F.col("gap") + F.col("long")).over(before.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+        found = listed.select("blob", "scan", "at", "f.*").withColumn("end", end).where("counts")
+        found = found.select("blob", "rule", "version", (F.col("end") - F.col("long")).alias("start"), "end")
         versions_of = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.version))])
         self.append(todo.select("blob", F.explode("rules").alias("rule")).withColumn("version", versions_of[F.col("rule")]), found)
 
@@ -178,17 +175,25 @@ def redact(
     leave no mark of their own. Rows whose text holds no secret, or is null, stay as they are.
     """
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
-    found = scan_blobs(ledger, docs, rules, id_column, text_column).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
-    rows = docs.withColumn("__blob", F.sha2(text, 256)).join(found, "__blob", "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(done: Column, span: Column) -> Column:
-        gap = F.substring(text, done["at"] + 1, F.greatest(span["start"] - done["at"], F.lit(0)))
-        mark = F.when(span["start"] >= done["at"], F.concat(F.lit("["), span["rule"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), F.concat(done["out"], gap, mark).alias("out"))
-
-    def finish(done: Column) -> Column:
-        return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-
-    new = F.when(F.col("__found").isNull(), F.col(f"`{text_column}`")).otherwise(F.aggregate("__found", start, step, finish))
-    return rows.select(*[new.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
+    found = scan_blobs(ledger, docs, rules, id_column, text_column)
+    # The end of all spans before each, by the window that a list of a blob's spans is.
+    each = found.select("blob", F.posexplode("found").alias("at", "f")).select("blob", "at", "f.*")
+    before = Window.partitionBy("blob").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("done", F.coalesce(F.max("end").over(before), F.lit(0)))
+    listed = F.sort_array(F.collect_list(F.struct("at", "start", "end", "rule", "done"))).alias("spans")
+    found = durable(each.groupBy("blob").agg(listed, F.max("end").alias("last")))
+    # The row in one struct, so that none of its names can meet those used here; characters of four bytes can be cut at any place.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.sha2(text, 256).alias("blob"))
+    rows = rows.join(found, "blob", "left")
+    rows = rows.select("row", "spans", "last", F.explode(F.array(F.when(F.col("spans").isNotNull(), F.encode("text", "UTF-32")))).alias("wide"))
+
+    def cut(start: Column, characters: Column) -> Column:
+        return F.decode(F.substring(F.col("wide"), start * 4 + 1, characters * 4), "UTF-32")
+
+    def piece(span: Column) -> Column:
+        gap = cut(span["done"], F.greatest(span["start"] - span["done"], F.lit(0)))
+        return F.concat(gap, F.when(span["start"] >= span["done"], F.concat(F.lit("["), span["rule"], F.lit("]"))).otherwise(F.lit("")))
+
+    rest = cut(F.col("last"), F.length("wide"))
+    new = F.when(F.col("spans").isNull(), F.col("row")[text_column]).otherwise(F.concat(F.array_join(F.transform("spans", piece), ""), rest))
+    return rows.select(*[new.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -228,3 +229,26 @@ def test_pipeline_drops_repeated_lines_of_any_length_and_white_space(spark):
 def test_lines_are_cut_at_all_white_space(spark):
     docs = spark.createDataFrame([(1, "one\ttwo\tthree\tfour"), (2, "One two\u00a0three four\r")], "doc_id long, text string")
     assert {r.doc_id: r.dropped for r in lines.dedup_lines(docs).collect()} == {1: [], 2: [0]}
+
+
+def test_texts_with_very_many_lines_and_secrets(spark, ledger):
+    """Work grows with the length of a text, not with its square; columns may have any name."""
+    long = "\n".join(f"a{i % 30_000} b{i % 30_000} c{i % 30_000} d{i % 30_000}" for i in range(60_000))
+    secret = " ".join(f"token={i:012}🙂" for i in range(50_000))
+    rows = [(1, long, 1, 2, "x"), (2, secret, 3, 4, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, __found int, __copy string")
+    started = time.monotonic()
+    left = {r.doc_id: r for r in lines.dedup_lines(docs, every_pair=False, dropped_column="__dropped").collect()}
+    assert left[1]["__dropped"] == list(range(30_000, 60_000)) and left[1].text == long[: len(left[1].text)] and left[2]["__id"] == 3
+    found = {r.doc_id: r for r in secrets.redact(ledger, docs).collect()}
+    assert found[2].text == " ".join(["[assign]🙂"] * 50_000) and found[1].text == long and found[2]["__copy"] == "y"
+    assert time.monotonic() - started < 120
+
+
+def test_lines_of_more_words_than_lanes_count_get_the_same_hash(spark, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    table = spark.createDataFrame([(1, words), (2, words[:50])], "i int, words array<string>")
+    usual = {r.i: r.simhash for r in lines.add_simhash(table, "i").collect()}
+    monkeypatch.setattr(lines, "MOST_WORDS", 100)
+    long = {r.i: r.simhash for r in lines.add_simhash(table, "i", longest=True).collect()}
+    assert long == {1: usual[1]}
