@@ -40,7 +40,7 @@ def preference_segments(turns: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text")
     rows = rows.distinct().withColumn("position", F.row_number().over(order))
-    content = F.sha2(F.concat_ws("\n", "role", "text"), 256)
+    content = F.concat(F.sha2("role", 256), F.sha2("text", 256))
     places = rows.select("pair_id", "position", content.alias("content")).groupBy("pair_id", "position")
     places = places.agg(F.count("*").alias("sides"), F.min("content").alias("low"), F.max("content").alias("high"))
     differ = (F.col("sides") < 2) | (F.col("low") != F.col("high"))

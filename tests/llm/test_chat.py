@@ -39,6 +39,11 @@ def test_odd_pairs(spark):
     assert segments(spark, out) == []
 
 
+def test_role_and_text_are_told_apart(spark):
+    rows = [(1, "chosen", 0, "a\nb", "c"), (1, "rejected", 0, "a", "b\nc")]
+    assert [r[1:4] for r in segments(spark, rows)] == [("chosen", 1, "a\nb"), ("rejected", 1, "a")]
+
+
 def test_last_replies_are_exchanged(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "r"), (1, 1, "assistant", "b"), (1, 2, "user", "end"), (2, 0, "user", "no reply"), (4, 0, "assistant", "alone")]
     pairs = chat.swapped_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("side = 'rejected'")
