@@ -63,15 +63,16 @@ def _majority(counts: np.ndarray, total: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, fingerprint)`` of every row, as a signed long."""
+    """``(id, copy, fingerprint)`` of every row, as a signed long; ``copy`` is a hash of the whole text."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], ["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array(found.view(np.int64))], ["id", "copy", "fingerprint"])
 
-    return text_rows(docs, id_column, text_column).mapInArrow(run, "id long, fingerprint long")
+    rows = text_rows(docs, id_column, text_column)
+    return rows.withColumn("copy", F.xxhash64("text")).mapInArrow(run, "id long, copy long, fingerprint long")
 
 
 def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +199,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_LIMIT)
 def near_duplicates(
     docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``(id, fingerprint, component)`` for every row; component is the smallest id reachable by links.
+    """``(id, copy, fingerprint, component)`` for every row; component is the smallest id reachable by links.
+
+    ``copy`` is a hash of the row's whole text, for rows that share an id.
 
     Texts link when their fingerprints differ in at most ``max_bits`` bits. Copies
     are joined by fingerprint first, so a text with a third of all rows is one
@@ -210,12 +213,13 @@ def near_duplicates(
     rows = durable(fingerprints(docs, words, id_column, text_column))
     known = rows.where("id is not null").groupBy(F.col("fingerprint").alias("print")).agg(F.min("id").alias("id"))
     known = durable(known)
-    groups = connected_components(links(known, max_bits))
-    named = known.join(groups, known.id == groups.node, "left").select(
-        F.col("print").alias("fingerprint"), F.coalesce("component", "id").alias("component")
-    )
+    # Fingerprints are what is linked, so that rows with one id and several texts do not join what their texts do not.
+    groups = connected_components(links(known.select(F.col("print").alias("id"), "print"), max_bits))
+    rooted = durable(known.join(groups, known.print == groups.node, "left").select("print", "id", F.coalesce("component", "print").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    named = rooted.join(least, "root").select(F.col("print").alias("fingerprint"), "component")
     return rows.join(named, "fingerprint", "left").select(
-        "id", "fingerprint", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")
+        "id", "copy", "fingerprint", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")
     )
 
 
