@@ -34,10 +34,13 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with five-word shingles similar by 0.8 the one with the smallest id."""
-    groups = simhash.near_copies(docs)
-    gone = groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of texts linked by their fingerprints the one with the smallest id; a row goes by its id and text."""
+    groups = simhash.near_duplicates(docs)
+    gone = groups.where("id <> component").select(F.col("id").alias("gone_id"), F.col("copy").alias("gone_copy")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_copy"))
+    same = (F.col("own_id") == F.col("gone_id")) & (F.col("own_copy") == F.col("gone_copy"))
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
