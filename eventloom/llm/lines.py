@@ -31,7 +31,7 @@ BROADCAST_ROWS = 200_000  # of three numbers each, and as many in their lists; l
 # Words of a run, and the numbers of words of a line for which such runs are keys. Similar lines are both within one range.
 RUNS = ((2, 4, (1 << 31) - 1),)
 RUN_KEY_BITS = 40  # of a run's hash; what meets by chance is compared and found different
-FREQUENT_LONGS = 2048  # 64 bits each, one for each hash of runs; set for frequent ones
+FREQUENT_LONGS = 16_384  # 64 bits each, one for each hash of runs; set for frequent ones
 
 
 def line_words(line: Column) -> Column:

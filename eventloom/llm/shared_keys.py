@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.llm.components import connected_components
-from eventloom.session import durable
+from eventloom.session import durable, fresh_path
 
 # Frequent elements are looked for in one of so many documents; they only decide the order.
 SAMPLE_PART = 16
-FREQUENT_ROWS, FREQUENT_LISTED = 8, 10_000
+FREQUENT_ROWS, FREQUENT_LISTED = 2, 100_000
+BROADCAST_ROWS = 200_000  # rows of connected groups that are sent to all tasks if counted to be no more
+
+
+# A key, its row's n and its rank travel in one number; an n or rank that fills its bits is unknown and rules nothing out.
+SMALL_BITS = 10
+UNKNOWN = (1 << SMALL_BITS) - 1
 
 
 def sampled(ident: Column) -> Column:
@@ -33,6 +39,13 @@ def frequent(elements: DataFrame) -> list[int]:
     return [r[0] for r in counted.orderBy(F.desc("count"), name).limit(FREQUENT_LISTED).collect()]
 
 
+def _written(table: DataFrame) -> DataFrame:
+    """``table`` as compressed columns in the shared folder, which take far less room than checkpointed rows."""
+    spark, path = table.sparkSession, fresh_path(table.sparkSession, "shared-keys")
+    table.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def links_by_keys(
     keyed: DataFrame,
     may: Callable[..., Column],
@@ -49,25 +62,39 @@ def links_by_keys(
     of each row from which ``alike(own, other)``, given the prefixes of their names, tells cheaply that two rows
     cannot be similar; such pairs are not written down.
     """
+    def small(name: str) -> Column:
+        return F.least(F.col(name).cast("long"), F.lit(UNKNOWN))
+
+    def possible(n: Column, rank: Column, other_n: Column, other_rank: Column) -> Column:
+        unknown = F.greatest(n, rank, other_n, other_rank) == UNKNOWN
+        return unknown | may(n, rank, other_n, other_rank)
+
+    # Most keys occur once, so that their rows are what is shuffled most: two numbers each.
+    packed = F.shiftleft(F.col("key"), 2 * SMALL_BITS).bitwiseOR(F.shiftleft(small("n"), SMALL_BITS)).bitwiseOR(small("rank"))
+    key = F.shiftrightunsigned("packed", 2 * SMALL_BITS)
+    low = F.col("packed").bitwiseAND(F.lit(UNKNOWN))
+    dealt = keyed.select(packed.alias("packed"), "a").repartition(key)
+    rows = dealt.select(key.alias("key"), "a", F.shiftrightunsigned("packed", SMALL_BITS).bitwiseAND(F.lit(UNKNOWN)).alias("n"), low.alias("rank"))
     same = Window.partitionBy("key")
-    shared = keyed.select("*", F.count("*").over(same).alias("rows"), F.min(F.struct("a", "n", "rank")).over(same).alias("least"))
-    near = (F.col("a") != F.col("least.a")) & may(F.col("n"), F.col("rank"), F.col("least.n"), F.col("least.rank"))
+    shared = rows.select("*", F.count("*").over(same).alias("rows"), F.min(F.struct("a", "n", "rank")).over(same).alias("least"))
+    near = (F.col("a") != F.col("least.a")) & possible(F.col("n"), F.col("rank"), F.col("least.n"), F.col("least.rank"))
     # Where two rows share a key, that pair is all there is to compare.
-    shared = shared.select("key", "a", "n", "rank", "rows", F.col("least.a").alias("least"), near.alias("near"))
-    shared = durable(shared.where("near or rows > 2"))
+    shared = shared.select("key", "a", F.col("n").cast("short"), F.col("rank").cast("short"), (F.col("rows") > 2).alias("several"), F.col("least.a").alias("least"), near.alias("near"))
+    shared = _written(shared.where("near or several"))
     first = durable(shared.where("near").select("a", F.col("least").alias("b")).distinct())
     links = durable(verified(first))
 
-    groups = connected_components(links).withColumnRenamed("node", "a")
-    placed = shared.where("a <> least and rows > 2").join(groups, "a", "left")
+    groups = durable(connected_components(links).withColumnRenamed("node", "a"))
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    placed = shared.where("a <> least and several").join(groups, "a", "left")
     names = [c for c in marks.columns if c != "a"] if marks is not None else []
     placed = placed.join(marks, "a") if names else placed
     placed = placed.select("key", "a", "n", "rank", F.coalesce("component", "a").alias("group"), *names)
     mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    placed = durable(placed.join(mixed, "key"))
+    placed = _written(placed.join(mixed, "key"))
     other = placed.select("key", *[F.col(c).alias(f"other_{c}") for c in ("a", "n", "rank", "group", *names)])
     rest = placed.join(other, "key").where(
-        (F.col("group") < F.col("other_group")) & may(F.col("n"), F.col("rank"), F.col("other_n"), F.col("other_rank"))
+        (F.col("group") < F.col("other_group")) & possible(F.col("n"), F.col("rank"), F.col("other_n"), F.col("other_rank"))
     )
     rest = rest.where(alike("", "other_")) if names else rest
     rest = durable(rest.select("a", F.col("other_a").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
