@@ -25,10 +25,17 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or else one below the warehouse."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or else one below the warehouse.
+
+    On a cluster a warehouse on the driver's own disk is no such folder, and an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/eventloom-shared"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        own_disk = warehouse.startswith("file:") or "://" not in warehouse
+        if own_disk and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        folder = f"{warehouse}/eventloom-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
