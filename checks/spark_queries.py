@@ -383,14 +383,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("warning_cards")
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    events = order_events(spark, folder)
-    return anomaly.warning_cards(events, None, retention.cohort_table(events))
+    return anomaly.warning_report(order_events(spark, folder))
 
 
 @query("warning_cards_shown")
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    events = order_events(spark, folder)
-    return anomaly.shown_cards(anomaly.warning_cards(events, None, retention.cohort_table(events)))
+    return anomaly.shown_cards(anomaly.warning_report(order_events(spark, folder)))
 
 
 _on("warning_cards_clicks", click_events, anomaly.warning_cards)

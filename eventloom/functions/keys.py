@@ -30,3 +30,13 @@ def week_span(day: Column) -> Column:
 
 def weekday_name(day: Column) -> Column:
     return F.date_format(day, "EEEE")
+
+
+def month_number(day: Column) -> Column:
+    """Months since year 0, so that months follow each other by 1."""
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def month_start(number: Column) -> Column:
+    """The first day of the month with that number."""
+    return F.make_date(F.floor(number / 12).cast("int"), (number % 12 + 1).cast("int"), F.lit(1))

@@ -44,6 +44,11 @@ def campaign_growth(events: DataFrame, filters: EventFilters | None = None) -> D
         .groupBy("campaign", month_key(F.col("event_date")).alias("year_month"))
         .agg(F.sum(money()).cast("double").alias("revenue"))
     )
+    return campaign_growth_of(series)
+
+
+def campaign_growth_of(series: DataFrame) -> DataFrame:
+    """Growth of ``(campaign, year_month, revenue)`` rows."""
     order = Window.partitionBy("campaign").orderBy("year_month")  # one row per month
     growth = half_even(growth_pct("revenue", order), 2).alias("revenue_growth_pct")
     return series.select("*", growth).orderBy("campaign", "year_month")

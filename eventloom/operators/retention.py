@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.filters import EventFilters, in_scope, select
-from eventloom.functions.keys import month_key, week_span
+from eventloom.functions.keys import month_key, month_number, month_start, week_span
 from eventloom.functions.measures import money, summarise
 from eventloom.functions.numbers import exact_round, fixed, ratio
+from eventloom.operators.active_days import active_after, active_dates, user_calendars, user_months
 from eventloom.schema import COHORT_DAYS
 from eventloom.wording import COHORT_TEXT
 
@@ -40,29 +41,21 @@ def retention_overall_rate(events: DataFrame, filters: EventFilters | None = Non
 
 def user_first_and_activity_dates(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:
     """Distinct ``(user_id, cohort_date, event_date)`` of users inside the filter."""
-    days = (
-        events.where(F.col("user_id").isNotNull())
-        .groupBy("user_id", "event_date")
-        .agg(F.max(in_scope(filters)).alias("chosen"))
-    )
-    one_user = Window.partitionBy("user_id")  # at most one row per calendar day
-    return (
-        days.withColumn("cohort_date", F.min(F.when(F.col("chosen"), F.col("event_date"))).over(one_user))
-        .withColumn("any_chosen", F.max("chosen").over(one_user))
-        .where("any_chosen")
-        .select("user_id", "cohort_date", "event_date")
-    )
+    users = user_calendars(user_months(events, filters))
+    return users.select("user_id", F.col("first_date").alias("cohort_date"), F.explode(active_dates()).alias("event_date"))
 
 
 def cohort_table(
     events: DataFrame, filters: EventFilters | None = None, days: Sequence[int] = COHORT_DAYS
 ) -> DataFrame:
     """Percent of each monthly cohort active exactly N days after first seen."""
-    activity = user_first_and_activity_dates(events, filters)
-    age = F.datediff("event_date", "cohort_date")
-    per_user = activity.groupBy("user_id", "cohort_date").agg(*[F.max(age == day).alias(f"hit_{day}") for day in days])
-    sized = per_user.groupBy(month_key(F.col("cohort_date")).alias("cohort_month")).agg(
-        F.count(F.lit(1)).alias("cohort_size"), *[F.count_if(f"hit_{day}").alias(f"kept_{day}") for day in days]
+    return cohorts_of(user_calendars(user_months(events, filters)), days)
+
+
+def cohorts_of(users: DataFrame, days: Sequence[int] = COHORT_DAYS) -> DataFrame:
+    """The cohort table of user calendars (``active_days``)."""
+    sized = users.groupBy(month_key(F.col("first_date")).alias("cohort_month")).agg(
+        F.count(F.lit(1)).alias("cohort_size"), *[F.count_if(active_after(day)).alias(f"kept_{day}") for day in days]
     )
     rates = [
         exact_round(ratio(100.0 * F.col(f"kept_{day}"), F.col("cohort_size")), 2).alias(f"Day {day}") for day in days
@@ -95,18 +88,15 @@ def cohort_insights(cohorts: DataFrame) -> DataFrame:
 
 def cohort_activity_by_month(events: DataFrame) -> DataFrame:
     """Active users per month of first event and month of activity."""
-    months = (
-        events.where(F.col("user_id").isNotNull())
-        .groupBy("user_id", month_key(F.col("event_date")).alias("activity_month"))
-        .agg(F.min("event_date").alias("first_in_month"))
-    )
-    first = F.min("first_in_month").over(Window.partitionBy("user_id"))  # at most one row per month
-    return (
-        months.withColumn("cohort_month", month_key(first))
-        .groupBy("cohort_month", "activity_month")
-        .agg(F.count(F.lit(1)).alias("active_users"))
-        .orderBy("cohort_month", "activity_month")
-    )
+    users = user_calendars(user_months(events))
+    cells = users.select(
+        month_number(F.col("first_date")).alias("cohort"), F.explode(F.col("months.month")).alias("activity")
+    ).groupBy("cohort", "activity").agg(F.count(F.lit(1)).alias("active_users"))
+    return cells.select(
+        month_key(month_start(F.col("cohort"))).alias("cohort_month"),
+        month_key(month_start(F.col("activity"))).alias("activity_month"),
+        "active_users",
+    ).orderBy("cohort_month", "activity_month")
 
 
 def retention_heatmap(events: DataFrame, filters: EventFilters | None = None) -> DataFrame:

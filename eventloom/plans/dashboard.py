@@ -105,7 +105,11 @@ def analytics_center(events: DataFrame, selection: Mapping[str, Any]) -> LazyTab
         return rfm.rfm_segment_summary(scored())
 
     countries = breakdowns.revenue_by_country(events, filters)
-    cards = anomaly.warning_cards(events, filters, cohorts)
+
+    @cache
+    def cards() -> DataFrame:
+        return anomaly.warning_report(events, filters)
+
     return LazyTables({
         "kpi_cards": lambda: kpis.kpi_cards(events, filters),
         "kpi_snapshot": lambda: revenue.kpi_snapshot(events, filters),
@@ -128,7 +132,7 @@ def analytics_center(events: DataFrame, selection: Mapping[str, Any]) -> LazyTab
         "cohort_insights": lambda: retention.cohort_insights(cohorts),
         "rfm": scored,
         "rfm_segments": segment_table,
-        "warnings": lambda: anomaly.shown_cards(cards),
+        "warnings": lambda: anomaly.shown_cards(cards()),
         "report_insights": lambda: insights.report_insights(events, segment_table(), filters),
         "report_advice": lambda: insights.report_advice(events),
     })

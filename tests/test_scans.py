@@ -8,7 +8,7 @@ from datetime import date
 import pytest
 
 from checks.spark_queries import CLICK_RANGE
-from eventloom.operators import insights, kpis, rfm
+from eventloom.operators import anomaly, insights, kpis, retention, rfm
 from eventloom.plans import batch_report, dashboard
 from eventloom.schema import EVENT_COLUMNS
 from eventloom.sources import outputs, tables
@@ -42,6 +42,9 @@ CASES = {
     "period_comparison": (lambda e: kpis.period_comparison(e, CLICK_RANGE), 2),
     "executive_summary": (lambda e: insights.executive_summary(e, CLICK_RANGE), 2),
     "recommendations": (lambda e: insights.recommendations(e, CLICK_RANGE), 3),
+    "warning_report": (lambda e: anomaly.warning_report(e, CLICK_RANGE), 1),
+    "warning_cards": (lambda e: anomaly.warning_cards(e, CLICK_RANGE), 1),
+    "cohort_table": (lambda e: retention.cohort_table(e, CLICK_RANGE), 1),
     "rfm_table": (lambda e: rfm.rfm_table(e), 1),
     "json_report": (lambda e: dashboard.live_report(e, {"date_range": (date(2024, 1, 11), date(2024, 1, 20))})["json"], 4),
 }
