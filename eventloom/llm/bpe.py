@@ -29,6 +29,8 @@ CACHE_CHUNKS = 300_000
 LATIN_END = "\u024f"
 _BEYOND_LATIN = re.compile(f"[^\0-{LATIN_END}]")
 MARKS = frozenset(".,;:!?|*$%&#")
+# Marks at the end of a chunk, after a letter or digit of Latin texts: no pattern takes them together with what is before them.
+_LAST_MARKS = re.compile(r"([.,;:!?|*$%&#](?<=[^\W_].)[.,;:!?|*$%&#]*)(?![^ \t\n\r])")
 NO_RANK = np.int32(2**31 - 1)
 # White space as the tokenizers' patterns see it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -87,7 +89,9 @@ class Vocabulary:
         if self._chunk is not None:
             return self._chunk.findall(text)
         # Letters of Latin scripts lower alike here and there, and so do fewer chunks need merging.
-        return (text if _BEYOND_LATIN.search(text) else text.lower()).encode().split()
+        if not _BEYOND_LATIN.search(text):
+            text = _LAST_MARKS.sub(r" \1", text.lower())
+        return text.encode().split()
 
     def words(self, chunk: str | bytes) -> list:
         """The words of a chunk, as the tokenizer's patterns cut them, in the chunk's type."""
@@ -172,10 +176,12 @@ class Vocabulary:
         """Put the ids of unseen chunks into the cache, merging all their new words together; a word is a chunk too."""
         cache, parts = self.cache, []
         new: dict = {}
+        if self.lower:  # most chunks are a word in lower case already
+            texts = b"\n".join(fresh).decode().split("\n")  # in the same order
+            words = {c for c, t in zip(fresh, texts, strict=True) if t.isalpha() and t.islower() and not _BEYOND_LATIN.search(t)}
+            new = dict.fromkeys(words)
+            fresh = fresh - words
         for chunk in fresh:
-            if self.lower and chunk.isalpha() and chunk.islower():  # ASCII letters
-                new[chunk] = None
-                continue
             words = self.words(chunk)
             if len(words) != 1 or words[0] != chunk:
                 parts.append((chunk, words))

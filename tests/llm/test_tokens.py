@@ -36,6 +36,20 @@ def test_ids_and_texts_equal_the_library(file):
         assert [own.decode(c) for c in coded] == [library.decode(e, skip_special_tokens=False) for e in expected]
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_marks_around_words_equal_the_library(file):
+    """Trailing marks are cut from Latin words before the patterns see them; none may move over a border."""
+    with open(public_tokenizers.path(file), "rb") as handle:
+        content = handle.read()
+    own, library = bpe.Vocabulary(content), Tokenizer.from_str(content.decode())
+    rng = random.Random(2)
+    around = [*".,;:!?|*$%&#'\"-_()«× \t\n\x0b\x1c\x85\xa0", "'s", "'ll", "...", " "]
+    inside = ["ab", "É", "ñ", "ª", "²", "¼", "7", "ǅ", "中", ""]
+    texts = ["".join(rng.choice(rng.choice((around, inside))) for _ in range(rng.randrange(1, 16))) for _ in range(4000)]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [ids(c) for c in own.encode(texts)] == expected
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     with open(public_tokenizers.path(FILES[0]), "rb") as handle:
         own = bpe.Vocabulary(handle.read())
