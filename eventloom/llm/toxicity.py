@@ -4,7 +4,9 @@ Terms of a text are its words and their first letters, hashed to 32 bits, each
 counted once. The score of a set of terms is a bias, a weight for each term, and
 for each pair of terms the product of their factor vectors, so that two terms
 can mean together what neither means alone. Weights are learnt by FTRL with an
-L1 penalty, which leaves most at zero; only terms with a weight get factors.
+L1 penalty, which leaves most at zero. In the first epochs only terms with a weight
+have factors, so that what terms say alone is learnt first; then all terms have
+factors, and what is left wrong teaches pairs of terms that say nothing alone.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from eventloom.llm.batches import short_batches, text_rows
 SAMPLE_ROWS = 20_000  # labelled rows, with the smallest hashes of their ids, that a model is fitted on
 PREFIXES = (4, 5, 6)  # letters of shorter terms that stand for all words beginning with them
 FACTORS = 4
-EPOCHS = 4
+EPOCHS = 4  # with factors for terms that have a weight
+PAIR_EPOCHS = 4  # with factors for all terms, after those
 LEAST_DOCUMENTS = 4  # of the sample that have a term; rarer ones would only be learnt by heart
 RATE, SMOOTH, L1, L2 = 1.0, 1.0, 3.0, 0.1  # of FTRL
-FACTOR_RATE, FACTOR_DECAY = 0.05, 0.01
+FACTOR_RATE, FACTOR_START = 0.02, 0.005  # the latter is the spread of factors before they are learnt
+LEAST_FACTOR = 0.02  # a term without a weight whose factors are shorter has learnt nothing and is left out
 THRESHOLD = 0.3
 CACHE_WORDS = 500_000
 _WORD = re.compile(r"\w+")
@@ -80,7 +84,9 @@ def _pairs(factors: np.ndarray) -> float:
 def fit(rows: list[tuple[int, int, np.ndarray]]) -> Model:
     """A model for ``(order, label, terms)`` rows, by their order; without rows all scores are a half.
 
-    A term counts by the logarithm of its rarity, so that frequent words say little.
+    A term's weight counts by the logarithm of its rarity, so that frequent words
+    say little; its factors by the fourth root of that, since words that are
+    frequent alone can be rare together.
     """
     rows = sorted(rows, key=lambda r: r[:2])
     hashes, seen = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True) if rows else (np.zeros(0, np.uint32),) * 2
@@ -91,16 +97,17 @@ def fit(rows: list[tuple[int, int, np.ndarray]]) -> Model:
         places.append(at[np.append(hashes, 0)[at] == found] if len(hashes) else at[:0])
     size = len(hashes) + 1  # the last is the bias, which has no penalty
     value = np.append(np.log(max(2, len(rows)) / np.maximum(seen, 1)) / np.log(max(2, len(rows))), 1.0)
+    scale = value[:-1, None] ** 0.25
     penalty = np.append(np.full(size - 1, L1), 0.0)
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     random = np.random.default_rng(0)
-    v, vn = random.normal(0, 0.01, (size, FACTORS)), np.ones((size, FACTORS))
-    for _ in range(EPOCHS):
+    v, vn = random.normal(0, FACTOR_START, (size - 1, FACTORS)), np.ones((size - 1, FACTORS))
+    for epoch in range(EPOCHS + PAIR_EPOCHS):
         for i in random.permutation(len(rows)):
             at = np.append(places[i], size - 1)
             x = value[at]
-            strong = at[:-1][w[at[:-1]] != 0]
-            f = v[strong] * value[strong][:, None]
+            paired = places[i] if epoch >= EPOCHS else places[i][w[places[i]] != 0]
+            f = v[paired] * scale[paired]
             slope = _probability(w[at] @ x + _pairs(f)) - rows[i][1]
             if abs(slope) < 1e-4:
                 continue
@@ -111,12 +118,13 @@ def fit(rows: list[tuple[int, int, np.ndarray]]) -> Model:
             w[at] = np.where(
                 np.abs(zs) <= penalty[at], 0, -(zs - np.sign(zs) * penalty[at]) / ((SMOOTH + np.sqrt(n[at])) / RATE + L2)
             )
-            if len(strong) > 1:
-                grad = slope * (f.sum(0) - f) * value[strong][:, None] + FACTOR_DECAY * v[strong]
-                vn[strong] += grad**2
-                v[strong] -= FACTOR_RATE * grad / np.sqrt(vn[strong])
-    used = np.flatnonzero(w[:-1])
-    return Model(float(w[-1]), hashes[used], w[used] * value[used], v[used] * value[used][:, None])
+            if len(paired) > 1:
+                grad = slope * (f.sum(0) - f) * scale[paired]
+                vn[paired] += grad**2
+                v[paired] -= FACTOR_RATE * grad / np.sqrt(vn[paired])
+    factors = v * scale
+    used = np.flatnonzero((w[:-1] != 0) | ((factors**2).sum(1) > LEAST_FACTOR**2))
+    return Model(float(w[-1]), hashes[used], w[used] * value[used], factors[used])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from math import log10
@@ -113,6 +114,49 @@ def test_pairs_of_terms_are_learnt(spark):
     assert right > 0.97
 
 
+def combined(n, seed):
+    """Two pairs of words, each word as often toxic as not: the label depends on the combination alone."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        a, b = rng.integers(0, 2, 2)
+        words = [f"alpha{a}", f"beta{b}", *(f"common{x}" for x in rng.integers(0, 40, 30)), *(f"rare{x}" for x in rng.integers(0, 9000, 10))]
+        rows.append((i, int(a == b), toxicity.text_terms(" ".join(words))))
+    return rows
+
+
+def test_pairs_whose_words_say_nothing_alone_are_learnt():
+    model = toxicity.fit(combined(4000, 1))
+    new = {i: (label, found) for i, label, found in combined(400, 2)}
+    right = []
+    for label, found in new.values():
+        total, place = model.bias, {h: k for k, h in enumerate(model.hashes.tolist())}
+        known = [place[h] for h in found.tolist() if h in place]
+        total += sum(model.weights[k] for k in known)
+        right.append((1 / (1 + np.exp(-(total + pair_sum(model, known)))) >= toxicity.THRESHOLD) == bool(label))
+    assert np.mean(right) > 0.95
+
+
+def pair_sum(model, known):
+    return sum(float(model.factors[a] @ model.factors[b]) for k, a in enumerate(known) for b in known[:k])
+
+
+def test_toxicity_query_equals_a_sum_over_pairs(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels.where(~held_out(F.col("doc_id"), 4, 2)))
+    place = {h: k for k, h in enumerate(model.hashes.tolist())}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = QUERIES["op10_toxicity"](spark, SF).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for row in found:
+        words = {w for chunk in texts[row.doc_id].lower().split() for w in re.findall(r"\w+", chunk)}
+        own = {zlib.crc32(t.encode()) for w in words for t in (w, *(f"{n}:{w[:n]}" for n in toxicity.PREFIXES if len(w) >= n))}
+        known = sorted(place[h] for h in own if h in place)
+        total = model.bias + sum(model.weights[k] for k in known) + pair_sum(model, known)
+        assert row.score == pytest.approx(1 / (1 + np.exp(-np.clip(total, -30, 30))), abs=1e-9)
+        assert row.predicted == int(row.score >= toxicity.THRESHOLD)
+
+
 def test_held_out_accuracy(spark):
     folder = SF.replace("sf0.001", "sf0.1")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
