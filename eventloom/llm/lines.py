@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from eventloom.llm import shared_keys
 from eventloom.llm.components import connected_components
-from eventloom.session import durable
+from eventloom.session import durable, passing_folder, written
 
 MOST_BITS = 3
 SIMILARITY = 0.8
@@ -166,11 +166,12 @@ def _words_of(wanted: DataFrame, docs: DataFrame, id_column: str, text_column: s
     return found.select("p.a", F.explode(F.array(line_words(F.col("p.line")))).alias("words"))
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str, folder: str | None = None) -> DataFrame:
     """Of ``(x, y)`` pairs of distinct lines those whose words are similar by edit distance."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct().join(distinct.select("a", "first.*").dropDuplicates(["a"]), "a")
     found = _words_of(wanted, docs, id_column, text_column).select("a", _word_string(F.col("words")).alias("string"))
-    strings = durable(found.groupBy("a").agg(F.min("string").alias("string")))
+    strings = found.groupBy("a").agg(F.min("string").alias("string"))
+    strings = written(strings, folder) if folder else durable(strings)
     x, y = (strings.select(F.col("a").alias(n), F.col("string").alias(f"{n}_string")) for n in ("x", "y"))
     both = pairs.join(x, "x").join(y, "y")
     most = F.floor(F.greatest(F.length("x_string"), F.length("y_string")) * (1 - SIMILARITY) + 1e-9).cast("int")
@@ -217,7 +218,7 @@ def _frequent_runs(docs: DataFrame, id_column: str, text_column: str) -> Column:
     return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<long>")
 
 
-def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str, folder: str) -> DataFrame:
     """``(a, b)`` links that connect all distinct lines that are similar in words."""
     frequent = _frequent_runs(docs, id_column, text_column)
     wanted = distinct.where(F.col("n") >= RUNS[0][1]).select("a", "first.*")
@@ -237,12 +238,12 @@ def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column
         x, y = (marks.select([F.col(c).alias(f"{side}{c}") for c in marks.columns]) for side in ("x_", "y_"))
         both = pairs.join(x, F.col("a") == F.col("x_a")).join(y, F.col("b") == F.col("y_a"))
         both = both.where(_may_be_similar("x_", "y_", F.greatest("x_n", "y_n")))
-        return _verified(durable(both.select(F.col("a").alias("x"), F.col("b").alias("y"))), distinct, docs, id_column, text_column)
+        return _verified(durable(both.select(F.col("a").alias("x"), F.col("b").alias("y"))), distinct, docs, id_column, text_column, folder)
 
     def alike(own: str, other: str) -> Column:
         return _may_be_similar(own, other, F.greatest(f"{own}n", f"{other}n"))
 
-    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", "k.rank"), may, verified, marks.drop("n"), alike)
+    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", "k.rank"), may, verified, marks.drop("n"), alike, folder)
 
 
 def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -274,21 +275,32 @@ def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_colum
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", every_pair: bool = False) -> DataFrame:
     """``(id, copy, dropped)``: numbers of the lines that occur before, exactly or nearly, in rows that have such."""
-    seen = _occurrences(docs, id_column, text_column)
-    if every_pair:
+    if not every_pair:
+        return durable(_dropped(_hashed(docs, id_column, text_column), docs, id_column, text_column))
+    # All pairs need several times the room of the lines; none of it is kept longer than it is read.
+    with passing_folder(docs.sparkSession, "line-dedup") as folder:
         columns = F.xxhash64("words").alias("a"), F.size("words").cast("long").alias("n"), F.lit(0).cast("long").alias("simhash")
-        seen = durable(seen.where(F.size("words") > 0).select("id", "copy", "line", *columns, *_word_bits(F.col("words"))))
-    else:
-        hashed = add_simhash(seen, "id", "copy", "line")
-        text = F.col(f"`{text_column}`").cast("string")
-        # A line of so many words has at least as many characters, and as many blanks; most tables have no such text.
-        if not (giants := docs.where(F.length(text) > 2 * MOST_WORDS)).isEmpty():
-            hashed = hashed.unionByName(add_simhash(_occurrences(giants, id_column, text_column), "id", "copy", "line", longest=True))
-        seen = durable(hashed)
-    bits = [F.min(c).alias(c) for c in ("bits_0", "bits_1") if every_pair]  # those of all its rows
+        seen = _occurrences(docs, id_column, text_column).where(F.size("words") > 0)
+        seen = written(seen.select("id", "copy", "line", *columns, *_word_bits(F.col("words"))), folder)
+        return durable(_dropped(seen, docs, id_column, text_column, folder))
+
+
+def _hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``(id, copy, line, a, n, simhash)`` of all lines with enough distinct words."""
+    hashed = add_simhash(_occurrences(docs, id_column, text_column), "id", "copy", "line")
+    text = F.col(f"`{text_column}`").cast("string")
+    # A line of so many words has at least as many characters, and as many blanks; most tables have no such text.
+    if not (giants := docs.where(F.length(text) > 2 * MOST_WORDS)).isEmpty():
+        hashed = hashed.unionByName(add_simhash(_occurrences(giants, id_column, text_column), "id", "copy", "line", longest=True))
+    return durable(hashed)
+
+
+def _dropped(seen: DataFrame, docs: DataFrame, id_column: str, text_column: str, folder: str | None = None) -> DataFrame:
+    """The list of ``dropped_lines`` from all lines; with a folder, which takes what is written on the way, all pairs link."""
+    bits = [F.min(c).alias(c) for c in ("bits_0", "bits_1") if folder]  # those of all its rows
     distinct = seen.groupBy("a", "simhash").agg(F.min(F.struct("id", "line", "copy")).alias("first"), F.max("n").alias("n"), F.count("*").alias("rows"), *bits)
-    distinct = durable(distinct)
-    links = (_all_links if every_pair else _line_links)(distinct, docs, id_column, text_column)
+    distinct = written(distinct, folder) if folder else durable(distinct)
+    links = _all_links(distinct, docs, id_column, text_column, folder) if folder else _line_links(distinct, docs, id_column, text_column)
     groups = connected_components(links).withColumnRenamed("node", "a")
     named = distinct.join(groups, "a", "left").select("a", "simhash", "first", "rows", "component")
     kept = named.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
@@ -315,7 +327,7 @@ def dedup_lines(
     found, and lines of any number of words go when they occur again, but blank ones;
     without, SimHashes must also be within MOST_BITS.
     """
-    gone = durable(dropped_lines(docs, id_column, text_column, every_pair))
+    gone = dropped_lines(docs, id_column, text_column, every_pair)
     names = [c for c in docs.columns if c != dropped_column]
     text = F.col(f"`{text_column}`").cast("string")
     # The row in one struct, so that none of its names can meet those used here.

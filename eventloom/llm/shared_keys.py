@@ -9,19 +9,22 @@ Any order will do; elements known to be frequent come last, so that few sets sha
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventloom.llm.components import connected_components
-from eventloom.session import durable, fresh_path
+from eventloom.session import durable, passing_folder, written
 
 # Frequent elements are looked for in one of so many documents; they only decide the order.
 SAMPLE_PART = 16
 FREQUENT_ROWS, FREQUENT_LISTED = 2, 100_000
 BROADCAST_ROWS = 200_000  # rows of connected groups that are sent to all tasks if counted to be no more
 
+# Keys left to compare in full are taken in so many parts at most, one for so many rows, so that only one part of them is shuffled at a time.
+PARTS, PART_ROWS = 16, 4_000_000
 
 # A key, its row's n and its rank travel in one number; an n or rank that fills its bits is unknown and rules nothing out.
 SMALL_BITS = 10
@@ -39,19 +42,13 @@ def frequent(elements: DataFrame) -> list[int]:
     return [r[0] for r in counted.orderBy(F.desc("count"), name).limit(FREQUENT_LISTED).collect()]
 
 
-def _written(table: DataFrame) -> DataFrame:
-    """``table`` as compressed columns in the shared folder, which take far less room than checkpointed rows."""
-    spark, path = table.sparkSession, fresh_path(table.sparkSession, "shared-keys")
-    table.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
-
-
 def links_by_keys(
     keyed: DataFrame,
     may: Callable[..., Column],
     verified: Callable[[DataFrame], DataFrame],
     marks: DataFrame | None = None,
     alike: Callable[[str, str], Column] | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """``(a, b)`` links that connect all similar rows of ``keyed(key, a, n, rank)``.
 
@@ -60,8 +57,9 @@ def links_by_keys(
     First each row is compared with the smallest of each of its keys. What that leaves apart
     is compared with all rows of the key that are not yet connected to it. ``marks(a, ...)`` has columns
     of each row from which ``alike(own, other)``, given the prefixes of their names, tells cheaply that two rows
-    cannot be similar; such pairs are not written down.
+    cannot be similar; such pairs are not written down. Rows of keys are written to ``folder`` if given.
     """
+
     def small(name: str) -> Column:
         return F.least(F.col(name).cast("long"), F.lit(UNKNOWN))
 
@@ -80,24 +78,35 @@ def links_by_keys(
     near = (F.col("a") != F.col("least.a")) & possible(F.col("n"), F.col("rank"), F.col("least.n"), F.col("least.rank"))
     # Where two rows share a key, that pair is all there is to compare.
     shared = shared.select("key", "a", F.col("n").cast("short"), F.col("rank").cast("short"), (F.col("rows") > 2).alias("several"), F.col("least.a").alias("least"), near.alias("near"))
-    shared = _written(shared.where("near or several"))
+    shared = written(shared.where("near or several"), folder)
     first = durable(shared.where("near").select("a", F.col("least").alias("b")).distinct())
     links = durable(verified(first))
 
     groups = durable(connected_components(links).withColumnRenamed("node", "a"))
     groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
-    placed = shared.where("a <> least and several").join(groups, "a", "left")
     names = [c for c in marks.columns if c != "a"] if marks is not None else []
-    placed = placed.join(marks, "a") if names else placed
-    placed = placed.select("key", "a", "n", "rank", F.coalesce("component", "a").alias("group"), *names)
-    mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    placed = _written(placed.join(mixed, "key"))
-    other = placed.select("key", *[F.col(c).alias(f"other_{c}") for c in ("a", "n", "rank", "group", *names)])
-    rest = placed.join(other, "key").where(
-        (F.col("group") < F.col("other_group")) & possible(F.col("n"), F.col("rank"), F.col("other_n"), F.col("other_rank"))
-    )
-    rest = rest.where(alike("", "other_")) if names else rest
-    rest = durable(rest.select("a", F.col("other_a").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    columns = ["a", "n", "rank", "group", *names]
+    left = shared.where("a <> least and several")
+    parts = min(PARTS, 1 + left.count() // PART_ROWS)
+
+    def pairs_of(part: int, scratch: str) -> DataFrame:
+        placed = left.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).join(groups, "a", "left")
+        placed = placed.select("key", "a", "n", "rank", F.coalesce("component", "a").alias("group"))
+        mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+        placed = placed.join(mixed, "key")
+        placed = written((placed.join(marks, "a") if names else placed).select("key", *columns), scratch)
+        # Both sides of the join are the same shuffle; names differ only above it.
+        pairs = placed.alias("own").join(placed.alias("other"), F.col("own.key") == F.col("other.key"))
+        pairs = pairs.select(*[F.col(f"own.{c}").alias(c) for c in columns], *[F.col(f"other.{c}").alias(f"other_{c}") for c in columns])
+        pairs = pairs.where((F.col("group") < F.col("other_group")) & possible(F.col("n"), F.col("rank"), F.col("other_n"), F.col("other_rank")))
+        pairs = pairs.where(alike("", "other_")) if names else pairs
+        return pairs.select("a", F.col("other_a").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+
+    found = []
+    for part in range(parts):
+        with passing_folder(keyed.sparkSession, "key-part") as scratch:
+            found.append(durable(pairs_of(part, scratch)))
+    rest = durable(reduce(DataFrame.unionByName, found).distinct()) if parts > 1 else found[0]
     if rest.isEmpty():
         return links
     return links.unionByName(verified(rest))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,8 @@ SETTINGS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go with the tables that use them
 }
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in SETTINGS.items():
@@ -40,14 +44,46 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _place(spark: SparkSession, path: str):
+    """Hadoop's path and file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses; what is written there goes when the application ends."""
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
     return path
 
 
+@contextmanager
+def passing_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for ``written``, which goes with all in it when the block ends.
+
+    Inside, Spark deletes the shuffle files of a query when that query ends, and not when the
+    driver collects garbage. Tables made inside should be run once only, or written and read.
+    """
+    before = spark.conf.get(DROP_SHUFFLES)
+    path = fresh_path(spark, name)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield path
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+        place, files = _place(spark, path)
+        files.delete(place, True)
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` as compressed columns in the shared folder, which take far less room than checkpointed rows."""
+    spark = df.sparkSession
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else fresh_path(spark, "columns")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage.
 

@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 import time
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
-from eventloom.llm import lines, secrets
+from eventloom.llm import lines, secrets, shared_keys
 from eventloom.llm.queries import QUERIES
-from eventloom.session import fresh_path
+from eventloom.session import DROP_SHUFFLES, fresh_path, shared_folder
 from tests.llm.conftest import SF, empty
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -226,6 +227,42 @@ def test_pipeline_drops_repeated_lines_of_any_length_and_white_space(spark):
     assert left == {0: texts[0], 1: "\nown", 2: texts[2], 3: "own other"}
 
 
+def test_pipeline_line_dedup_leaves_no_shuffle_files_or_scratch_columns(spark):
+    def kept():
+        local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        shuffled = {f for d in local for f in Path(d).rglob("shuffle_*.data")}
+        return shuffled, {f for f in Path(shared_folder(spark).removeprefix("file:")).iterdir() if f.name.startswith(("line-dedup", "shared-keys", "columns", "key-part"))}
+
+    words = [f"w{i} x{i % 7} y{i} z{i % 5} v{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, f"{w}\n{w} more\nplain words {i % 3} again and again") for i, w in enumerate(words)], "doc_id long, text string")
+    setting, before = spark.conf.get(DROP_SHUFFLES), kept()
+    gone = lines.dropped_lines(docs, every_pair=True)
+    assert [now - then for now, then in zip(kept(), before, strict=True)] == [set(), set()]
+    assert spark.conf.get(DROP_SHUFFLES) == setting
+    dropped = {(r.id, tuple(r.dropped)) for r in gone.collect()}
+    assert dropped == {(r.id, tuple(r.dropped)) for r in gone.collect()} == {(i, (1, 2) if i else (1,)) for i in range(40)}
+
+
+def test_pipeline_links_the_same_lines_when_keys_are_taken_in_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for group in range(12):
+        head, tail = [f"h{group % 3}x{i}" for i in range(6)], [f"t{group}x{i}" for i in range(14)]
+        for _ in range(4):
+            edited = [*head, *tail]
+            for _ in range(3):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(10**6)}"
+            rows.append(edited)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+
+    def gone():
+        return sorted(r.id for r in lines.dropped_lines(docs, every_pair=True).collect())
+
+    whole = gone()
+    monkeypatch.setattr(shared_keys, "PART_ROWS", 20)
+    assert len(whole) > 12 and gone() == whole
+
+
 def test_lines_are_cut_at_all_white_space(spark):
     docs = spark.createDataFrame([(1, "one\ttwo\tthree\tfour"), (2, "One two\u00a0three four\r")], "doc_id long, text string")
     assert {r.doc_id: r.dropped for r in lines.dedup_lines(docs).collect()} == {1: [], 2: [0]}
