@@ -15,6 +15,8 @@ their first runs in one order (see ``shared_keys``), and those are the join keys
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +30,7 @@ SIMILARITY = 0.8
 LEAST_WORDS = 3  # distinct words; lines with fewer are left alone
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, bits
 BROADCAST_ROWS = 200_000  # of three numbers each, and as many in their lists; longer ones are joined by shuffle
+PART_PAIRS = 500_000  # that get their words at a time, if they are taken in parts
 # Words of a run, and the numbers of words of a line for which such runs are keys. Similar lines are both within one range.
 RUNS = ((2, 4, (1 << 31) - 1),)
 RUN_KEY_BITS = 40  # of a run's hash; what meets by chance is compared and found different
@@ -166,12 +169,21 @@ def _words_of(wanted: DataFrame, docs: DataFrame, id_column: str, text_column: s
     return found.select("p.a", F.explode(F.array(line_words(F.col("p.line")))).alias("words"))
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str, folder: str | None = None) -> DataFrame:
-    """Of ``(x, y)`` pairs of distinct lines those whose words are similar by edit distance."""
+def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str, in_parts: bool = False) -> DataFrame:
+    """Of ``(x, y)`` pairs of distinct lines those whose words are similar by edit distance; ``in_parts`` they get their words part by part."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct().join(distinct.select("a", "first.*").dropDuplicates(["a"]), "a")
     found = _words_of(wanted, docs, id_column, text_column).select("a", _word_string(F.col("words")).alias("string"))
     strings = found.groupBy("a").agg(F.min("string").alias("string"))
-    strings = written(strings, folder) if folder else durable(strings)
+    if not in_parts:
+        return _near(pairs, durable(strings))
+    with passing_folder(docs.sparkSession, "line-words") as folder:
+        strings = written(strings, folder)
+        parts = min(shared_keys.PARTS, 1 + pairs.count() // PART_PAIRS)
+        near = [durable(_near(pairs.where(F.pmod(F.xxhash64("x"), F.lit(parts)) == part), strings)) for part in range(parts)]
+    return reduce(DataFrame.unionByName, near)
+
+
+def _near(pairs: DataFrame, strings: DataFrame) -> DataFrame:
     x, y = (strings.select(F.col("a").alias(n), F.col("string").alias(f"{n}_string")) for n in ("x", "y"))
     both = pairs.join(x, "x").join(y, "y")
     most = F.floor(F.greatest(F.length("x_string"), F.length("y_string")) * (1 - SIMILARITY) + 1e-9).cast("int")
@@ -218,7 +230,7 @@ def _frequent_runs(docs: DataFrame, id_column: str, text_column: str) -> Column:
     return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<long>")
 
 
-def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str, folder: str) -> DataFrame:
+def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(a, b)`` links that connect all distinct lines that are similar in words."""
     frequent = _frequent_runs(docs, id_column, text_column)
     wanted = distinct.where(F.col("n") >= RUNS[0][1]).select("a", "first.*")
@@ -238,12 +250,12 @@ def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column
         x, y = (marks.select([F.col(c).alias(f"{side}{c}") for c in marks.columns]) for side in ("x_", "y_"))
         both = pairs.join(x, F.col("a") == F.col("x_a")).join(y, F.col("b") == F.col("y_a"))
         both = both.where(_may_be_similar("x_", "y_", F.greatest("x_n", "y_n")))
-        return _verified(durable(both.select(F.col("a").alias("x"), F.col("b").alias("y"))), distinct, docs, id_column, text_column, folder)
+        return _verified(durable(both.select(F.col("a").alias("x"), F.col("b").alias("y"))), distinct, docs, id_column, text_column, in_parts=True)
 
     def alike(own: str, other: str) -> Column:
         return _may_be_similar(own, other, F.greatest(f"{own}n", f"{other}n"))
 
-    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", "k.rank"), may, verified, marks.drop("n"), alike, folder)
+    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", "k.rank"), may, verified, marks.drop("n"), alike)
 
 
 def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -300,7 +312,7 @@ def _dropped(seen: DataFrame, docs: DataFrame, id_column: str, text_column: str,
     bits = [F.min(c).alias(c) for c in ("bits_0", "bits_1") if folder]  # those of all its rows
     distinct = seen.groupBy("a", "simhash").agg(F.min(F.struct("id", "line", "copy")).alias("first"), F.max("n").alias("n"), F.count("*").alias("rows"), *bits)
     distinct = written(distinct, folder) if folder else durable(distinct)
-    links = _all_links(distinct, docs, id_column, text_column, folder) if folder else _line_links(distinct, docs, id_column, text_column)
+    links = (_all_links if folder else _line_links)(distinct, docs, id_column, text_column)
     groups = connected_components(links).withColumnRenamed("node", "a")
     named = distinct.join(groups, "a", "left").select("a", "simhash", "first", "rows", "component")
     kept = named.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))

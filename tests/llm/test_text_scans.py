@@ -231,7 +231,7 @@ def test_pipeline_line_dedup_leaves_no_shuffle_files_or_scratch_columns(spark):
     def kept():
         local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
         shuffled = {f for d in local for f in Path(d).rglob("shuffle_*.data")}
-        return shuffled, {f for f in Path(shared_folder(spark).removeprefix("file:")).iterdir() if f.name.startswith(("line-dedup", "shared-keys", "columns", "key-part"))}
+        return shuffled, {f for f in Path(shared_folder(spark).removeprefix("file:")).iterdir() if f.name.startswith(("line-dedup", "key-part", "line-words"))}
 
     words = [f"w{i} x{i % 7} y{i} z{i % 5} v{i}" for i in range(40)]
     docs = spark.createDataFrame([(i, f"{w}\n{w} more\nplain words {i % 3} again and again") for i, w in enumerate(words)], "doc_id long, text string")
@@ -260,6 +260,7 @@ def test_pipeline_links_the_same_lines_when_keys_are_taken_in_parts(spark, monke
 
     whole = gone()
     monkeypatch.setattr(shared_keys, "PART_ROWS", 20)
+    monkeypatch.setattr(lines, "PART_PAIRS", 5)
     assert len(whole) > 12 and gone() == whole
 
 
