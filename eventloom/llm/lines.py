@@ -10,7 +10,8 @@
 
 With ``every_pair`` the hash and its bits do not matter: all lines that are similar by edit distance link.
 One edit of a word changes at most q of a line's runs of q words, so similar lines share one of
-their first runs in one order (see ``shared_keys``), and those are the join keys of step 2.
+their first runs in one order (see ``shared_keys``), and those are the join keys of step 2. That run also stands
+at places that so few edits can bring together.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, bits
 BROADCAST_ROWS = 200_000  # of three numbers each, and as many in their lists; longer ones are joined by shuffle
 PART_PAIRS = 500_000  # that get their words at a time, if they are taken in parts
 # Words of a run, and the numbers of words of a line for which such runs are keys. Similar lines are both within one range.
-RUNS = ((2, 4, (1 << 31) - 1),)
+RUNS = ((2, 4, 6), (3, 6, (1 << 31) - 1))
 RUN_KEY_BITS = 40  # of a run's hash; what meets by chance is compared and found different
 FREQUENT_LONGS = 16_384  # 64 bits each, one for each hash of runs; set for frequent ones
+# 128 groups of words by hash, in two numbers for each of: those that a line has at all, at least twice, and so on.
+TIMES = 3
+MARK_COLUMNS = tuple(f"bits_{times}_{half}" for times in range(TIMES) for half in range(2))
 
 
 def line_words(line: Column) -> Column:
@@ -119,25 +123,37 @@ def _word_string(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
 
-def _word_bits(words: Column) -> list[Column]:
-    """128 bits as two numbers: those that the hashes of the words pick."""
+def _word_bits(words: Column) -> Column:
+    """MARK_COLUMNS of a line in a struct; words that occur again count again."""
+    nothing = F.lit(0).cast("long")
 
-    def half(high: int) -> Column:
-        def bit(w: Column) -> Column:
-            h = F.xxhash64(w)
-            return F.when(F.shiftright(h, 6).bitwiseAND(F.lit(1)) == high, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    def half(groups: Column, high: int) -> Column:
+        def bit(g: Column) -> Column:
+            return F.when(F.shiftright(g, 6) == high, F.call_function("shiftleft", F.lit(1).cast("long"), g.bitwiseAND(F.lit(63)))).otherwise(nothing)
 
-        return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(bit(w)))
+        return F.aggregate(groups, nothing, lambda bits, g: bits.bitwiseOR(bit(g)))
 
-    return [half(0).alias("bits_0"), half(1).alias("bits_1")]
+    def marks(groups: Column, times: int) -> Column:
+        """Those of sorted groups, and then of what is left without the first of each."""
+        own = [half(groups, high).alias(f"bits_{times}_{high}") for high in range(2)]
+        if times == TIMES - 1:
+            return F.struct(*own)
+        again = F.filter(groups, lambda g, i: F.get(groups, i - 1) == g)
+        rest = F.transform(F.array(again), lambda left: marks(left, times + 1))[0]
+        return F.struct(*own, *[rest[c].alias(c) for c in MARK_COLUMNS[2 * (times + 1) :]])
 
+    groups = F.sort_array(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(127)).cast("int")))
+    # Through an array of one, so that groups are sorted once and not for each use of them.
+    return F.transform(F.array(groups), lambda g: marks(g, 0))[0]
 
-def _may_be_similar(own: str, other: str, longest: Column) -> Column:
+
+def _may_be_similar(own: str, other: str) -> Column:
     """One edit takes at most one word away and adds at most one, so that each line lacks at most as many bits of the other's as edits are allowed."""
 
     def lacking(x: str, y: str) -> Column:
-        return sum((F.bit_count(F.col(f"{x}bits_{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}bits_{i}")))) for i in range(2)), F.lit(0))
+        return sum((F.bit_count(F.col(f"{x}{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}{c}")))) for c in MARK_COLUMNS), F.lit(0))
 
+    longest = F.greatest(f"{own}n", f"{other}n")
     return (lacking(own, other) * 5 <= longest) & (lacking(other, own) * 5 <= longest)
 
 
@@ -198,19 +214,31 @@ def _runs(words: Column, length: int) -> Column:
 
 
 def _run_keys(words: Column, length: int, frequent: Column) -> Column:
-    """``(rank, key)`` of the first distinct runs, frequent ones last: one more than edits that leave the similarity can change."""
+    """``(key, at)`` of the first distinct runs, frequent ones last: one more than edits that leave the similarity can change.
+
+    ``at`` is the place of the run in the line, unknown if it stands there again.
+    """
 
     def order(h: Column) -> Column:
         at = F.pmod(h, F.lit(FREQUENT_LONGS * 64))
         last = F.getbit(frequent[F.shiftright(at, 6).cast("int")], at.bitwiseAND(F.lit(63)).cast("int")).cast("long")
         return F.shiftrightunsigned(h, 64 - RUN_KEY_BITS).bitwiseOR(F.shiftleft(last, RUN_KEY_BITS))
 
+    def once(runs: Column) -> Column:
+        def placed(run: Column, i: Column) -> Column:
+            again = F.get(runs, i + 1)["key"] == run["key"]
+            later = F.coalesce(F.get(runs, i - 1)["key"] == run["key"], F.lit(False))
+            return F.struct(run["key"].alias("key"), F.when(again, shared_keys.UNKNOWN).otherwise(run["at"]).alias("at"), later.alias("later"))
+
+        return F.filter(F.transform(runs, placed), lambda run: ~run["later"])
+
     # A fifth of the longer line's words may differ. A word put into the shorter one changes a run less than others do,
     # so that a longer partner matters only where it allows one edit more for few such words.
     fifths, left = F.floor(F.size(words) / 5).cast("int"), F.size(words) % 5
     first = fifths * length + F.greatest(F.lit(0), left - (5 - length)) + 1
-    ordered = F.slice(F.sort_array(F.array_distinct(F.transform(_runs(words, length), order))), F.lit(1), first)
-    return F.transform(ordered, lambda key, i: F.struct(i.alias("rank"), key.alias("key")))
+    runs = F.sort_array(F.transform(_runs(words, length), lambda h, i: F.struct(order(h).alias("key"), i.alias("at"))))
+    # Through an array of one, so that runs are sorted once and not for each use of them.
+    return F.slice(F.transform(F.array(runs), once)[0], F.lit(1), first)
 
 
 def _by_length(words: Column, keys) -> Column:
@@ -239,23 +267,21 @@ def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column
         "a", F.size(words).alias("n"), F.explode(_by_length(words, lambda q: _run_keys(words, q, frequent))).alias("k")
     )
 
-    def may(n: Column, rank: Column, other_n: Column, other_rank: Column) -> Column:
-        longest = F.greatest(n, other_n)
-        changed = F.floor(longest / 5) * RUNS[0][0]
-        return (F.least(n, other_n) * 5 >= longest * 4) & (rank <= changed - (longest - n)) & (other_rank <= changed - (longest - other_n))
+    def may(n: Column, at: Column, other_n: Column, other_at: Column) -> Column:
+        # So many edits at least are before the run that both lines keep, and after it.
+        longest, edits = F.greatest(n, other_n), F.abs(at - other_at) + F.abs((n - at) - (other_n - other_at))
+        unknown = F.greatest(at, other_at) == shared_keys.UNKNOWN
+        return (F.least(n, other_n) * 5 >= longest * 4) & (unknown | (edits * 5 <= longest))
 
-    marks = distinct.select("a", "n", "bits_0", "bits_1")
+    marks = distinct.select("a", "n", *MARK_COLUMNS)
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = (marks.select([F.col(c).alias(f"{side}{c}") for c in marks.columns]) for side in ("x_", "y_"))
         both = pairs.join(x, F.col("a") == F.col("x_a")).join(y, F.col("b") == F.col("y_a"))
-        both = both.where(_may_be_similar("x_", "y_", F.greatest("x_n", "y_n")))
+        both = both.where(_may_be_similar("x_", "y_"))
         return _verified(durable(both.select(F.col("a").alias("x"), F.col("b").alias("y"))), distinct, docs, id_column, text_column, in_parts=True)
 
-    def alike(own: str, other: str) -> Column:
-        return _may_be_similar(own, other, F.greatest(f"{own}n", f"{other}n"))
-
-    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", "k.rank"), may, verified, marks.drop("n"), alike)
+    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", F.col("k.at").alias("rank")), may, verified, marks.drop("n"), _may_be_similar)
 
 
 def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -293,7 +319,8 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     with passing_folder(docs.sparkSession, "line-dedup") as folder:
         columns = F.xxhash64("words").alias("a"), F.size("words").cast("long").alias("n"), F.lit(0).cast("long").alias("simhash")
         seen = _occurrences(docs, id_column, text_column).where(F.size("words") > 0)
-        seen = written(seen.select("id", "copy", "line", *columns, *_word_bits(F.col("words"))), folder)
+        seen = seen.select("id", "copy", "line", *columns, F.explode(F.array(_word_bits(F.col("words")))).alias("marks"))
+        seen = written(seen.select("*", "marks.*").drop("marks"), folder)
         return durable(_dropped(seen, docs, id_column, text_column, folder))
 
 
@@ -309,7 +336,7 @@ def _hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def _dropped(seen: DataFrame, docs: DataFrame, id_column: str, text_column: str, folder: str | None = None) -> DataFrame:
     """The list of ``dropped_lines`` from all lines; with a folder, which takes what is written on the way, all pairs link."""
-    bits = [F.min(c).alias(c) for c in ("bits_0", "bits_1") if folder]  # those of all its rows
+    bits = [F.min(c).alias(c) for c in MARK_COLUMNS if folder]  # those of all its rows
     distinct = seen.groupBy("a", "simhash").agg(F.min(F.struct("id", "line", "copy")).alias("first"), F.max("n").alias("n"), F.count("*").alias("rows"), *bits)
     distinct = written(distinct, folder) if folder else durable(distinct)
     links = (_all_links if folder else _line_links)(distinct, docs, id_column, text_column)
@@ -319,7 +346,7 @@ def _dropped(seen: DataFrame, docs: DataFrame, id_column: str, text_column: str,
     # Only lines that occur again, or are like another, can have something to drop.
     named = named.where("rows > 1 or component is not null").join(kept, "component", "left")
     named = durable(named.select("a", "simhash", F.coalesce("kept", "first").alias("kept")))
-    again = seen.drop("bits_0", "bits_1").join(named, ["a", "simhash"]).where(F.struct("id", "line", "copy") != F.col("kept"))
+    again = seen.drop(*MARK_COLUMNS).join(named, ["a", "simhash"]).where(F.struct("id", "line", "copy") != F.col("kept"))
     return again.groupBy("id", "copy").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 

@@ -26,7 +26,7 @@ BROADCAST_ROWS = 200_000  # rows of connected groups that are sent to all tasks
 # Keys left to compare in full are taken in so many parts at most, one for so many rows, so that only one part of them is shuffled at a time.
 PARTS, PART_ROWS = 16, 4_000_000
 
-# A key, its row's n and its rank travel in one number; an n or rank that fills its bits is unknown and rules nothing out.
+# A key, its row's n and its rank travel in one number; an n or rank that fills its bits is unknown. An unknown n rules nothing out; a rank is unknown only where n or its place is.
 SMALL_BITS = 10
 UNKNOWN = (1 << SMALL_BITS) - 1
 
@@ -51,9 +51,10 @@ def links_by_keys(
 ) -> DataFrame:
     """``(a, b)`` links that connect all similar rows of ``keyed(key, a, n, rank)``.
 
-    ``may(n, rank, other_n, other_rank)`` is false only where two rows cannot be similar with that
-    key as the first they share. ``verified`` gives of pairs ``(a, b)`` those that are similar.
-    First each row is compared with the smallest of each of its keys. What that leaves apart
+    ``rank`` is a small number of the key in its row, as its rank or place. ``may(n, rank, other_n, other_rank)``
+    is false only where two rows cannot be similar by that key; it is not asked if n is unknown. ``verified`` gives of pairs ``(a, b)`` those that are similar.
+    First each row is compared with the smallest of each of its keys, and with one that the key's hash picks, so that
+    rows of a dense group meet many others. What that leaves apart
     is compared with all rows of the key that are not yet connected to it. ``marks(a, ...)`` has columns
     of each row from which ``alike(own, other)``, given the prefixes of their names, tells cheaply that two rows
     cannot be similar; such pairs are not written down.
@@ -63,8 +64,7 @@ def links_by_keys(
         return F.least(F.col(name).cast("long"), F.lit(UNKNOWN))
 
     def possible(n: Column, rank: Column, other_n: Column, other_rank: Column) -> Column:
-        unknown = F.greatest(n, rank, other_n, other_rank) == UNKNOWN
-        return unknown | may(n, rank, other_n, other_rank)
+        return (F.greatest(n, other_n) == UNKNOWN) | may(n, rank, other_n, other_rank)
 
     # Most keys occur once, so that their rows are what is shuffled most: two numbers each.
     packed = F.shiftleft(F.col("key"), 2 * SMALL_BITS).bitwiseOR(F.shiftleft(small("n"), SMALL_BITS)).bitwiseOR(small("rank"))
@@ -73,13 +73,22 @@ def links_by_keys(
     dealt = keyed.select(packed.alias("packed"), "a").repartition(key)
     rows = dealt.select(key.alias("key"), "a", F.shiftrightunsigned("packed", SMALL_BITS).bitwiseAND(F.lit(UNKNOWN)).alias("n"), low.alias("rank"))
     same = Window.partitionBy("key")
-    shared = rows.select("*", F.count("*").over(same).alias("rows"), F.min(F.struct("a", "n", "rank")).over(same).alias("least"))
-    near = (F.col("a") != F.col("least.a")) & possible(F.col("n"), F.col("rank"), F.col("least.n"), F.col("least.rank"))
+    beside = same.orderBy(F.xxhash64("a", "key"))  # another order for each key
+    shared = rows.select("*", F.lag(F.struct("a", "n", "rank")).over(beside).alias("before"))
+    shared = shared.select("*", F.count("*").over(same).alias("rows"), F.min(F.struct("a", "n", "rank")).over(same).alias("least"))
+
+    def near(other: str) -> Column:
+        far = (F.col("a") == F.col(f"{other}.a")) | ~possible(F.col("n"), F.col("rank"), F.col(f"{other}.n"), F.col(f"{other}.rank"))
+        return F.when(~far, F.col(f"{other}.a"))
+
     # Where two rows share a key, that pair is all there is to compare.
-    shared = shared.select("key", "a", F.col("n").cast("short"), F.col("rank").cast("short"), (F.col("rows") > 2).alias("several"), F.col("least.a").alias("least"), near.alias("near"))
+    several = F.col("rows") > 2
+    others = F.array_compact(F.array(near("least"), F.when(several, near("before")))).alias("others")
+    shared = shared.select("key", "a", F.col("n").cast("short"), F.col("rank").cast("short"), several.alias("several"), F.col("least.a").alias("least"), others)
     with passing_folder(keyed.sparkSession, "shared-keys") as folder:
-        shared = written(shared.where("near or several"), folder)
-        first = durable(shared.where("near").select("a", F.col("least").alias("b")).distinct())
+        shared = written(shared.where("several or size(others) > 0"), folder)
+        first = shared.select("a", F.explode("others").alias("b"))
+        first = durable(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         links = durable(verified(first))
 
         groups = durable(connected_components(links).withColumnRenamed("node", "a"))
@@ -100,7 +109,8 @@ def links_by_keys(
             pairs = pairs.select(*[F.col(f"own.{c}").alias(c) for c in columns], *[F.col(f"other.{c}").alias(f"other_{c}") for c in columns])
             pairs = pairs.where((F.col("group") < F.col("other_group")) & possible(F.col("n"), F.col("rank"), F.col("other_n"), F.col("other_rank")))
             pairs = pairs.where(alike("", "other_")) if names else pairs
-            return pairs.select("a", F.col("other_a").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+            pairs = pairs.select(F.greatest("a", "other_a").alias("a"), F.least("a", "other_a").alias("b")).distinct()
+            return pairs.join(first, ["a", "b"], "left_anti")
 
         found = []
         for part in range(parts):

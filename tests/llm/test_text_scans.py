@@ -7,6 +7,7 @@ import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventloom.llm import lines, secrets, shared_keys
@@ -264,6 +265,35 @@ def test_pipeline_links_the_same_lines_when_keys_are_taken_in_parts(spark, monke
     assert len(whole) > 12 and gone() == whole
 
 
+def test_pipeline_compares_few_long_lines_of_the_same_words(spark, monkeypatch):
+    """Lines of 300 words out of 250 share most words and many runs, but at other places and other numbers of times."""
+    rng = random.Random(6)
+    rows = [[f"w{rng.randrange(250)}" for _ in range(300)] for _ in range(40)]
+    rows.append([*rows[7][:100], "put", "in", *rows[7][120:]])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    compared, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *rest, **how: compared.append(pairs.count()) or verified(pairs, *rest, **how))
+    assert [r.id for r in lines.dropped_lines(docs, every_pair=True).collect()] == [40]
+    assert sum(compared) < 80
+
+
+def test_marks_lack_no_more_than_lines_differ(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in (1, 5, 40, 400):
+        words = [f"w{rng.randrange(n)}" for _ in range(n)]
+        edited = list(words)
+        for _ in range(n // 5):
+            at, kind = rng.randrange(len(edited)), rng.randrange(3)
+            edited[at : at + (kind != 0)] = [f"w{rng.randrange(n)}"] if kind != 1 else []
+        rows.append((words, edited, len(words), len(edited)))
+    table = spark.createDataFrame(rows, "words array<string>, edited array<string>, x_n long, y_n long")
+    for side, words in (("x_", "words"), ("y_", "edited")):
+        marks = lines._word_bits(F.col(words)).alias("m")
+        table = table.select("*", marks).select("*", *[F.col(f"m.{c}").alias(f"{side}{c}") for c in lines.MARK_COLUMNS]).drop("m")
+    assert [r.alike for r in table.select(lines._may_be_similar("x_", "y_").alias("alike")).collect()] == [True] * 4
+
+
 def test_lines_are_cut_at_all_white_space(spark):
     docs = spark.createDataFrame([(1, "one\ttwo\tthree\tfour"), (2, "One two\u00a0three four\r")], "doc_id long, text string")
     assert {r.doc_id: r.dropped for r in lines.dedup_lines(docs).collect()} == {1: [], 2: [0]}
