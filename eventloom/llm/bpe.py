@@ -1,7 +1,7 @@
 """BPE encoding and decoding with batched merge rounds in numpy.
 
 Symbols of many words lie in one flat array. Each round finds, for every word,
-its lowest-ranked pair by binary search over the sorted pair keys, and merges all
+its lowest-ranked pair in a table by hash of the pair keys, and merges all
 places of that pair at once; finished words leave the array. Chunks of text that
 tokenise alone (white space and the word after it) are kept by task, so that a
 frequent chunk is merged once.
@@ -32,6 +32,7 @@ MARKS = frozenset(".,;:!?|*$%&#")
 # Marks at the end of a chunk, after a letter or digit of Latin texts: no pattern takes them together with what is before them.
 _LAST_MARKS = re.compile(r"([.,;:!?|*$%&#](?<=[^\W_].)[.,;:!?|*$%&#]*)(?![^ \t\n\r])")
 NO_RANK = np.int32(2**31 - 1)
+SLOT_BITS, SEVERAL = 20, -2  # slots of pairs by hash; those of several pairs say so, and these are searched for in order
 # White space as the tokenizers' patterns see it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The word patterns of the two byte-level tokenizers.
@@ -65,6 +66,10 @@ class Vocabulary:
         keys, first = np.unique(keys[::-1], return_index=True)  # of a pair listed twice the later counts
         order = len(merges) - 1 - first
         self.pair_keys, self.pair_ranks, self.pair_made = keys, order.astype(np.int32), made[order]
+        slots = self._slot(keys)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slots[slots] = np.arange(len(keys))
+        self.slots[np.bincount(slots, minlength=1 << SLOT_BITS) > 1] = SEVERAL
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         byte = {c: b for b, c in enumerate(letters)}
@@ -89,14 +94,14 @@ class Vocabulary:
         if self._chunk is not None:
             return self._chunk.findall(text)
         # Letters of Latin scripts lower alike here and there, and so do fewer chunks need merging.
-        if not _BEYOND_LATIN.search(text):
+        if text.isascii() or not _BEYOND_LATIN.search(text):
             text = _LAST_MARKS.sub(r" \1", text.lower())
         return text.encode().split()
 
     def words(self, chunk: str | bytes) -> list:
         """The words of a chunk, as the tokenizer's patterns cut them, in the chunk's type."""
         text = chunk.decode() if self.lower else chunk
-        if not _BEYOND_LATIN.search(text):
+        if text.isascii() or not _BEYOND_LATIN.search(text):
             text = text.lower() if self.lower else text
             start = 1 if text[0] == " " else 0
             if text[start:].isalpha():  # most chunks are a word and perhaps a mark
@@ -117,8 +122,14 @@ class Vocabulary:
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair and its place in the table; NO_RANK where it is none."""
         keys = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_RANK), at.astype(np.int32)
+        at = self.slots[self._slot(keys)]
+        if (several := at == SEVERAL).any():
+            at[several] = np.minimum(np.searchsorted(self.pair_keys, keys[several]), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_RANK), at
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word (none empty), as little-endian unsigned 32-bit integers."""
@@ -178,7 +189,7 @@ class Vocabulary:
         new: dict = {}
         if self.lower:  # most chunks are a word in lower case already
             texts = b"\n".join(fresh).decode().split("\n")  # in the same order
-            words = {c for c, t in zip(fresh, texts, strict=True) if t.isalpha() and t.islower() and not _BEYOND_LATIN.search(t)}
+            words = {c for c, t in zip(fresh, texts, strict=True) if t.isalpha() and t.islower() and (t.isascii() or not _BEYOND_LATIN.search(t))}
             new = dict.fromkeys(words)
             fresh = fresh - words
         for chunk in fresh:

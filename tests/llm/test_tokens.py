@@ -135,3 +135,18 @@ def test_packing_odd_rows_and_weights(spark, tiny):
     assert {(r.sequence, r.offset + i) for r in found for i in range(r.length)} == {divmod(i, 64) for i in range(total)}
     assert all(len(r.ids) == 4 * r.length for r in found)
     assert packing.pack(empty(tiny), path).count() == 0
+
+
+def test_ranks_of_pairs_that_share_a_slot(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as file:
+        content = file.read()
+    usual = bpe.Vocabulary(content)
+    left, right = np.divmod(usual.pair_keys, 1 << 32)
+    monkeypatch.setattr(bpe, "SLOT_BITS", 12)
+    crowded = bpe.Vocabulary(content)
+    assert (crowded.slots == bpe.SEVERAL).sum() > 4000 > (usual.slots == bpe.SEVERAL).sum() > 0
+    for vocabulary, bits in ((usual, 20), (crowded, 12)):
+        monkeypatch.setattr(bpe, "SLOT_BITS", bits)
+        assert (vocabulary._ranks(left, right)[0] == vocabulary.pair_ranks).all()
+        known = np.isin(right << 32 | left, usual.pair_keys)
+        assert ((vocabulary._ranks(right, left)[0] != bpe.NO_RANK) == known).all()
