@@ -40,6 +40,13 @@ FREQUENT_LONGS = 16_384  # 64 bits each, one for each hash of runs; set for freq
 TIMES = 3
 MARK_COLUMNS = tuple(f"bits_{times}_{half}" for times in range(TIMES) for half in range(2))
 
+# 256 groups in four numbers each, of those that a line has at all, at least twice and three times; and the same groups
+# by 64 in a number for each of LEVELS: those that it has at least so many times.
+FINE_GROUPS = 256
+LEVELS = tuple(1 << power for power in range(2, 13))
+FINE_COLUMNS = tuple(f"fine_{times}_{quarter}" for times in range(1, TIMES + 1) for quarter in range(4))
+LEVEL_COLUMNS = tuple(f"level_{least}" for least in LEVELS)
+
 
 def line_words(line: Column) -> Column:
     """Lower-case words between white space of any kind."""
@@ -157,6 +164,54 @@ def _may_be_similar(own: str, other: str) -> Column:
     return (lacking(own, other) * 5 <= longest) & (lacking(other, own) * 5 <= longest)
 
 
+def _word_levels(words: Column) -> Column:
+    """FINE_COLUMNS and LEVEL_COLUMNS of a line as one array of numbers."""
+    # Every group once more than it occurs, so that each has a first place among the sorted ones.
+    own = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(FINE_GROUPS - 1)).cast("int"))
+    every = F.sort_array(F.concat(own, F.sequence(F.lit(0), F.lit(FINE_GROUPS - 1))))
+
+    def starts(g: Column) -> Column:
+        return F.array_compact(F.transform(g, lambda x, i: F.when(~F.get(g, i - 1).eqNullSafe(x), i)))
+
+    def counts(at: Column) -> Column:
+        return F.transform(at, lambda p, i: F.coalesce(F.get(at, i + 1), F.size(words) + FINE_GROUPS) - p - 1)
+
+    def summed(c: Column) -> Column:
+        return F.concat(c, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: c[i] + c[i + 64] + c[i + 128] + c[i + 192]))
+
+    def levels(c: Column) -> Column:
+        nothing, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+        def bits(first: int, least: int) -> Column:
+            def bit(i: Column) -> Column:
+                return F.when(c[i + first] >= least, F.call_function("shiftleft", one, i)).otherwise(nothing)
+
+            return F.aggregate(F.sequence(F.lit(0), F.lit(63)), nothing, lambda total, i: total.bitwiseOR(bit(i)))
+
+        fine = [bits(64 * quarter, times) for times in range(1, TIMES + 1) for quarter in range(4)]
+        return F.array(*fine, *[bits(FINE_GROUPS, least) for least in LEVELS])
+
+    # Each step through an array of one, so that it is done once and not for each use of it.
+    return reduce(lambda column, step: F.transform(F.array(column), step)[0], [starts, counts, summed, levels], every)
+
+
+def _levels_allow(own: str, other: str, size: str) -> Column:
+    """Each edit takes at most one word away and adds at most one, so that words that a line has more of are no more than the edits.
+
+    A group at one of LEVELS, that the other line has fewer times than the level before, has as many words more as lie between the two.
+    """
+
+    def lacking(x: str, y: str, pairs) -> Column:
+        return sum((F.bit_count(F.col(f"{x}{a}").bitwiseAND(F.bitwise_not(F.col(f"{y}{b}")))) * more for a, b, more in pairs), F.lit(0))
+
+    fine = [(c, c, 1) for c in FINE_COLUMNS]
+    steps = zip(LEVEL_COLUMNS[1:], LEVEL_COLUMNS, LEVELS[1:], LEVELS, strict=False)
+    often = [(LEVEL_COLUMNS[0], LEVEL_COLUMNS[0], 1), *[(c, before, least - less) for c, before, least, less in steps]]
+    longest = F.greatest(f"{own}{size}", f"{other}{size}")
+    allowed = [lacking(x, y, pairs) * 5 <= longest for pairs in (fine, often) for x, y in ((own, other), (other, own))]
+    return reduce(Column.__and__, allowed)
+
+
 def _bounded(places: DataFrame) -> DataFrame:
     """Marked for broadcast if counted and short, with all that its lists hold; otherwise its rows are held and what it meets is not sorted."""
     size = places.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
@@ -281,7 +336,18 @@ def _all_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column
         both = both.where(_may_be_similar("x_", "y_"))
         return _verified(durable(both.select(F.col("a").alias("x"), F.col("b").alias("y"))), distinct, docs, id_column, text_column, in_parts=True)
 
-    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", F.col("k.at").alias("rank")), may, verified, marks.drop("n"), _may_be_similar)
+    def counted(lines: DataFrame) -> DataFrame:
+        # The number of words in full: the one that goes with a key is unknown for long lines.
+        found = _words_of(lines.join(distinct.select("a", "first.*"), "a"), docs, id_column, text_column)
+        levels = found.select("a", F.size("words").alias("size"), F.explode(F.array(_word_levels(F.col("words")))).alias("levels"))
+        columns = [F.col("levels")[i].alias(c) for i, c in enumerate((*FINE_COLUMNS, *LEVEL_COLUMNS))]
+        return levels.select("a", "size", *columns).dropDuplicates(["a"])
+
+    def alike(own: str, other: str) -> Column:
+        close = F.least(f"{own}size", f"{other}size") * 5 >= F.greatest(f"{own}size", f"{other}size") * 4
+        return close & _levels_allow(own, other, "size")
+
+    return shared_keys.links_by_keys(keyed.select("k.key", "a", "n", F.col("k.at").alias("rank")), may, verified, counted, alike)
 
 
 def _line_links(distinct: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -24,7 +24,7 @@ FREQUENT_ROWS, FREQUENT_LISTED = 2, 100_000
 BROADCAST_ROWS = 200_000  # rows of connected groups that are sent to all tasks if counted to be no more
 
 # Keys left to compare in full are taken in so many parts at most, one for so many rows, so that only one part of them is shuffled at a time.
-PARTS, PART_ROWS = 16, 4_000_000
+PARTS, PART_ROWS = 16, 1_000_000
 
 # A key, its row's n and its rank travel in one number; an n or rank that fills its bits is unknown. An unknown n rules nothing out; a rank is unknown only where n or its place is.
 SMALL_BITS = 10
@@ -46,17 +46,19 @@ def links_by_keys(
     keyed: DataFrame,
     may: Callable[..., Column],
     verified: Callable[[DataFrame], DataFrame],
-    marks: DataFrame | None = None,
+    marks: Callable[[DataFrame], DataFrame] | None = None,
     alike: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """``(a, b)`` links that connect all similar rows of ``keyed(key, a, n, rank)``.
 
     ``rank`` is a small number of the key in its row, as its rank or place. ``may(n, rank, other_n, other_rank)``
-    is false only where two rows cannot be similar by that key; it is not asked if n is unknown. ``verified`` gives of pairs ``(a, b)`` those that are similar.
+    is false only where two rows cannot be similar by that key, and looks at ranks only for how far they are apart;
+    it is not asked if n is unknown. ``verified`` gives of pairs ``(a, b)`` those that are similar.
     First each row is compared with the smallest of each of its keys, and with one that the key's hash picks, so that
     rows of a dense group meet many others. What that leaves apart
-    is compared with all rows of the key that are not yet connected to it. ``marks(a, ...)`` has columns
-    of each row from which ``alike(own, other)``, given the prefixes of their names, tells cheaply that two rows
+    is compared with all rows of the key that are not yet connected to it, at the first of several keys that two rows
+    have in common one after the other. ``marks`` gives for rows ``(a)`` those with further columns
+    from which ``alike(own, other)``, given the prefixes of their names, tells cheaply that two rows
     cannot be similar; such pairs are not written down.
     """
 
@@ -93,8 +95,6 @@ def links_by_keys(
 
         groups = durable(connected_components(links).withColumnRenamed("node", "a"))
         groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
-        names = [c for c in marks.columns if c != "a"] if marks is not None else []
-        columns = ["a", "n", "rank", "group", *names]
         left = shared.where("a <> least and several")
         parts = min(PARTS, 1 + left.count() // PART_ROWS)
 
@@ -103,12 +103,23 @@ def links_by_keys(
             placed = placed.select("key", "a", "n", "rank", F.coalesce("component", "a").alias("group"))
             mixed = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
             placed = placed.join(mixed, "key")
-            placed = written((placed.join(marks, "a") if names else placed).select("key", *columns), scratch)
+            # The key before in the same row and how far it is off, in one number. Where two rows have the same, they also meet at that key.
+            last = F.lag(F.struct("key", "rank")).over(Window.partitionBy("a").orderBy("rank", "key"))
+            off = F.shiftleft(last["key"], SMALL_BITS).bitwiseOR((F.col("rank") - last["rank"]).cast("long"))
+            placed = placed.select("*", F.when(F.col("rank") < UNKNOWN, off).alias("last"))
+            if marks is not None:
+                placed = written(placed, scratch)
+                marked = marks(placed.select("a").distinct())
+                placed = placed.join(marked, "a")
+            placed = written(placed, scratch)
+            columns = [c for c in placed.columns if c != "key"]
             # Both sides of the join are the same shuffle; names differ only above it.
             pairs = placed.alias("own").join(placed.alias("other"), F.col("own.key") == F.col("other.key"))
             pairs = pairs.select(*[F.col(f"own.{c}").alias(c) for c in columns], *[F.col(f"other.{c}").alias(f"other_{c}") for c in columns])
-            pairs = pairs.where((F.col("group") < F.col("other_group")) & possible(F.col("n"), F.col("rank"), F.col("other_n"), F.col("other_rank")))
-            pairs = pairs.where(alike("", "other_")) if names else pairs
+            # In one condition, what is cheap and rules out most first.
+            asked = (F.col("group") < F.col("other_group")) & possible(F.col("n"), F.col("rank"), F.col("other_n"), F.col("other_rank"))
+            asked = asked & (F.col("last").isNull() | ~F.col("last").eqNullSafe(F.col("other_last")))
+            pairs = pairs.where(asked & alike("", "other_") if marks is not None else asked)
             pairs = pairs.select(F.greatest("a", "other_a").alias("a"), F.least("a", "other_a").alias("b")).distinct()
             return pairs.join(first, ["a", "b"], "left_anti")
 

@@ -320,3 +320,74 @@ def test_lines_of_more_words_than_lanes_count_get_the_same_hash(spark, monkeypat
     monkeypatch.setattr(lines, "MOST_WORDS", 100)
     long = {r.i: r.simhash for r in lines.add_simhash(table, "i", longest=True).collect()}
     assert long == {1: usual[1]}
+
+
+def test_word_counts_lack_no_more_than_lines_differ_and_tell_repeated_words_apart(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in (1, 5, 70, 1500):
+        words = [f"w{rng.randrange(n)}" for _ in range(n)]
+        edited = list(words)
+        for _ in range(n // 5):
+            at, kind = rng.randrange(len(edited)), rng.randrange(3)
+            edited[at : at + (kind != 0)] = [f"w{rng.randrange(n)}"] if kind != 1 else []
+        rows.append((words, edited, True))
+    # Beyond three times marks say nothing; a level tells how many are lacking from the one before it.
+    rows += [(["a"] * 40 + ["b"] * 60, ["a"] * 60 + ["b"] * 40, True), (["a"] * 300 + ["b"] * 3, ["a"] * 3 + ["b"] * 300, False)]
+    rows += [([f"a{i}" for i in range(252)], [f"b{i}" for i in range(252)], False), (["a"] * 4000, ["b"] * 4000, False)]
+    rows += [([], [], True), (["a"], ["b"], False)]
+    table = spark.createDataFrame(rows, "words array<string>, edited array<string>, allowed boolean")
+    for side, words in (("x_", "words"), ("y_", "edited")):
+        levels = F.explode(F.array(lines._word_levels(F.col(words)))).alias("l")
+        named = [F.col("l")[i].alias(f"{side}{c}") for i, c in enumerate((*lines.FINE_COLUMNS, *lines.LEVEL_COLUMNS))]
+        table = table.select("*", F.size(words).alias(f"{side}size"), levels).select("*", *named).drop("l")
+    found = [r.alike for r in table.select(lines._levels_allow("x_", "y_", "size").alias("alike")).collect()]
+    assert found == [r[2] for r in rows]
+
+
+def _pairs_compared(monkeypatch, docs):
+    compared, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *rest, **how: compared.append(pairs.count()) or verified(pairs, *rest, **how))
+    return [r.id for r in lines.dropped_lines(docs, every_pair=True).collect()], compared
+
+
+def test_pipeline_compares_few_lines_of_words_repeated_many_times(spark, monkeypatch):
+    """Lines of over 1023 words too, of which a key does not tell the number of words."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        each = rng.choice((16, 20, 24, 150, 300))
+        rows.append([w for w in ("the", "of", *[f"w{i}x{k}" for k in range(rng.randrange(5, 8))]) for _ in range(each)])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    gone, compared = _pairs_compared(monkeypatch, docs)
+    assert gone == [] and sum(compared[1:]) < 20  # those after the first of each key
+
+
+def test_pipeline_links_long_lines_that_lack_many_marks(spark):
+    """Of 5000 words 300 differ, which is allowed, though not to lines of 1023 words."""
+    frame = [w for i in range(47) for w in [f"c{i}"] * 100]
+    rows = [[*frame, *[f"own{n}x{i}" for i in range(300)]] for n in range(4)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r.id for r in lines.dropped_lines(docs, every_pair=True).collect()) == [1, 2, 3]
+
+
+def test_no_pair_of_rows_that_share_keys_in_a_row_is_lost(spark):
+    rng = random.Random(2)
+    rows = []
+    for a in range(30):
+        at = rng.randrange(5)
+        rows += [(100 + k, a, 60, at + k) for k in range(20)]  # the passage, shifted
+        rows += [(200 + k, a, 60, 30 + k) for k in range(10) if (a >> k % 5) & 1]  # parts of another
+        rows += [(300 + a % 7, a, 60, shared_keys.UNKNOWN), (400 + a % 3, a, 60, 50)]
+    keyed = spark.createDataFrame(rows, "key long, a long, n int, rank int")
+    asked = []
+
+    def verified(pairs):
+        asked.append({(r.a, r.b) for r in pairs.collect()})
+        return pairs.where("false")
+
+    shared_keys.links_by_keys(keyed, lambda n, rank, m, at: (rank - at).between(-2, 2), verified)
+    place = {(key, a): rank for key, a, _, rank in rows}
+    keys = {a: {key for key, b, *_ in rows if b == a} for a in range(30)}
+    expected = {(a, b) for a in range(30) for b in range(a) if any(abs(place[k, a] - place[k, b]) <= 2 for k in keys[a] & keys[b])}
+    assert asked[0] | asked[1] == expected
