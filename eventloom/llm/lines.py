@@ -40,11 +40,11 @@ FREQUENT_LONGS = 16_384  # 64 bits each, one for each hash of runs; set for freq
 TIMES = 3
 MARK_COLUMNS = tuple(f"bits_{times}_{half}" for times in range(TIMES) for half in range(2))
 
-# 256 groups in four numbers each, of those that a line has at all, at least twice and three times; and the same groups
-# by 64 in a number for each of LEVELS: those that it has at least so many times.
+# 256 groups in four numbers each, of those that a line has at all, at least twice and three times; and by their last six bits
+# in a number for each of LEVELS, where one of them is in the line at least so many times.
 FINE_GROUPS = 256
 LEVELS = tuple(1 << power for power in range(2, 13))
-FINE_COLUMNS = tuple(f"fine_{times}_{quarter}" for times in range(1, TIMES + 1) for quarter in range(4))
+FINE_COLUMNS = tuple(f"fine_{quarter}_{times}" for quarter in range(4) for times in range(1, TIMES + 1))
 LEVEL_COLUMNS = tuple(f"level_{least}" for least in LEVELS)
 
 
@@ -166,33 +166,35 @@ def _may_be_similar(own: str, other: str) -> Column:
 
 def _word_levels(words: Column) -> Column:
     """FINE_COLUMNS and LEVEL_COLUMNS of a line as one array of numbers."""
-    # Every group once more than it occurs, so that each has a first place among the sorted ones.
-    own = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(FINE_GROUPS - 1)).cast("int"))
-    every = F.sort_array(F.concat(own, F.sequence(F.lit(0), F.lit(FINE_GROUPS - 1))))
+    nothing, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
-    def starts(g: Column) -> Column:
-        return F.array_compact(F.transform(g, lambda x, i: F.when(~F.get(g, i - 1).eqNullSafe(x), i)))
+    def counted(g: Column) -> Column:
+        """Sorted groups, each once with its number."""
+        starts = F.array_compact(F.transform(g, lambda x, i: F.when(~F.get(g, i - 1).eqNullSafe(x), i)))
 
-    def counts(at: Column) -> Column:
-        return F.transform(at, lambda p, i: F.coalesce(F.get(at, i + 1), F.size(words) + FINE_GROUPS) - p - 1)
+        def ended(at: Column) -> Column:
+            return F.transform(at, lambda p, i: F.struct(g[p].alias("group"), (F.coalesce(F.get(at, i + 1), F.size(g)) - p).alias("times")))
 
-    def summed(c: Column) -> Column:
-        return F.concat(c, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: c[i] + c[i + 64] + c[i + 128] + c[i + 192]))
+        return F.transform(F.array(starts), ended)[0]
 
-    def levels(c: Column) -> Column:
-        nothing, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    def bits(found: Column, least: int) -> Column:
+        def bit(f: Column) -> Column:
+            return F.when(f["times"] >= least, F.call_function("shiftleft", one, f["group"].bitwiseAND(F.lit(63)))).otherwise(nothing)
 
-        def bits(first: int, least: int) -> Column:
-            def bit(i: Column) -> Column:
-                return F.when(c[i + first] >= least, F.call_function("shiftleft", one, i)).otherwise(nothing)
+        return F.aggregate(found, nothing, lambda total, f: total.bitwiseOR(bit(f)))
 
-            return F.aggregate(F.sequence(F.lit(0), F.lit(63)), nothing, lambda total, i: total.bitwiseOR(bit(i)))
+    def in_quarter(quarter: int):
+        return lambda f: F.shiftright(f["group"], 6) == quarter
 
-        fine = [bits(64 * quarter, times) for times in range(1, TIMES + 1) for quarter in range(4)]
-        return F.array(*fine, *[bits(FINE_GROUPS, least) for least in LEVELS])
+    def levels(found: Column) -> Column:
+        quarters = F.array(*[F.filter(found, in_quarter(quarter)) for quarter in range(4)])
+        fine = F.flatten(F.transform(quarters, lambda f: F.array(*[bits(f, times) for times in range(1, TIMES + 1)])))
+        often = F.array(F.filter(found, lambda f: f["times"] >= LEVELS[0]))
+        return F.concat(fine, F.transform(often, lambda f: F.array(*[bits(f, least) for least in LEVELS]))[0])
 
+    groups = F.sort_array(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(FINE_GROUPS - 1)).cast("int")))
     # Each step through an array of one, so that it is done once and not for each use of it.
-    return reduce(lambda column, step: F.transform(F.array(column), step)[0], [starts, counts, summed, levels], every)
+    return reduce(lambda column, step: F.transform(F.array(column), step)[0], [counted, levels], groups)
 
 
 def _levels_allow(own: str, other: str, size: str) -> Column:
