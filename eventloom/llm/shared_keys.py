@@ -97,6 +97,7 @@ def links_by_keys(
         groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
         left = shared.where("a <> least and several")
         parts = min(PARTS, 1 + left.count() // PART_ROWS)
+        marked = written(marks(left.select("a").distinct()), folder) if marks is not None else None
 
         def pairs_of(part: int, scratch: str) -> DataFrame:
             placed = left.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).join(groups, "a", "left")
@@ -107,11 +108,7 @@ def links_by_keys(
             last = F.lag(F.struct("key", "rank")).over(Window.partitionBy("a").orderBy("rank", "key"))
             off = F.shiftleft(last["key"], SMALL_BITS).bitwiseOR((F.col("rank") - last["rank"]).cast("long"))
             placed = placed.select("*", F.when(F.col("rank") < UNKNOWN, off).alias("last"))
-            if marks is not None:
-                placed = written(placed, scratch)
-                marked = marks(placed.select("a").distinct())
-                placed = placed.join(marked, "a")
-            placed = written(placed, scratch)
+            placed = written(placed.join(marked, "a") if marks is not None else placed, scratch)
             columns = [c for c in placed.columns if c != "key"]
             # Both sides of the join are the same shuffle; names differ only above it.
             pairs = placed.alias("own").join(placed.alias("other"), F.col("own.key") == F.col("other.key"))
